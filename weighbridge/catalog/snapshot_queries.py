@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from weighbridge.catalog.base import Tables, query
 from weighbridge.catalog.text_queries import cap, clean, normal
 from weighbridge.functions.ids import evidence_drawer_id, sha256_text
-from weighbridge.functions.text import chunk_text, word_tokens
+from weighbridge.functions.text import chunk_text, normalize_answer, word_tokens
 from weighbridge.functions.urls import domain_of
 from weighbridge.operators import snapshot as S
 from weighbridge.operators import store as D
@@ -136,7 +136,7 @@ def replay_check(spark, path):
 # Gold recall: each benchmark item is a question whose evidence is one source.
 SQL_RECALL = f"""
 qs as (select item_id, 'src' || item_id % 20 as source, {normal("text")} as gold, (select 1) as one from benchmark),
-ev as (select source, doc_id, doc_id % 12 as rank, {normal("text")} as t, {normal("lang || ' ' || left(text, 60)")} as snip from documents),
+ev as (select source, doc_id, doc_id % 12 as rank, {normal("text")} as t, {normal("lang || ' ' || case when doc_id % 12 > 8 then text else '' end")} as snip from documents),
 al as (select q.item_id, string_agg(t, ' ' order by rank, doc_id) filter (t <> '') as chunks,
     string_agg(t, ' ' order by rank, doc_id) filter (rank <= 8 and t <> '') as top, string_agg(snip, ' ' order by rank, doc_id) filter (snip <> '') as snips, count(*) as n
   from qs q join ev e on e.source = q.source group by q.item_id),
@@ -149,8 +149,6 @@ rec as (select g.item_id, a.n, length(g.gold) <= 4 as short,
 
 def _recall(t: Tables):
     item = F.col("item_id")
-    from weighbridge.functions.text import normalize_answer
-
     gold = normalize_answer(F.col("text"))
     pair = F.concat_ws(" ", F.split_part(gold, F.lit(" "), F.lit(1)), F.split_part(gold, F.lit(" "), F.lit(2)))
     questions = t.benchmark.select(
@@ -159,7 +157,7 @@ def _recall(t: Tables):
     doc = F.col("doc_id")
     docs = questions.select("question_id", "source").join(t.documents.select("doc_id", "source", "lang", "text"), "source")
     chunks = docs.select("question_id", (doc % 12).alias("rank"), doc.alias("chunk_index"), "text")
-    results = docs.select("question_id", (doc % 12 * 1000000 + doc).alias("rank"), F.col("lang").alias("title"), F.left("text", F.lit(60)).alias("snippet"))
+    results = docs.select("question_id", (doc % 12 * 1000000 + doc).alias("rank"), F.col("lang").alias("title"), F.when(doc % 12 > 8, F.col("text")).otherwise("").alias("snippet"))
     return questions.drop("source"), results, chunks
 
 

@@ -1 +1,248 @@
-"""Queries."""
+"""Readers and writers: tables written in a source format and read back."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from weighbridge.catalog.audit_queries import sql_hist
+from weighbridge.catalog.base import JUDGED_DOCS, RECORDS, Tables, judged_long, prob, query, records, sql_prob
+from weighbridge.catalog.triple_queries import SQL_RUNS, SQL_TRIPLES, _requests, _runs
+from weighbridge.operators import gates
+from weighbridge.operators.auroc import label_histogram
+from weighbridge.plans.corpus import export_corpus
+from weighbridge.plans.replay_gates import stripped_rows
+from weighbridge.sources import readers as R
+from weighbridge.sources import writers as W
+
+
+def _folder(spark, name):
+    return f"{W.stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "scores_from_csv",
+    f"""with {JUDGED_DOCS}, {sql_hist("judged_long", "judge", "h")} select judge, round(score, 2) as score, pos, neg from h""",
+)
+def scores_from_csv(spark, path):
+    """Judge scores as CSV with named columns and spelled-out labels."""
+    where = _folder(spark, "scores")
+    rows = judged_long(Tables(spark, path)).select(
+        F.col("judge").alias("who"), F.col("cluster").alias("question"), F.col("score").alias("p"), F.when(F.col("label"), " Supported ").otherwise("no").alias("truth")
+    )
+    rows.write.option("header", True).csv(where)
+    scores = R.read_scores(spark, where, score="p", label="truth", judge="who", cluster="question")
+    return label_histogram(scores, ["judge"]).select("judge", F.round("score", 2).alias("score"), "pos", "neg")
+
+
+@query(
+    "questions_from_csv",
+    """select count(*) as n, count(distinct query) as n_queries, min(question_id) as first_id, max(question_id) as last_id, sum(has_raw)::bigint as n_raw, sum(has_topic)::bigint as n_topic
+from (select 'simpleqa-' || lpad((row_number() over (order by conv_id, turn) - 1)::varchar, 4, '0') as question_id, trim(text) as query,
+  (turn % 3 = 0)::int as has_raw, (turn % 3 = 1)::int as has_topic from conversations)""",
+)
+def questions_from_csv(spark, path):
+    """Multi-line quoted CSV, numbered in file order; metadata as dict literals."""
+    where = _folder(spark, "simple")
+    turn = F.col("turn")
+    meta = F.when(turn % 3 == 0, "not a dict").when(turn % 3 == 1, "{'topic': 'Art', 'n': '1'}").otherwise("")
+    rows = Tables(spark, path).conversations.select(
+        meta.alias("metadata"), F.concat(F.lit(" "), F.regexp_replace("text", "^", ""), F.lit(" ")).alias("problem"), F.col("role").alias("answer")
+    )
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(where)
+    q = R.read_simple_questions(spark, where)
+    m = F.col("metadata")
+    return q.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("query").alias("n_queries"), F.min("question_id").alias("first_id"), F.max("question_id").alias("last_id"),
+        F.count_if(m["raw"].isNotNull()).alias("n_raw"), F.count_if(m["topic"] == "Art").alias("n_topic"),
+    )
+
+
+@query(
+    "sheet_from_csv",
+    """select 'freshqa-' || c_custkey as question_id, c_name as query, c_mktsegment as gold, 'TEST' as split, (c_acctbal < 0)::int as false_premise,
+  case when c_custkey % 2 = 0 then 2 else 1 end as n_golds from customer""",
+)
+def sheet_from_csv(spark, path):
+    """A sheet export with preamble lines and blank rows before and between."""
+    where = _folder(spark, "sheet")
+    key = F.col("c_custkey")
+    names = ["id", "split", "question", "false_premise", "fact_type", "answer_0", "answer_1"]
+    cells = F.array(
+        key.cast("string"), F.lit("TEST"), F.col("c_name"), F.when(F.col("c_acctbal") < 0, "true").otherwise("FALSE"), F.lit("slow"),
+        F.col("c_mktsegment"), F.when(key % 2 == 0, F.col("c_name")).otherwise(""),
+    )
+    body = Tables(spark, path).customer.select(
+        F.concat(F.lit("1"), F.format_string("%012d", key)).alias("at"), F.concat(F.array_join(cells, ","), F.when(key % 10 == 0, "\n,,,,,,").otherwise("")).alias("value")
+    )
+    head = spark.createDataFrame([("0", "Notes on the sheet\nas of,2026-09-19\n\n" + ",".join(names))], "at string, value string")
+    # the sheet export is one text file by nature, so the fixture is written as one
+    head.unionByName(body).repartition(1).sortWithinPartitions("at").select("value").write.text(where)
+    q = R.read_sheet_questions(spark, where, width=12)
+    m = F.col("metadata")
+    return q.select(
+        "question_id", "query", "gold", m["split"].alias("split"), (m["false_premise"] == "true").cast("int").alias("false_premise"), F.size("golds").alias("n_golds")
+    )
+
+
+@query(
+    "gold_from_records",
+    f"""with {RECORDS}, n as (select question_id, arm, label from records where label <> 'not_attempted')
+select 'q' || question_id as query, arg_max(arm || ':' || label, arm) as gold from n group by question_id""",
+)
+def gold_from_records(spark, path):
+    """Result files read back; the last file's gold wins, blanks are skipped."""
+    where = _folder(spark, "results")
+    rows = records(Tables(spark, path))
+    gold = F.when(F.col("label") != "not_attempted", F.concat_ws(":", "arm", "label")).otherwise("")
+    rows.select(
+        "arm", F.array(F.struct(F.col("question_id").cast("string").alias("question_id"), F.format_string("q%d", "question_id").alias("query"), gold.alias("gold"), "arm")).alias("records")
+    ).write.partitionBy("arm").json(where)
+    back = spark.read.schema("records array<struct<question_id:string,query:string,gold:string>>, arm string").json(where)
+    flat = back.select(F.col("arm").alias("file"), F.posexplode("records").alias("pos", "r")).select("file", "pos", "r.*")
+    return R.gold_by_query(flat)
+
+
+@query(
+    "judge_cache_files",
+    f"""select case when event_id % 3 = 0 then 'm-1' else 'm-2' end as model, count(*) as n, sum((value * 10)::bigint)::bigint as input_tokens,
+  count(distinct user_id) as n_states, round(sum({sql_prob(17)}), 4) as total, (select count(*) from events where event_id % 11 = 0) as skipped
+from events where event_id % 11 <> 0 group by 1""",
+)
+def judge_cache_files(spark, path):
+    """Self-describing cache entries; those without answers are skipped and counted."""
+    where = _folder(spark, "cache")
+    e = F.col("event_id")
+    state = F.struct(F.format_string("q%d", "user_id").alias("query"), F.struct(F.format_string("text of %d", "user_id").alias("text")).alias("passage"))
+    answers = F.when(e % 11 != 0, F.struct(F.struct(F.lit("noul").alias("type"), prob(17).alias("noul")).alias("is_relevant")))
+    entry = Tables(spark, path).events.select(
+        F.when(e % 3 == 0, "m-1").otherwise("m-2").alias("model"), answers.alias("answers"),
+        F.struct(F.rint(F.col("value") * 10).cast("bigint").alias("input_tokens")).alias("usage"), F.struct(F.lit("m").alias("model"), state.alias("state")).alias("request"),
+    )
+    entry.write.json(where)
+    got = R.read_judge_cache(spark, where, multi_line=False)
+    skipped = R.skipped_cache_files(spark, where, multi_line=False).withColumn("k", F.lit(1))
+    stats = got.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("input_tokens"), F.count_distinct("state_id").alias("n_states"),
+        F.round(F.sum(F.col("answers")["is_relevant"]["noul"]), 4).alias("total"),
+    )
+    return stats.withColumn("k", F.lit(1)).join(skipped, "k").drop("k")
+
+
+@query(
+    "exported_corpus",
+    f"""with {SQL_TRIPLES} select family, question_id, count(*) as n, round(sum(value), 4) as total,
+  (select count(*) from (select state_id from fam group by state_id having count(distinct family) > 1)) as paired_states from tri where question_id = 'is_relevant' group by family, question_id""",
+)
+def exported_corpus(spark, path):
+    """Private triples and public aggregates written, the triples read back filtered."""
+    where = _folder(spark, "corpus")
+    export_corpus(_requests(Tables(spark, path)), ["first", "second"], where)
+    rows = R.read_triples(spark, f"{where}/raw/triples", "is_relevant")
+    paired = spark.read.schema("state_id string").json(f"{where}/raw/paired_states").agg(F.count(F.lit(1)).alias("paired_states")).withColumn("k", F.lit(1))
+    stats = rows.groupBy("family", "question_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return stats.withColumn("k", F.lit(1)).join(paired, "k").drop("k")
+
+
+@query(
+    "public_histogram",
+    f"""with {SQL_TRIPLES}, wide as (select state_id, question_id, arg_max(value, seq) filter (family = 'first') as first, arg_max(value, seq) filter (family = 'second') as second
+  from tri where primitive = 'noul' group by state_id, question_id), p as (select * from wide where first is not null and second is not null),
+l as (select 'first' as model, first as v from p union all select 'second', second from p)
+select model, format('{{:.2f}}', v) as probability, count(*) as count from l group by 1, 2""",
+)
+def public_histogram(spark, path):
+    """The public CSV: probabilities on the grid and counts, nothing per row."""
+    where = _folder(spark, "public")
+    export_corpus(_requests(Tables(spark, path)), ["first", "second"], where)
+    return spark.read.schema("model string, probability string, count bigint").option("header", True).csv(f"{where}/public/histogram")
+
+
+@query(
+    "worklist_file",
+    f"""with {SQL_RUNS} select question_id::varchar as question_id, max(confidence) as confidence
+from stripped where reason = 'supported_low_confidence' and confidence is not null group by question_id""",
+)
+def worklist_file(spark, path):
+    """Best rescuable claim per question, written most confident first and read back."""
+    where = _folder(spark, "worklist")
+    best = gates.rescue_set(stripped_rows(_runs(Tables(spark, path)))).groupBy("question_id").agg(F.max("confidence").alias("confidence"))
+    W.write_worklist(best.withColumn("question_id", F.col("question_id").cast("string")), where)
+    return R.read_worklist(spark, where).select("question_id", "confidence")
+
+
+@query(
+    "results_table",
+    f"""with {RECORDS}, u as (select arm, count(*) * 3 as n_requests, sum(o_orderkey % 50)::bigint as input_tokens from records group by arm)
+select arm, 'simpleqa' as dataset, count(*) as n, 1 as complete, any_value(n_requests) as n_requests, round(any_value(n_requests) / count(*), 1) as per_query_requests,
+  count(*) as records from records join u using (arm) group by arm""",
+)
+def results_table(spark, path):
+    """Records and one header row per run, partitioned by run."""
+    where = _folder(spark, "runs")
+    rows = records(Tables(spark, path)).select(
+        "*", F.lit("simpleqa").alias("dataset"), F.lit("s1").alias("snapshot"), F.lit("2026-09-19").alias("manifest_stamp"), F.lit(True).alias("done")
+    )
+    usage = rows.groupBy("arm").agg((F.count(F.lit(1)) * 3).alias("n_requests"), F.sum(F.col("o_orderkey") % 50).alias("input_tokens"))
+    W.write_results(rows, W.results_header(rows, usage, 20260919, "2026-09-19"), where)
+    header = spark.read.parquet(f"{where}/header")
+    stored = spark.read.parquet(f"{where}/records").groupBy("arm").agg(F.count(F.lit(1)).alias("records"))
+    return header.join(stored, "arm").select("arm", "dataset", "n", F.col("complete").cast("int").alias("complete"), "n_requests", "per_query_requests", "records")
+
+
+@query(
+    "stored_drawers",
+    """select source as wing, count(*) as n, sum(length(text))::bigint as n_chars from (select doc_id, case when doc_id % 3 = 0 then 'verified' else 'evidence' end as source, text from documents) group by 1""",
+)
+def stored_drawers(spark, path):
+    """The store as a table partitioned by wing; empty documents are left out."""
+    where = _folder(spark, "store")
+    docs = Tables(spark, path).documents
+    rows = docs.select(
+        F.format_string("d%d", "doc_id").alias("drawer_id"), F.when(F.col("doc_id") % 3 == 0, "verified").otherwise("evidence").alias("wing"), F.col("source").alias("room"), "text"
+    )
+    blank = rows.withColumn("drawer_id", F.concat("drawer_id", F.lit("x"))).withColumn("text", F.lit(""))
+    W.append_drawers(rows.unionByName(blank), where)
+    return R.read_drawers(spark, where).groupBy("wing").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query(
+    "manifest_tables",
+    """select 'q' || page_id as question_id, 1 as n_results, page_id % 30 as rank, url, case when page_id % 2 = 0 then 2 else 0 end as n_chunks, case when page_id % 2 = 0 then length(html) % 300 end as n_tokens from pages""",
+)
+def manifest_tables(spark, path):
+    """A nested snapshot manifest read back as flat tables."""
+    where = _folder(spark, "manifest")
+    page = F.col("page_id")
+    rank = (page % 30).cast("int")
+    chunk = F.struct(F.lit("r").alias("cite_id"), F.lit("d").alias("drawer_id"), F.lit(0).alias("chunk_index"), (F.length("html") % 300).alias("n_tokens"))
+    chunks = F.when(page % 2 == 0, F.array(chunk, chunk)).otherwise(F.filter(F.array(chunk), lambda c: F.lit(False)))
+    question = F.struct(
+        F.concat(F.lit("q"), page.cast("string")).alias("question_id"), F.lit(1).alias("n_results"),
+        F.array(F.struct(rank.alias("rank"), F.col("url"))).alias("results"), F.array(F.struct(rank.alias("rank"), F.col("url"), chunks.alias("chunks"))).alias("pages"),
+    )
+    Tables(spark, path).pages.select(F.lit("s1").alias("snapshot_id"), F.array(question).alias("questions")).write.json(where)
+    m = R.read_manifest(spark, where, multi_line=False)
+    counts = m["chunks"].groupBy("question_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return (
+        m["questions"].select("question_id", "n_results").join(m["results"].select("question_id", "rank", "url"), "question_id").join(counts, "question_id", "left")
+        .join(m["chunks"].groupBy("question_id").agg(F.max("n_tokens").alias("n_tokens")), "question_id", "left")
+        .select("question_id", "n_results", "rank", "url", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "n_tokens")
+    )
+
+
+@query(
+    "stage_bank",
+    """select event_type, q.stage, count(*) as n from events cross join (values ('s0'), ('s0'), ('s0'), ('s0'), ('s1'), ('s1'), ('s1'), ('s1'), ('s1'), ('s2'), ('s2'), ('s4'), ('s4')) q(stage)
+group by 1, 2""",
+)
+def stage_bank(spark, path):
+    """Every request against the question bank, a fixed table of thirteen rows."""
+    bank = F.broadcast(R.question_bank(spark).select("stage", "qid", F.lit(1).alias("k")))
+    rows = Tables(spark, path).events.select("event_type", F.lit(1).alias("k")).join(bank, "k")
+    return rows.groupBy("event_type", "stage").agg(F.count(F.lit(1)).alias("n"))
+
+

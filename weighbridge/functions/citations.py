@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weighbridge.functions.binding import let
 from weighbridge.functions.text import strip
 from weighbridge.settings import ABSTAIN_TOKEN
 
@@ -65,14 +66,17 @@ def split_sentences(text: Column) -> Column:
 
 def has_fact_shape(sentence: Column) -> Column:
     """A digit, a month, or a capitalised word that does not open the sentence."""
-    body = strip_citations(sentence)
-    words = F.regexp_extract_all(body, F.lit(r"[A-Za-z][A-Za-z'\-]*"), F.lit(0))
     months = F.array(*[F.lit(m) for m in MONTHS])
-    later = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
-    return (
-        body.rlike(r"(?U)\d")
-        | F.exists(words, lambda w: F.array_contains(months, F.lower(w)))
-        | F.exists(later, lambda w: w.rlike("^[A-Z]") & (F.lower(w) != "i"))
+
+    def named(words: Column) -> Column:
+        later = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
+        return F.exists(words, lambda w: F.array_contains(months, F.lower(w))) | F.exists(
+            later, lambda w: w.rlike("^[A-Z]") & (F.lower(w) != "i")
+        )
+
+    return let(
+        strip_citations(sentence),
+        lambda body: body.rlike(r"(?U)\d") | let(F.regexp_extract_all(body, F.lit(r"[A-Za-z][A-Za-z'\-]*"), F.lit(0)), named),
     )
 
 
@@ -89,27 +93,35 @@ def postprocess(answer: Column, evidence_ids: Column, keep_uncited: bool | Colum
     ids counted; a cited one is a claim; an uncited fact is kept only with
     ``keep_uncited``; any other sentence is kept.
     """
-    abstained = F.coalesce(is_abstain(answer), F.lit(False))
     keep = F.lit(keep_uncited) if isinstance(keep_uncited, bool) else keep_uncited
-    sentences = F.when(abstained, F.array().cast("array<string>")).otherwise(split_sentences(answer))
-
-    def judge(sentence: Column) -> Column:
-        ids = citation_ids(sentence)
-        foreign = F.filter(ids, lambda i: ~F.array_contains(evidence_ids, i))
-        fate = (
-            F.when(F.size(foreign) > 0, "fabricated_citation")
-            .when(F.size(ids) > 0, "claim")
-            .when(has_fact_shape(sentence), "uncited_claim")
-            .otherwise("prose")
-        )
-        return F.struct(
-            sentence.alias("text"), ids.alias("ids"), foreign.alias("foreign"), fate.alias("fate")
-        )
 
     def kept(row: Column) -> Column:
         return row["fate"].isin("claim", "prose") | ((row["fate"] == "uncited_claim") & keep)
 
-    rows = F.transform(sentences, judge)
+    def judge(sentence: Column) -> Column:
+        def weigh(ids: Column) -> Column:
+            foreign = F.filter(ids, lambda i: ~F.array_contains(evidence_ids, i))
+            fate = (
+                F.when(F.exists(ids, lambda i: ~F.array_contains(evidence_ids, i)), "fabricated_citation")
+                .when(F.size(ids) > 0, "claim")
+                .when(has_fact_shape(sentence), "uncited_claim")
+                .otherwise("prose")
+            )
+            return F.struct(
+                sentence.alias("text"), ids.alias("ids"), foreign.alias("foreign"), fate.alias("fate")
+            )
+
+        return let(citation_ids(sentence), weigh)
+
+    def assemble(text: Column) -> Column:
+        abstained = F.coalesce(is_abstain(text), F.lit(False))
+        sentences = F.when(abstained, F.array().cast("array<string>")).otherwise(split_sentences(text))
+        return let(F.transform(sentences, judge), lambda rows: _record(abstained, rows, kept))
+
+    return let(answer, assemble)
+
+
+def _record(abstained: Column, rows: Column, kept) -> Column:
     claims = F.transform(
         F.filter(rows, lambda r: r["fate"] == "claim"),
         lambda r: F.struct(r["text"].alias("text"), F.array_distinct(r["ids"]).alias("citations")),
@@ -119,19 +131,13 @@ def postprocess(answer: Column, evidence_ids: Column, keep_uncited: bool | Colum
         abstained.alias("abstained"),
         strip(F.array_join(kept_sentences, " ")).alias("answer"),
         claims.alias("claims"),
-        F.sort_array(
-            F.array_distinct(F.flatten(F.transform(claims, lambda c: c["citations"])))
-        ).alias("citations"),
-        F.transform(
-            F.filter(rows, lambda r: r["fate"] == "uncited_claim"), lambda r: r["text"]
-        ).alias("uncited_claims"),
+        F.sort_array(F.array_distinct(F.flatten(F.transform(claims, lambda c: c["citations"])))).alias("citations"),
+        F.transform(F.filter(rows, lambda r: r["fate"] == "uncited_claim"), lambda r: r["text"]).alias("uncited_claims"),
         F.transform(
             F.filter(rows, lambda r: ~kept(r)),
             lambda r: F.struct(r["text"].alias("sentence"), r["fate"].alias("reason"), r["foreign"].alias("ids")),
         ).alias("stripped"),
-        F.aggregate(rows, F.lit(0), lambda n, r: n + F.size(r["foreign"])).alias(
-            "fabricated_citations"
-        ),
-        F.size(sentences).alias("n_sentences"),
+        F.aggregate(rows, F.lit(0), lambda n, r: n + F.size(r["foreign"])).alias("fabricated_citations"),
+        F.size(rows).alias("n_sentences"),
         kept_sentences.alias("kept_sentences"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from weighbridge.functions.binding import let
 from weighbridge.settings import LIMITS
 
 # Patterns of page clean-up, in the order they are applied.
@@ -33,7 +34,7 @@ def _unescape(values: pd.Series) -> pd.Series:
 
 def unescape_html(text: Column) -> Column:
     """HTML entities to characters. Only values with an ampersand leave the JVM."""
-    return F.when(text.contains("&"), _unescape(F.when(text.contains("&"), text))).otherwise(text)
+    return F.coalesce(_unescape(let(text, lambda t: F.when(t.contains("&"), t))), text)
 
 
 def clean_text(text: Column) -> Column:
@@ -55,15 +56,14 @@ def page_text(body: Column, content_type: Column, extractor=None) -> Column:
 
 def cap_chars(text: Column, limit: int) -> Column:
     """At most ``limit`` characters, cut at the last space beyond 60% of it."""
-    head = F.left(text, F.lit(limit))
-    from_end = F.instr(F.reverse(head), " ")
-    space_at = F.lit(limit) - from_end
-    cut = F.when(
-        (from_end > 0) & (space_at > limit * 0.6), F.left(head, space_at)
-    ).otherwise(head)
-    return F.when(F.length(text) <= limit, text).otherwise(
-        F.regexp_replace(cut, r"(?U)\s+\z", "")
-    )
+
+    def shorten(head: Column) -> Column:
+        from_end = F.instr(F.reverse(head), " ")
+        space_at = F.lit(limit) - from_end
+        cut = F.when((from_end > 0) & (space_at > limit * 0.6), F.left(head, space_at)).otherwise(head)
+        return F.regexp_replace(cut, r"(?U)\s+\z", "")
+
+    return let(text, lambda t: F.when(F.length(t) <= limit, t).otherwise(let(F.left(t, F.lit(limit)), shorten)))
 
 
 def prepare_text(text: Column, limit: int = LIMITS.passage_max_chars) -> Column:
@@ -96,32 +96,27 @@ def chunk_text(
     tokenizer first; pass ``glue=''`` for sub-word tokens.
     """
     step = max(1, size - round(size * overlap))
-    n = F.size(tokens)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(
-        F.array().cast("array<int>")
-    )
-    reached = F.filter(starts, lambda s: (s == 0) | (s - step + size < n))
-    if glue == " ":  # words are never blank, so only the kept windows are built
-        reached = F.slice(reached, 1, max_chunks + 1)
-    windows = F.transform(
-        reached,
-        lambda s: F.struct(
-            F.least(F.lit(size), n - s).alias("n_tokens"),
-            cap_chars(
-                F.trim(F.array_join(F.slice(tokens, s + 1, F.lit(size)), glue)), max_chars
-            ).alias("text"),
-        ),
-    )
-    written = F.filter(windows, lambda w: w["text"] != "")
-    kept = F.slice(
-        F.filter(written, lambda w, i: (i == 0) | (w["n_tokens"] >= min_tokens)), 1, max_chunks
-    )
+
+    def window(words: Column, start: Column) -> Column:
+        piece = F.trim(F.array_join(F.slice(words, start + 1, F.lit(size)), glue))
+        return F.struct(
+            F.least(F.lit(size), F.size(words) - start).alias("n_tokens"), cap_chars(piece, max_chars).alias("text")
+        )
+
+    def windows(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        reached = F.filter(starts, lambda s: (s == 0) | (s - step + size < n))
+        if glue == " ":  # words are never blank, so only the kept windows are built
+            reached = F.slice(reached, 1, max_chunks + 1)
+        return F.transform(reached, lambda s: window(words, s))
+
+    written = F.filter(let(tokens, windows), lambda w: w["text"] != "")
+    kept = F.slice(F.filter(written, lambda w, i: (i == 0) | (w["n_tokens"] >= min_tokens)), 1, max_chunks)
     return F.transform(
         kept,
         lambda w, i: F.struct(
-            i.cast("int").alias("chunk_index"),
-            w["n_tokens"].cast("int").alias("n_tokens"),
-            w["text"].alias("text"),
+            i.cast("int").alias("chunk_index"), w["n_tokens"].cast("int").alias("n_tokens"), w["text"].alias("text")
         ),
     )
 
@@ -141,9 +136,9 @@ def normalize_answer(text: Column) -> Column:
     ASCII values stay in the JVM; only values with other characters go through
     Arrow, because Spark has no Unicode decomposition.
     """
-    wide = text.rlike(r"[^\x00-\x7F]")
-    folded = F.when(wide, _fold(F.when(wide, text))).otherwise(F.lower(text))
-    words = F.regexp_replace(F.coalesce(folded, F.lit("")), r"(?U)[^\w\s]+", " ")
+    wide = let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), t))
+    folded = F.coalesce(_fold(wide), F.lower(text), F.lit(""))
+    words = F.regexp_replace(folded, r"(?U)[^\w\s]+", " ")
     return F.trim(F.regexp_replace(words, r"(?U)\s+", " "))
 
 

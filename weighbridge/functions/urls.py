@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weighbridge.functions.binding import let
 from weighbridge.functions.text import strip
 from weighbridge.settings import EVIDENCE, MEMORY_DOMAIN, QUARANTINE, VERIFIED
 
@@ -91,31 +92,25 @@ def source_type(domain: Column, wing: Column | None = None) -> Column:
     wing = F.lit(None).cast("string") if wing is None else wing
     recalled = F.coalesce(F.nullif(domain, F.lit("")), F.lit(MEMORY_DOMAIN)) == MEMORY_DOMAIN
     host = F.regexp_replace(F.lower(strip(F.coalesce(domain, F.lit("")))), r"^www\.", "")
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
-    by_suffix = F.get(
-        F.filter(
-            F.transform(suffixes, lambda s: _lookup(TYPE_OF_DOMAIN, s)), lambda t: t.isNotNull()
-        ),
-        0,
-    )
-    first_label = F.when(F.size(labels) > 1, F.get(labels, 0))
     return (
         F.when(wing == VERIFIED, "memory_verified")
         .when(wing.isin(EVIDENCE, QUARANTINE) & recalled, "memory_evidence")
-        .when(host.isin("", MEMORY_DOMAIN) & (F.coalesce(wing, F.lit("")) != ""), "memory_evidence")
-        .when(host.isin("", MEMORY_DOMAIN), "unknown")
-        .otherwise(
-            F.coalesce(
-                _lookup(EXACT_HOSTS, host),
-                _lookup(HOST_LABELS, first_label),
-                by_suffix,
-                F.lit("unknown"),
-            )
+        .otherwise(let(host, lambda h: _type_of_host(h, F.coalesce(wing, F.lit("")) != "")))
+    )
+
+
+def _type_of_host(host: Column, has_wing: Column) -> Column:
+    def by_label(labels: Column) -> Column:
+        suffixes = F.transform(
+            F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
         )
+        types = F.filter(F.transform(suffixes, lambda s: _lookup(TYPE_OF_DOMAIN, s)), lambda t: t.isNotNull())
+        first_label = F.when(F.size(labels) > 1, F.get(labels, 0))
+        return F.coalesce(_lookup(HOST_LABELS, first_label), F.get(types, 0))
+
+    return (
+        F.when(host.isin("", MEMORY_DOMAIN), F.when(has_wing, "memory_evidence").otherwise("unknown"))
+        .otherwise(F.coalesce(_lookup(EXACT_HOSTS, host), let(F.split(host, r"\."), by_label), F.lit("unknown")))
     )
 
 

@@ -24,10 +24,10 @@ def family_of(model: Column, exact: dict[str, str], prefixes: dict[str, str]) ->
 def judgment_triples(requests: DataFrame, compat_stages: bool = False) -> DataFrame:
     """One row per answer of every judge request.
 
-    ``requests(family, model, state_id, state, answers map<string,struct>,
-    questions map<string,struct<instructions,criteria>>)``.
+    ``requests(family, model, seq, state_id, state, answers map<string,struct>,
+    questions map<string,struct<instructions,criteria>>)``; ``seq`` orders repeats.
     """
-    rows = requests.select("family", "model", "state_id", "state", "questions", F.explode("answers").alias("question_id", "answer"))
+    rows = requests.select("family", "model", "state_id", "state", "questions", "seq", F.explode("answers").alias("question_id", "answer"))
     spec = F.try_element_at(F.col("questions"), F.col("question_id"))
     return rows.select(
         "family",
@@ -37,6 +37,7 @@ def judgment_triples(requests: DataFrame, compat_stages: bool = False) -> DataFr
         spec["instructions"].alias("instructions"),
         spec["criteria"].alias("criteria"),
         "state",
+        "seq",
         F.col("model").alias("teacher_model"),
         answer_value(F.col("answer")).alias("_v"),
     ).select("*", "_v.primitive", "_v.value", "_v.probabilities").drop("_v")
@@ -60,11 +61,15 @@ def label_by_gold(judgments: DataFrame, gold: DataFrame, qid: str, order: list[C
 
 
 def pair_judges(triples: DataFrame, families: list[str], keys: tuple[str, ...] = ("state_id", "question_id")) -> DataFrame:
-    """Yes/no judgments every family answered, one probability column per family."""
+    """Yes/no judgments every family answered, one probability column per family.
+    A repeated judgment counts with its last value in ``seq`` order."""
     rows = triples.where((F.col("primitive") == "noul") & F.col("value").isNotNull() & F.col("family").isin(*families))
-    wide = rows.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("family") == f, F.col("value"))).alias(f) for f in families]
-    )
+
+    def last(family: str) -> Column:
+        mine = F.col("family") == family
+        return F.max_by(F.when(mine, F.col("value")), F.when(mine, F.col("seq"))).alias(family)
+
+    wide = rows.groupBy(*keys).agg(*[last(f) for f in families])
     return wide.where(" and ".join(f"`{f}` is not null" for f in families))
 
 

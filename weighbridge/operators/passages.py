@@ -46,7 +46,7 @@ def chunk_passages(chunks: DataFrame, results: DataFrame) -> DataFrame:
     """Page chunks with the title, URL and rank of their result."""
     page = results.select("question_id", "rank", "title", "url", "engines")
     no_wing = F.lit(None).cast("string")
-    return chunks.join(page, ["question_id", "rank"]).select(
+    return chunks.drop("url", "title", "engines").join(page, ["question_id", "rank"]).select(
         "question_id",
         *_passage(
             F.col("cite_id"), F.col("text"), "chunk", "web", F.col("title"), domain_of(F.col("url")), no_wing

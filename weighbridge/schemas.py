@@ -55,7 +55,7 @@ CACHE_FILE = (
 )
 TRIPLE = (
     "family string, state_id string, question_id string, stage string, primitive string, instructions string, "
-    "criteria string, state string, value double, probabilities map<string,double>, teacher_model string"
+    "criteria string, state string, seq string, value double, probabilities map<string,double>, teacher_model string"
 )
 WORKLIST = "question_id string, confidence double, sentence string, abstained boolean, abstain_reason string"
 DRAWERS = (

@@ -143,10 +143,11 @@ def gold_by_query(records: DataFrame) -> DataFrame:
     return first_rows(usable, ["query"], [F.desc("file"), F.desc("pos")]).select("query", "gold")
 
 
-def read_judge_cache(spark: SparkSession, path: str) -> DataFrame:
+def read_judge_cache(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Self-describing judge cache files, searched recursively. Unreadable files and
-    entries without answers or request are left out; see ``skipped_cache_files``."""
-    raw = _cache_files(spark, path)
+    entries without answers or request are left out; see ``skipped_cache_files``.
+    ``multi_line=False`` reads a compacted cache with one entry per line."""
+    raw = _cache_files(spark, path, multi_line)
     usable = raw.where(_usable_entry())
     state = F.col("request.state")
     return usable.select(
@@ -160,12 +161,13 @@ def read_judge_cache(spark: SparkSession, path: str) -> DataFrame:
         F.get_json_object(state, "$.passage.text").alias("passage_text"),
         state_fingerprint(canonical_text(state, compact=False)).alias("state_id"),
         F.col("request.questions").alias("questions"),
+        F.input_file_name().alias("seq"),
     )
 
 
-def _cache_files(spark: SparkSession, path: str) -> DataFrame:
+def _cache_files(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     return spark.read.schema(schemas.CACHE_FILE).json(
-        path, multiLine=True, recursiveFileLookup=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record"
+        path, multiLine=multi_line, recursiveFileLookup=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record"
     )
 
 
@@ -173,8 +175,8 @@ def _usable_entry() -> Column:
     return F.col("_corrupt_record").isNull() & F.col("answers").isNotNull() & F.col("request").isNotNull()
 
 
-def skipped_cache_files(spark: SparkSession, path: str) -> DataFrame:
-    return _cache_files(spark, path).select(F.col("_corrupt_record"), "answers", "request").where(~_usable_entry()).agg(
+def skipped_cache_files(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return _cache_files(spark, path, multi_line).select(F.col("_corrupt_record"), "answers", "request").where(~_usable_entry()).agg(
         F.count(F.lit(1)).alias("skipped")
     )
 
@@ -189,10 +191,10 @@ def read_worklist(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.WORKLIST).json(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def read_manifest(spark: SparkSession, path: str, multi_line: bool = True) -> dict[str, DataFrame]:
     """Snapshot manifest as ``questions``, ``results``, ``pages`` and ``chunks`` tables.
-    A path without manifest fails when the table is read."""
-    entry = spark.read.schema(schemas.MANIFEST).json(path, multiLine=True).select(
+    A path without manifest is an error."""
+    entry = spark.read.schema(schemas.MANIFEST).json(path, multiLine=multi_line).select(
         "snapshot_id", F.col("updated_at").alias("manifest_stamp"), F.explode("questions").alias("q")
     )
     results = entry.select("q.question_id", F.explode("q.results").alias("r")).select("question_id", "r.*")
