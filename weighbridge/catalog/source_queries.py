@@ -15,10 +15,11 @@ from weighbridge.plans.corpus import export_corpus
 from weighbridge.plans.replay_gates import stripped_rows
 from weighbridge.sources import readers as R
 from weighbridge.sources import writers as W
+from weighbridge.stages import stage_dir
 
 
 def _folder(spark, name):
-    return f"{W.stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query(

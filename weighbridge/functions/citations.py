@@ -66,7 +66,7 @@ def split_sentences(text: Column) -> Column:
 
 def has_fact_shape(sentence: Column) -> Column:
     """A digit, a month, or a capitalised word that does not open the sentence."""
-    months = F.array(*[F.lit(m) for m in MONTHS])
+    months = F.expr("array({})".format(", ".join(f"'{m}'" for m in MONTHS)))
 
     def named(words: Column) -> Column:
         later = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))

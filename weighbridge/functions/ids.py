@@ -128,7 +128,7 @@ def claim_grade_key(model: Column, prompt: Column) -> Column:
 def subject_slug(query: Column, words: int = 3) -> Column:
     """First content words of a query joined by ``_``; ``general`` if there are none."""
     tokens = F.regexp_extract_all(F.lower(query), F.lit("[a-z0-9]+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    stop = F.expr("array({})".format(", ".join(f"'{w}'" for w in STOP_WORDS)))
     content = F.filter(tokens, lambda w: ~F.array_contains(stop, w))
     return F.coalesce(
         F.nullif(F.array_join(F.slice(content, 1, words), "_"), F.lit("")), F.lit("general")

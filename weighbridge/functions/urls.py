@@ -68,8 +68,9 @@ TYPE_OF_DOMAIN = {d: kind for kind, block in DOMAINS_BY_TYPE.items() for d in bl
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(part) for item in table.items() for part in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    """Value of a fixed table; NULL for an unknown key."""
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
 def canonical_url(url: Column) -> Column:

@@ -20,24 +20,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-MAX_HOT_GROUPS = 100_000
+MAX_HOT_GROUPS = 10_000
 
 
-def split_hot(df: DataFrame, group: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(ordinary, hot) rows by group size.
+def split_hot(df: DataFrame, group: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(ordinary, hot) rows by group size; hot is None where no group is too large.
 
-    At most ``MAX_HOT_GROUPS`` keys are broadcast, the largest groups first, so
-    the broadcast has a fixed bound; a group that misses the list holds less
-    than 1/MAX_HOT_GROUPS of the rows and is ordinary enough.
+    One counting job decides, so that the usual plan carries no second branch. At
+    most ``MAX_HOT_GROUPS`` keys are taken to the driver and broadcast, the
+    largest groups first: a group that misses the list holds less than
+    1/MAX_HOT_GROUPS of all rows and is ordinary enough. The split is by key, so
+    the result does not depend on which keys are listed.
     """
-    hot = F.broadcast(
-        df.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"))
-        .limit(MAX_HOT_GROUPS)
-        .select(*group)
-    )
+    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    keys = counts.orderBy(F.desc("_n")).limit(MAX_HOT_GROUPS).select(*group).collect()
+    if not keys:
+        return df, None
+    hot = F.broadcast(df.sparkSession.createDataFrame(keys, df.select(*group).schema))
     return df.join(hot, group, "left_anti"), df.join(hot, group, "left_semi")
 
 
@@ -102,6 +101,9 @@ def competition_ranks(
     for ranks in lists:  # one shuffle by group serves all lists
         over = W.partitionBy(*group).orderBy(*ranks.order())
         ordinary = ordinary.withColumn(ranks.out, F.when(ranks.present(), F.rank().over(over)))
+    if hot is None:
+        return ordinary
+    for ranks in lists:
         table = _ranks_from_counts(hot, group, ranks)
         hot = hot.join(table, [*group, *[k for k, _ in ranks.keys]], "left")
     return ordinary.unionByName(hot.select(*ordinary.columns))

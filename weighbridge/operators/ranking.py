@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weighbridge.functions.text import count_tokens
@@ -63,11 +64,9 @@ def select_within_budget(
         counted = count_tokens(F.col("text"), tokenizer) if tokenizer else count_tokens(F.col("text"))
         fused = fused.withColumn("n_tokens", F.coalesce(F.nullif(F.col("n_tokens"), F.lit(0)), counted))
     head = top_rows(fused, ["question_id"], fused_order(), top_k)
-    # at most top_k rows per question are left, so this window is small
-    return running_sum(
-        head.withColumn("_one", F.lit(0)), ["question_id"], ["_one"], [F.asc("position")],
-        "n_tokens", "used_tokens", max_tokens,
-    ).drop("_one")
+    # at most top_k rows per question are left, already partitioned by question
+    upto = W.partitionBy("question_id").orderBy("position").rowsBetween(W.unboundedPreceding, 0)
+    return head.withColumn("used_tokens", F.sum("n_tokens").over(upto)).where(F.col("used_tokens") <= max_tokens)
 
 
 def baseline_evidence(

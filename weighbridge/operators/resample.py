@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from weighbridge.operators.auroc import auroc
 from weighbridge.operators.grouped import dense_index
 from weighbridge.settings import RESAMPLE_SEED, RESAMPLES
+from weighbridge.stages import materialize
 
 STREAM_CLUSTERS = 5_000
+BROADCAST_ROWS = 1_000_000
 
 
 def _spread_out(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -81,19 +83,32 @@ def interval(replicates: DataFrame, by: list[str], stats: list[str], digits: int
     return replicates.groupBy(*by).agg(*pieces)
 
 
+def number_clusters(per_cluster: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Cluster summaries with their draw index, written once: the draws are made
+    from this table and joined back to it."""
+    index = dense_index(per_cluster, ["cluster"], by)
+    return materialize(per_cluster.join(index, [*by, "cluster"]).select(*by, "idx", "n_keys", *columns), "clusters")
+
+
+def _small_side(numbered: DataFrame) -> DataFrame:
+    """Broadcast up to ``BROADCAST_ROWS`` counted rows, so that draws are not
+    shuffled; beyond that Spark joins by shuffle."""
+    return F.broadcast(numbered) if numbered.count() <= BROADCAST_ROWS else numbered
+
+
 def bootstrap_sums(
-    per_cluster: DataFrame, by: list[str], sums: list[str], stats: dict[str, Column],
-    index: DataFrame | None = None, drawn: DataFrame | None = None, resamples: int = RESAMPLES,
+    per_cluster: DataFrame, by: list[str], sums: list[str], stats: dict[str, Column], resamples: int = RESAMPLES,
+    drawn: DataFrame | None = None,
 ) -> DataFrame:
     """Replicates of statistics that are functions of cluster sums.
 
-    ``per_cluster(by, cluster, sums...)`` has one row per cluster.
+    ``per_cluster(by, cluster, sums...)`` has one row per cluster. ``drawn`` may
+    bring its own draws ``(by, replicate, idx)``.
     """
-    index = dense_index(per_cluster, ["cluster"], by) if index is None else index
-    drawn = draws(index, by, resamples) if drawn is None else drawn
-    numbered = per_cluster.join(index, [*by, "cluster"]).select(*by, "idx", *sums)
+    numbered = number_clusters(per_cluster, by, sums)
+    drawn = draws(numbered.select(*by, "idx", "n_keys"), by, resamples) if drawn is None else drawn
     return (
-        drawn.join(numbered, [*by, "idx"])
+        drawn.join(_small_side(numbered.drop("n_keys")), [*by, "idx"])
         .groupBy(*by, "replicate")
         .agg(*[F.sum(s).alias(s) for s in sums])
         .select(*by, "replicate", *[c.alias(n) for n, c in stats.items()])
@@ -102,7 +117,7 @@ def bootstrap_sums(
 
 def bootstrap_auroc(
     cluster_hist: DataFrame, by: list[str], across: list[str] | None = None, score: str = "score",
-    on_grid: bool = False, resamples: int = RESAMPLES, drawn: DataFrame | None = None, index: DataFrame | None = None,
+    on_grid: bool = False, resamples: int = RESAMPLES,
 ) -> DataFrame:
     """AUROC per replicate from ``cluster_hist(by, across, cluster, score, pos, neg)``.
 
@@ -110,11 +125,10 @@ def bootstrap_auroc(
     share the draws.
     """
     across = across or []
-    index = dense_index(cluster_hist, ["cluster"], by) if index is None else index
-    drawn = draws(index, by, resamples) if drawn is None else drawn
-    numbered = cluster_hist.join(index, [*by, "cluster"]).select(*by, *across, "idx", score, "pos", "neg")
+    numbered = number_clusters(cluster_hist, by, [*across, score, "pos", "neg"])
+    drawn = draws(numbered.select(*by, "idx", "n_keys").distinct(), by, resamples)
     weighted = (
-        drawn.join(numbered, [*by, "idx"])
+        drawn.join(_small_side(numbered.drop("n_keys")), [*by, "idx"])
         .groupBy(*by, *across, "replicate", score)
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
@@ -124,6 +138,7 @@ def bootstrap_auroc(
 def auroc_with_interval(cluster_hist: DataFrame, by: list[str], score: str = "score", on_grid: bool = False,
                         resamples: int = RESAMPLES) -> DataFrame:
     """Point AUROC, class counts, cluster-bootstrap interval and cluster count."""
+    cluster_hist = materialize(cluster_hist, "histogram")
     overall = cluster_hist.groupBy(*by, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     reps = bootstrap_auroc(cluster_hist, by, None, score, on_grid, resamples)
     bounds = interval(reps.withColumnRenamed("auroc", "ci"), by, ["ci"])
@@ -134,7 +149,7 @@ def auroc_with_interval(cluster_hist: DataFrame, by: list[str], score: str = "sc
 def paired_difference(cluster_hist: DataFrame, by: list[str], judge: str, first: str, second: str,
                       score: str = "score", on_grid: bool = False, resamples: int = RESAMPLES) -> DataFrame:
     """AUROC of two judges on the same items, their difference and its interval."""
-    hist = cluster_hist.where(F.col(judge).isin(first, second))
+    hist = materialize(cluster_hist.where(F.col(judge).isin(first, second)), "histogram")
 
     def side(df: DataFrame, keys: list[str]) -> DataFrame:
         return df.groupBy(*keys).agg(
@@ -158,11 +173,10 @@ def bootstrap_statistic(
     (a histogram, say). Per replicate the drawn weights are summed over equal
     values in Spark, so ``stat`` sees one row per distinct value with its weight.
     """
-    index = dense_index(summary, ["cluster"], by)
-    numbered = summary.join(index, [*by, "cluster"]).select(*by, "idx", *value_columns, "weight")
+    numbered = number_clusters(summary, by, [*value_columns, "weight"])
     weighted = (
-        draws(index, by, resamples)
-        .join(numbered, [*by, "idx"])
+        draws(numbered.select(*by, "idx", "n_keys").distinct(), by, resamples)
+        .join(_small_side(numbered.drop("n_keys")), [*by, "idx"])
         .groupBy(*by, "replicate", *value_columns)
         .agg(F.sum("weight").alias("weight"))
     )

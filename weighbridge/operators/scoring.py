@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weighbridge.functions.answers import judge_cost
 from weighbridge.operators.resample import bootstrap_sums, interval
 from weighbridge.settings import ACCEPTANCE_BARS, RESAMPLES
+from weighbridge.stages import materialize
 
 LABELS = ("correct", "incorrect", "not_attempted")
 
@@ -40,23 +41,26 @@ def rates() -> dict[str, Column]:
     }
 
 
-def answer_scores(records: DataFrame, by: list[str], label: str = "label") -> DataFrame:
-    """Counts and rates per group; NULL labels are ungraded and only counted."""
-    counted = _counted(records, by, label)
+def _with_rates(counted: DataFrame) -> DataFrame:
     return counted.select(
         "*", (F.col("correct") + F.col("incorrect")).alias("attempted"), *[c.alias(n) for n, c in rates().items()]
     )
 
 
+def answer_scores(records: DataFrame, by: list[str], label: str = "label") -> DataFrame:
+    """Counts and rates per group; NULL labels are ungraded and only counted."""
+    return _with_rates(_counted(records, by, label))
+
+
 def answer_score_intervals(records: DataFrame, by: list[str], label: str = "label", cluster: str = "question_id",
-                           resamples: int = RESAMPLES, digits: int | None = 4, index: DataFrame | None = None,
-                           drawn: DataFrame | None = None) -> DataFrame:
-    """``answer_scores`` with bootstrap intervals over questions."""
-    graded = records.where(F.col(label).isNotNull()).withColumn("cluster", F.col(cluster))
-    per = _counted(graded, [*by, "cluster"], label)
-    reps = bootstrap_sums(per, by, ["n", "correct", "incorrect"], rates(), index, drawn, resamples)
-    bounds = interval(reps, by, list(rates()), digits)
-    return answer_scores(records, by, label).join(bounds, by)
+                           resamples: int = RESAMPLES, digits: int | None = 4, drawn: DataFrame | None = None) -> DataFrame:
+    """``answer_scores`` with bootstrap intervals over questions. Ungraded records
+    are counted but not resampled."""
+    per = materialize(_counted(records.withColumn("cluster", F.col(cluster)), [*by, "cluster"], label), "graded")
+    totals = [F.sum(c).alias(c) for c in ("n", "correct", "incorrect", "not_attempted", "ungraded")]
+    graded = per.where(F.col("n") > 0)
+    reps = bootstrap_sums(graded, by, ["n", "correct", "incorrect"], rates(), resamples, drawn)
+    return _with_rates(per.groupBy(*by).agg(*totals)).join(interval(reps, by, list(rates()), digits), by)
 
 
 def claim_support(records: DataFrame, claims: DataFrame, by: list[str], resamples: int = RESAMPLES,
@@ -73,9 +77,8 @@ def claim_support(records: DataFrame, claims: DataFrame, by: list[str], resample
         F.count_if(F.col("label") == "unreadable").alias("unreadable"),
     )
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("supported", "kept_claims", "unreadable")]
-    per = records.select(*by, "question_id").join(graded, [*by, "question_id"], "left").select(
-        *by, F.col("question_id").alias("cluster"), *zero
-    )
+    joined = records.select(*by, "question_id").join(graded, [*by, "question_id"], "left")
+    per = materialize(joined.select(*by, F.col("question_id").alias("cluster"), *zero), "support")
     rate = F.try_divide(F.col("supported"), F.col("kept_claims"))
     point = per.groupBy(*by).agg(
         F.sum("kept_claims").alias("kept_claims"),

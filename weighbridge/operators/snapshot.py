@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weighbridge.functions.ids import sha256_text
-from weighbridge.functions.text import contains_gold, is_short_answer, normalize_answer
+from weighbridge.functions.text import is_short_answer, normalize_answer
 from weighbridge.operators.grouped import running_sum
 from weighbridge.settings import LIMITS
+from weighbridge.stages import materialize
 
 
 def replay(chunks: DataFrame, drawers: DataFrame, strict: bool = True) -> DataFrame:
@@ -51,50 +52,91 @@ def replay_check(questions: DataFrame, results: DataFrame, chunks: DataFrame, dr
     )
 
 
-def gold_hits(pieces: DataFrame, golds: DataFrame, block: list[str], order: list[str]) -> DataFrame:
-    """``question_id, gold`` pairs where the normalised gold occurs in the question's
+def gold_hits(pieces: DataFrame, golds: DataFrame, block: list[str], order: list[str], scope: Column) -> DataFrame:
+    """``question_id, hit, hit_in_scope``: whether any gold occurs in the question's
     pieces joined in order. Same answer as joining all texts, without doing so.
 
-    ``pieces(question_id, block..., order..., text)`` and ``golds(question_id,
-    gold)`` with normalised golds. A match lies inside one piece or spans a
-    boundary. For the boundaries only the ends of the pieces travel: pieces are
-    numbered, and each gets the heads of as many successors as the longest gold
-    of its question can reach, given its question's shortest piece.
+    ``pieces(question_id, block..., order..., text)``, ``golds(question_id, golds)``
+    with normalised golds; ``scope`` marks a prefix of the order. A match lies
+    inside one piece or spans a boundary. Texts are read once; for the
+    boundaries only the ends of a piece travel, at most four times the longest
+    gold, placed on the character axis of the question in cells of that length.
     """
-    norm = pieces.withColumn("_t", normalize_answer(F.col("text"))).where(F.col("_t") != "").drop("text")
-    wanted = golds.where(F.col("gold") != "").select("question_id", "gold").distinct()
-    inside = norm.select("question_id", "_t").join(wanted, "question_id").where(
-        F.contains("_t", "gold")
-    ).select("question_id", "gold")
-
-    reach = wanted.groupBy("question_id").agg(F.max(F.length("gold")).alias("_g"))
-    numbered = running_sum(
-        norm.withColumn("_one", F.lit(1)), ["question_id"], block, [F.asc(c) for c in order], "_one", "_pos"
-    )
-    shortest = norm.groupBy("question_id").agg(F.min(F.length("_t")).alias("_short"))
-    span = reach.join(shortest, "question_id").withColumn(
-        "_m", F.ceil(F.col("_g") / (F.col("_short") + 1)).cast("int")
-    )
-    ends = numbered.join(span, "question_id").where(F.col("_g") > 2).select(
-        "question_id", "_pos", "_m", F.left("_t", F.col("_g")).alias("_head"),
-        F.right("_t", F.col("_g")).alias("_tail"), (F.length("_t") > F.col("_g")).alias("_cut"),
-    )
-    heads = ends.select(
-        "question_id", F.explode(F.sequence(F.lit(1), F.col("_m"))).alias("_back"), "_pos", "_head", "_cut"
-    ).select("question_id", (F.col("_pos") - F.col("_back")).alias("_pos"), "_back", "_head", "_cut").where(F.col("_pos") > 0)
-    ahead = heads.groupBy("question_id", "_pos").agg(
-        F.array_sort(F.collect_list(F.struct("_back", "_head", "_cut"))).alias("_next")
-    )  # at most _m short heads per piece; nothing may follow a head that was cut short
-    stop = F.array_position(F.transform("_next", lambda e: e["_cut"]), F.lit(True)).cast("int")
-    follow = F.slice("_next", F.lit(1), F.when(stop > 0, stop).otherwise(F.size("_next")))
-    after = ahead.select(
-        "question_id", "_pos", F.array_join(F.transform(follow, lambda e: e["_head"]), " ").alias("_after")
-    )
-    joints = ends.join(after, ["question_id", "_pos"]).select(
-        "question_id", F.concat_ws(" ", "_tail", "_after").alias("_t")
-    )
-    across = joints.join(wanted, "question_id").where(F.contains("_t", "gold")).select("question_id", "gold")
-    return inside.unionByName(across).distinct()
+    wanted = golds.select(
+        "question_id", F.filter("golds", lambda g: g != "").alias("_golds"),
+        F.array_max(F.transform("golds", F.length)).alias("_g"),
+    ).where(F.col("_g") > 0)
+    texts = pieces.join(wanted, "question_id").select(
+        "question_id", *block, *order, scope.alias("_scope"), "_golds", "_g", normalize_answer(F.col("text")).alias("_t")
+    )
+    n, g, spaced = F.length("_t") + 1, F.col("_g"), F.concat("_t", F.lit(" "))
+    ends = materialize(
+        texts.where(F.col("_t") != "").select(
+            "question_id", *block, *order, "_scope", "_g", n.alias("_n"),
+            F.exists("_golds", lambda gold: F.contains("_t", gold)).alias("_inside"),
+            F.left(spaced, 2 * g).alias("_head"), F.when(n > 2 * g, F.right(spaced, 2 * g)).alias("_tail"),
+        ),
+        "gold_ends",
+    )
+    found = ends.groupBy("question_id").agg(
+        F.some("_inside").alias("_hit"), F.some(F.col("_inside") & F.col("_scope")).alias("_hit_in_scope")
+    )
+    # a question settled inside single pieces needs no look at boundaries
+    unsettled = found.where(~F.col("_hit_in_scope")).select("question_id")
+    placed = running_sum(
+        ends.join(unsettled, "question_id", "left_semi"), ["question_id"], block, [F.asc(c) for c in order], "_n", "_end"
+    )
+
+    def states_gold(text: str) -> Column:
+        return F.some(F.exists("_golds", lambda gold: F.contains(text, gold)))
+
+    around = _boundary_texts(placed).join(wanted.select("question_id", "_golds"), "question_id")
+    across = around.groupBy("question_id").agg(
+        states_gold("_text").alias("_across"), states_gold("_text_in_scope").alias("_across_scope")
+    )
+    no = F.lit(False)
+    return found.join(across, "question_id", "left").select(
+        "question_id",
+        (F.col("_hit") | F.coalesce("_across", no)).alias("hit"),
+        (F.col("_hit_in_scope") | F.coalesce("_across_scope", no)).alias("hit_in_scope"),
+    )
+
+
+def _boundary_texts(placed: DataFrame) -> DataFrame:
+    """Text around piece boundaries: two neighbouring cells of ``_g`` characters.
+
+    A piece fills the cells within ``_g`` of its two ends. Every cell so filled is
+    complete, since whatever else lies in it has an end there too.
+    """
+    g, n = F.col("_g"), F.col("_n")
+    start = F.col("_end") - n
+    last = F.floor((F.col("_end") - 1) / g)
+    near_start = F.sequence(F.floor(start / g), F.least(F.floor((start + g) / g), last))
+    near_end = F.sequence(F.floor(F.greatest(start, F.col("_end") - g) / g), last)
+    cells = F.explode(F.array_union(near_start, near_end)).alias("_cell")
+    parts = placed.select("question_id", "_scope", "_g", "_n", "_head", "_tail", start.alias("_start"), "_end", cells)
+    low = F.greatest(F.col("_cell") * g, F.col("_start"))
+    high = F.least((F.col("_cell") + 1) * g, F.col("_end"))
+    size = (high - low).cast("int")
+    in_head = F.substring("_head", (low - F.col("_start") + 1).cast("int"), size)
+    in_tail = F.substring("_tail", (low - F.col("_end") + 2 * g + 1).cast("int"), size)
+    part = F.when(high - F.col("_start") <= 2 * g, in_head).otherwise(in_tail)
+    pieces = F.array_sort(F.collect_list(F.struct(low.alias("at"), part.alias("part"), "_scope")))
+    filled = parts.groupBy("question_id", "_cell").agg(pieces.alias("_parts"))  # fewer parts than a gold has letters
+
+    def text(rows: Column) -> Column:
+        return F.array_join(F.transform(rows, lambda r: r["part"]), "")
+
+    cell = filled.select(
+        "question_id", "_cell", text(F.col("_parts")).alias("_text"), text(F.filter("_parts", lambda r: r["_scope"])).alias("_text_in_scope")
+    )
+    beyond = cell.select(
+        "question_id", (F.col("_cell") - 1).alias("_cell"), F.col("_text").alias("_more"), F.col("_text_in_scope").alias("_more_in_scope")
+    )
+    return cell.join(beyond, ["question_id", "_cell"], "left").select(
+        "question_id", F.concat("_text", F.coalesce("_more", F.lit(""))).alias("_text"),
+        F.concat("_text_in_scope", F.coalesce("_more_in_scope", F.lit(""))).alias("_text_in_scope"),
+    )
 
 
 def recall(questions: DataFrame, results: DataFrame, chunks: DataFrame, top: int = LIMITS.baseline_pages) -> DataFrame:
@@ -104,31 +146,26 @@ def recall(questions: DataFrame, results: DataFrame, chunks: DataFrame, top: int
     snippet)``, ``chunks(question_id, rank, chunk_index, text)``.
     """
     listed = F.when(F.size("golds") > 0, F.col("golds")).otherwise(F.array("gold"))
-    golds = questions.select("question_id", F.explode(listed).alias("gold")).select(
+    single = questions.select("question_id", F.posexplode(listed).alias("_i", "gold")).select(
         "question_id", normalize_answer(F.col("gold")).alias("gold")
     )
+    golds = single.groupBy("question_id").agg(F.collect_list("gold").alias("golds"))  # a question's own few golds
     snippets = results.select(
         "question_id", "rank",
         F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))).alias("text"),
         F.lit(0).alias("_at"),
     )
     parts = chunks.select("question_id", "rank", F.floor(F.col("chunk_index") / 64).alias("_part"), "chunk_index", "text")
-
-    def found(pieces: DataFrame, block: list[str], order: list[str], name: str) -> DataFrame:
-        hits = gold_hits(pieces, golds, block, order)
-        return hits.select("question_id").distinct().withColumn(name, F.lit(True))
-
-    flags = [
-        found(snippets, ["rank"], ["_at"], "_snippet"),
-        found(parts, ["rank", "_part"], ["chunk_index"], "in_chunks"),
-        found(parts.where(F.col("rank") <= top), ["rank", "_part"], ["chunk_index"], "in_top_pages"),
-    ]
+    in_results = gold_hits(snippets, golds, ["rank"], ["_at"], F.lit(False)).select("question_id", F.col("hit").alias("_snippet"))
+    in_pages = gold_hits(parts, golds, ["rank", "_part"], ["chunk_index"], F.col("rank") <= top).select(
+        "question_id", F.col("hit").alias("in_chunks"), F.col("hit_in_scope").alias("in_top_pages")
+    )
     counts = [
         results.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_results")),
         chunks.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_chunks")),
     ]
     out = questions.select("question_id", "gold")
-    for side in flags + counts:
+    for side in (in_results, in_pages, *counts):
         out = out.join(side, "question_id", "left")
     in_chunks, in_snippets = F.coalesce("in_chunks", F.lit(False)), F.coalesce("_snippet", F.lit(False))
     return out.select(

@@ -35,7 +35,7 @@ from weighbridge.operators.passages import (
 )
 from weighbridge.operators.ranking import baseline_evidence, conflict_block, pick_pages, rank_and_select
 from weighbridge.settings import CONFLICTS_NOTE, LIMITS, Limits
-from weighbridge.sources.writers import stage_dir
+from weighbridge.stages import stage_dir
 
 # requests(question_id, id, state) and a stage name -> (question_id, id, qid, value, choice, confidence)
 Judge = Callable[[DataFrame, str], DataFrame]

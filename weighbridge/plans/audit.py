@@ -9,6 +9,7 @@ from weighbridge.functions.answers import grid_bin
 from weighbridge.operators.resample import auroc_with_interval
 from weighbridge.operators.spread import score_histogram, spread
 from weighbridge.settings import RESAMPLES
+from weighbridge.stages import materialize
 
 
 def audit(scores: DataFrame, resamples: int = RESAMPLES, on_grid: bool = False) -> DataFrame:
@@ -20,9 +21,10 @@ def audit(scores: DataFrame, resamples: int = RESAMPLES, on_grid: bool = False)
     """
     score = (grid_bin(F.col("score")) / 100) if on_grid else F.col("score")
     rows = scores.select("judge", "cluster", score.alias("score"), "label").where(F.col("score").isNotNull())
-    hist = rows.groupBy("judge", "cluster", "score").agg(
+    counted = rows.groupBy("judge", "cluster", "score").agg(
         F.count_if(F.col("label")).alias("pos"), F.count_if(~F.col("label")).alias("neg"), F.count(F.lit(1)).alias("n")
     )
+    hist = materialize(counted, "audit")
     grid = hist.groupBy("judge", grid_bin(F.col("score")).alias("bin")).agg(F.sum("n").alias("n"))
     labelled = hist.where(F.col("pos") + F.col("neg") > 0).drop("n")
     return spread(grid, ["judge"]).join(
