@@ -21,6 +21,7 @@ CELL_QUERIES = 2048
 CELL_VECTORS = 16_384
 
 HIT = "question_id string, drawer_id string, similarity double"
+NO_HITS = pd.DataFrame({"question_id": pd.Series(dtype=object), "drawer_id": pd.Series(dtype=object), "similarity": pd.Series(dtype="float64")})
 
 
 def _unit(vectors) -> np.ndarray:
@@ -32,9 +33,9 @@ def _unit(vectors) -> np.ndarray:
 def _best_in_cell(n: int):
     def best(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or vectors.empty:
-            return pd.DataFrame({"question_id": [], "drawer_id": [], "similarity": []})
+            return NO_HITS
         vectors = vectors.sort_values("drawer_id", kind="stable")
-        scores = _unit(queries["embedding"]) @ _unit(vectors["embedding"]).T
+        scores = _unit(queries["query_vector"]) @ _unit(vectors["embedding"]).T
         keep = min(n, scores.shape[1])
         # rounding first keeps ties ties, whatever block they were computed in
         order = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :keep]
@@ -68,7 +69,8 @@ def search(
     slices = max(1, -(-n_vectors // CELL_VECTORS))
     blocks = max(1, -(-n_queries // CELL_QUERIES))
     floor = ["since"] if since else []
-    q = queries.select("question_id", "embedding", *floor).withColumn(
+    # the names differ on the two sides, so both may come from one table
+    q = queries.select("question_id", F.col("embedding").alias("query_vector"), *floor).withColumn(
         "block", F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int")
     ).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     d = drawers.select("drawer_id", "embedding", *(["authored_at"] if since else [])).withColumn(
@@ -77,13 +79,14 @@ def search(
     cell = _best_in_cell(n)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not since:
+        if not since or left.empty or right.empty:
             return cell(left, right)
-        parts = [
-            cell(part, right if pd.isna(day) else right[right["authored_at"] >= day])
-            for day, part in left.groupby("since", dropna=False)
-        ]
-        return pd.concat(parts) if parts else cell(left, right)
+        parts = []
+        for day in left["since"].unique():
+            mine = left["since"].isna() if pd.isna(day) else left["since"] == day
+            fresh = np.ones(len(right), dtype=bool) if pd.isna(day) else (right["authored_at"] >= day).to_numpy(dtype=bool)
+            parts.append(cell(left.loc[mine.to_numpy(dtype=bool)], right.loc[fresh]))
+        return pd.concat(parts)
 
     found = q.groupBy("block", "slice").cogroup(d.groupBy("block", "slice")).applyInPandas(compare, HIT)
     return _cut(found, n, max_distance)
