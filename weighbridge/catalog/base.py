@@ -98,7 +98,7 @@ def sql_draws(by: str = "", resamples: int = RESAMPLES, index: str = "numbered")
     return f"""
 draws as (
   select {cols}r.replicate,
-         ('0x' || substr(md5(r.replicate || '|' || n.idx), 1, 8))::bigint % n.n_keys as idx
+         ('0x' || substr(md5(r.replicate || '|' || (n.idx // 4)), (1 + 8 * (n.idx % 4))::int, 8))::bigint % n.n_keys as idx
   from {index} n cross join (select range as replicate from range({resamples})) r
 )"""
 

@@ -138,8 +138,8 @@ def normalize_answer(text: Column) -> Column:
     """
     wide = let(text, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), t))
     folded = F.coalesce(_fold(wide), F.lower(text), F.lit(""))
-    words = F.regexp_replace(folded, r"(?U)[^\w\s]+", " ")
-    return F.trim(F.regexp_replace(words, r"(?U)\s+", " "))
+    # punctuation and white space alike become one space, so one pass does both
+    return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}_]+", " "))
 
 
 def contains_gold(haystack: Column, gold: Column) -> Column:

@@ -31,19 +31,23 @@ def _spread_out(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
-def hashed_pick(replicate: Column, slot: Column, n_keys: Column) -> Column:
-    """Cluster index drawn for a slot: reproducible in any engine with md5."""
-    digest = F.md5(F.concat_ws("|", replicate.cast("string"), slot.cast("string")))
-    return F.pmod(F.conv(F.left(digest, F.lit(8)), 16, 10).cast("bigint"), n_keys)
-
-
 def draws(index: DataFrame, by: list[str], resamples: int = RESAMPLES) -> DataFrame:
-    """``by, replicate, idx``: n clusters drawn with replacement per replicate."""
-    slots = _spread_out(index.select(*by, F.col("idx").alias("slot"), "n_keys"), [*by, "slot"])
-    exploded = slots.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    return exploded.select(
-        *by, "replicate", hashed_pick(F.col("replicate"), F.col("slot"), F.col("n_keys")).alias("idx")
+    """``by, replicate, idx``: n clusters drawn with replacement per replicate.
+
+    Slot j of replicate r takes eight hex digits of md5("r|j div 4"), so one
+    digest serves four slots and any engine with md5 makes the same draws.
+    """
+    heads = index.where(F.col("idx") % 4 == 0).select(*by, F.col("idx").alias("slot"), "n_keys")
+    exploded = _spread_out(heads, [*by, "slot"]).withColumn(
+        "replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
     )
+    block = F.concat_ws("|", F.col("replicate").cast("string"), F.floor(F.col("slot") / 4).cast("string"))
+    hashed = exploded.withColumn("_digest", F.md5(block))
+    picks = [
+        F.pmod(F.conv(F.substring("_digest", 8 * k + 1, 8), 16, 10).cast("bigint"), F.col("n_keys")) for k in range(4)
+    ]
+    held = F.least(F.lit(4), F.col("n_keys") - F.col("slot")).cast("int")
+    return hashed.select(*by, "replicate", F.explode(F.slice(F.array(*picks), F.lit(1), held)).alias("idx"))
 
 
 def stream_draws(spark, n: int, resamples: int = RESAMPLES, seed: int = RESAMPLE_SEED, one_block: bool = True) -> DataFrame:
@@ -136,9 +140,10 @@ def bootstrap_auroc(
 
 
 def auroc_with_interval(cluster_hist: DataFrame, by: list[str], score: str = "score", on_grid: bool = False,
-                        resamples: int = RESAMPLES) -> DataFrame:
-    """Point AUROC, class counts, cluster-bootstrap interval and cluster count."""
-    cluster_hist = materialize(cluster_hist, "histogram")
+                        resamples: int = RESAMPLES, stored: bool = False) -> DataFrame:
+    """Point AUROC, class counts, cluster-bootstrap interval and cluster count.
+    ``stored`` says the histogram is a written table already."""
+    cluster_hist = cluster_hist if stored else materialize(cluster_hist, "histogram")
     overall = cluster_hist.groupBy(*by, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     reps = bootstrap_auroc(cluster_hist, by, None, score, on_grid, resamples)
     bounds = interval(reps.withColumnRenamed("auroc", "ci"), by, ["ci"])

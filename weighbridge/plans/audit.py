@@ -28,7 +28,7 @@ def audit(scores: DataFrame, resamples: int = RESAMPLES, on_grid: bool = False)
     grid = hist.groupBy("judge", grid_bin(F.col("score")).alias("bin")).agg(F.sum("n").alias("n"))
     labelled = hist.where(F.col("pos") + F.col("neg") > 0).drop("n")
     return spread(grid, ["judge"]).join(
-        auroc_with_interval(labelled, ["judge"], on_grid=on_grid, resamples=resamples), "judge", "left"
+        auroc_with_interval(labelled, ["judge"], on_grid=on_grid, resamples=resamples, stored=True), "judge", "left"
     )
 
 
