@@ -77,12 +77,12 @@ def sheet_from_csv(spark, path):
         F.col("c_mktsegment"), F.when(key % 2 == 0, F.col("c_name")).otherwise(""),
     )
     body = Tables(spark, path).customer.select(
-        F.concat(F.lit("1"), F.format_string("%012d", key)).alias("at"), F.concat(F.array_join(cells, ","), F.when(key % 10 == 0, "\n,,,,,,").otherwise("")).alias("value")
+        F.concat(F.array_join(cells, ","), F.when(key % 10 == 0, "\n,,,,,,").otherwise("")).alias("value")
     )
-    head = spark.createDataFrame([("0", "Notes on the sheet\nas of,2026-09-19\n\n" + ",".join(names))], "at string, value string")
-    # the sheet export is one text file by nature, so the fixture is written as one
-    head.unionByName(body).repartition(1).sortWithinPartitions("at").select("value").write.text(where)
-    q = R.read_sheet_questions(spark, where, width=12)
+    head = spark.createDataFrame([("Notes on the sheet\nas of,2026-09-19\n\n" + ",".join(names),)], "value string")
+    head.write.text(f"{where}/0-head")  # files are read in name order: the preamble first
+    body.select("value").write.text(f"{where}/1-body")
+    q = R.read_sheet_questions(spark, f"{where}/*", width=12)
     m = F.col("metadata")
     return q.select(
         "question_id", "query", "gold", m["split"].alias("split"), (m["false_premise"] == "true").cast("int").alias("false_premise"), F.size("golds").alias("n_golds")
@@ -237,13 +237,15 @@ def manifest_tables(spark, path):
 
 @query(
     "stage_bank",
-    """select event_type, q.stage, count(*) as n from events cross join (values ('s0'), ('s0'), ('s0'), ('s0'), ('s1'), ('s1'), ('s1'), ('s1'), ('s1'), ('s2'), ('s2'), ('s4'), ('s4')) q(stage)
-group by 1, 2""",
+    """select stage, qid, type, count(*) as n from (select case event_id % 4 when 3 then 's4' else 's' || (event_id % 4) end as stage from events)
+join (values ('s0', 'needs_search', 'noul'), ('s0', 'source', 'choice'), ('s0', 'recency', 'choice'), ('s0', 'category', 'choice'), ('s1', 'is_relevant', 'noul'),
+  ('s1', 'contains_answer_evidence', 'noul'), ('s1', 'contradicts_query_premise', 'noul'), ('s1', 'contains_prompt_injection', 'noul'),
+  ('s1', 'is_promotional_or_boilerplate', 'noul'), ('s2', 'evidence_sufficient', 'noul'), ('s2', 'evidence_conflicts', 'noul'), ('s4', 'support', 'choice'),
+  ('s4', 'answer_addresses_query', 'noul')) q(stage, qid, type) using (stage) group by all""",
 )
 def stage_bank(spark, path):
-    """Every request against the question bank, a fixed table of thirteen rows."""
-    bank = F.broadcast(R.question_bank(spark).select("stage", "qid", F.lit(1).alias("k")))
-    rows = Tables(spark, path).events.select("event_type", F.lit(1).alias("k")).join(bank, "k")
-    return rows.groupBy("event_type", "stage").agg(F.count(F.lit(1)).alias("n"))
-
-
+    """Requests per stage joined to the questions that stage asks (thirteen in all)."""
+    case = F.col("event_id") % 4
+    stage = F.when(case == 3, "s4").otherwise(F.concat(F.lit("s"), case.cast("string")))
+    sent = Tables(spark, path).events.select(stage.alias("stage")).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    return sent.join(R.question_bank(spark).select("stage", "qid", "type"), "stage").select("stage", "qid", "type", "n")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from weighbridge.functions.answers import fallback_answer, parse_label, parse_letter
 from weighbridge.functions.text import strip
+from weighbridge.stages import materialize
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 SCORED = "cache_key string, model string, answers string, input_tokens bigint, output_tokens bigint, error string"
@@ -83,7 +84,7 @@ def score_and_store(requests: DataFrame, cache_path: str, scorer: Scorer, fallba
     schema = "cache_key string, model string, answers string, input_tokens bigint, output_tokens bigint, fallback boolean"
     before = spark.read.schema(schema).parquet(cache_path)
     hit_keys = before.select("cache_key", F.lit(True).alias("cached"))
-    marked = requests.select("cache_key").distinct().join(hit_keys, "cache_key", "left").checkpoint()
+    marked = materialize(requests.select("cache_key").distinct().join(hit_keys, "cache_key", "left"), "hits")
     new_entries(requests, before, scorer, fallback, parallelism).write.mode("append").parquet(cache_path)
     spark.catalog.refreshByPath(cache_path)
     after = spark.read.schema(schema).parquet(cache_path)

@@ -71,13 +71,13 @@ def gold_hits(pieces: DataFrame, golds: DataFrame, block: list[str], order: list
     )
     n, g, spaced = F.length("_t") + 1, F.col("_g"), F.concat("_t", F.lit(" "))
     ends = materialize(
-        texts.where(F.col("_t") != "").select(
+        texts.select(
             "question_id", *block, *order, "_scope", "_g", n.alias("_n"),
             F.exists("_golds", lambda gold: F.contains("_t", gold)).alias("_inside"),
             F.left(spaced, 2 * g).alias("_head"), F.when(n > 2 * g, F.right(spaced, 2 * g)).alias("_tail"),
         ),
         "gold_ends",
-    )
+    ).where(F.col("_n") > 1)  # blank pieces; dropped here, as the filter would normalise every text again
     found = ends.groupBy("question_id").agg(
         F.some("_inside").alias("_hit"), F.some(F.col("_inside") & F.col("_scope")).alias("_hit_in_scope")
     )
