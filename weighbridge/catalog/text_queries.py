@@ -24,8 +24,9 @@ def clean(x: str) -> str:
     """SQL of ``clean_text`` for the entities that occur in the pages."""
     out = f"regexp_replace({x}, '(?s)```.*?```', ' ', 'g')"
     out = f"regexp_replace({out}, '<[^>]{{1,200}}>', ' ', 'g')"
-    for entity, char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        out = f"replace({out}, '{entity}', '{char}')"
+    # a cut page may end an entity without its semicolon, which HTML accepts
+    for entity, char in (("&quot", '"'), ("&middot", "·"), ("&copy", "©"), ("&lt", "<"), ("&gt", ">"), ("&amp", "&")):
+        out = f"regexp_replace({out}, '{entity};?', '{char}', 'g')"
     out = f"regexp_replace({out}, '[ \\t\\f\\v]+', ' ', 'g')"
     out = f"regexp_replace({out}, '\\r\\n|\\r', chr(10), 'g')"
     out = f"regexp_replace({out}, '[^\\S\\n]*\\n[^\\S\\n]*', chr(10), 'g')"
