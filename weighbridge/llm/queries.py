@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weighbridge.llm.bpe import bpe_digests
 from weighbridge.llm.common import table
 from weighbridge.llm.mixing import mix
+from weighbridge.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+TOKEN_LIMIT = 512
+
+
+@query("op3_token_counts")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every whole document."""
+    return count_tokens(table(spark, folder, "documents"), BYTE_BPE, TOKEN_LIMIT, ["doc_id"])
+
+
 MIX_SQL = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents
