@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weighbridge.llm.ann import learned_index, search
 from weighbridge.llm.bpe import bpe_digests
+from weighbridge.llm import blocks
 from weighbridge.llm.common import table
 from weighbridge.llm.mixing import mix
 from weighbridge.llm.token_counts import count_tokens
+from weighbridge.llm.topk_search import voronoi_top_k, whole_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +32,39 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+TOPK_SQL = """
+with v as (
+  select vec_id, max(list_transform(embedding, lambda x: floor(64 * x::double)::bigint)) as vec
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and vec_id is not null
+  group by vec_id
+), scored as (
+  select q.vec_id as query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.vec, c.vec), lambda p: p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+)
+select query_id, rank, vec_id, score from (
+  select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from scored
+) where rank <= 20
+"""
+
+
+@query("op1_voronoi_top_k", TOPK_SQL)
+def voronoi_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 rows of highest inner product for every twentieth vector, exactly."""
+    vectors = whole_components(table(spark, folder, "embeddings"), "vec_id", "embedding", 64)
+    return voronoi_top_k(vectors, F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op4_learned_partitions")
+def learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 nearest vectors found for every hundredth vector, by learned partitions."""
+    rows = table(spark, folder, "embeddings").where(blocks.usable("embedding"))
+    vector = F.transform("embedding", lambda x: x.cast("double"))
+    vectors = blocks.one_per_id(rows, "vec_id", vector).where(F.exists("vec", lambda x: x != 0))
+    return search(vectors, F.col("vec_id") % 100 == 0, 10, learned_index(vectors))
+
+
 TOKEN_LIMIT = 512
 
 
