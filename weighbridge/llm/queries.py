@@ -13,6 +13,7 @@ from weighbridge.llm.bpe import bpe_digests
 from weighbridge.llm import blocks
 from weighbridge.llm.common import table
 from weighbridge.llm.mixing import mix
+from weighbridge.llm.ngram_join import jaccard_join, numbered
 from weighbridge.llm.token_counts import count_tokens
 from weighbridge.llm.topk_search import voronoi_top_k, whole_components
 
@@ -56,6 +57,33 @@ def voronoi_search(spark: SparkSession, folder: str) -> DataFrame:
     return voronoi_top_k(vectors, F.col("vec_id") % 20 == 0, 20)
 
 
+NEAR_SQL = r"""
+with w as (
+  select doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents where text is not null
+), s as (
+  select doc_id, list_distinct(case when len(w) < 5 then [array_to_string(w, ' ')]
+         else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+  from w where len(w) > 0
+), g as (select doc_id, len(s) as n, unnest(s) as g from s),
+common as (select a.doc_id as u, b.doc_id as v, a.n as nu, b.n as nv, count(*) as c from g a join g b on a.g = b.g and a.doc_id < b.doc_id group by all),
+links as (select u, v from common where c >= 0.8 * (nu + nv - c) - 1e-9),
+sides as (select u, v from links union all select v, u from links),
+""" + """reach as (
+  with recursive r as (select doc_id as node, doc_id as root from documents union select sides.v, r.root from r join sides on sides.u = r.node)
+  select node, min(root) as root from r group by node
+)
+select d.doc_id, r.root as class_id, (select count(*) from sides where sides.u = d.doc_id) as n_links
+from documents d join reach r on r.node = d.doc_id
+"""
+
+
+@query("op2_ngram_join", NEAR_SQL)
+def ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and number of links of every document under 5-gram Jaccard similarity 0.8."""
+    rows = numbered(table(spark, folder, "documents"), ["doc_id", "text"])
+    return jaccard_join(rows).join(rows.select("_row", "doc_id"), "_row").select("doc_id", "class_id", "n_links")
+
+
 @query("op4_learned_partitions")
 def learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 nearest vectors found for every hundredth vector, by learned partitions."""
