@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from weighbridge.llm.ann import learned_index, search
 from weighbridge.llm.bpe import bpe_digests
-from weighbridge.llm import blocks
-from weighbridge.llm.common import table
+from weighbridge.llm import blocks, language_id, toxicity
+from weighbridge.llm.common import fold, table
 from weighbridge.llm.mixing import mix
 from weighbridge.llm.ngram_join import jaccard_join, numbered
 from weighbridge.llm.token_counts import count_tokens
@@ -146,3 +146,21 @@ def source_mixture(spark: SparkSession, folder: str) -> DataFrame:
 def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of ids and of the decoded text of every document."""
     return bpe_digests(table(spark, folder, "documents"), BYTE_BPE, ["doc_id"])
+
+
+@query("op7_toxicity")
+def toxic_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every whole document; every fifth fold is held out."""
+    docs = table(spark, folder, "documents")
+    machine = toxicity.learn(docs, table(spark, folder, "labels"), fold("doc_id", 5) != 0)
+    rows = docs.withColumn("held_out", fold("doc_id", 5) == 0)
+    return toxicity.score_texts(rows, machine, ["doc_id", "held_out"])
+
+
+@query("op9_language_mixture")
+def language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every whole document; every third fold is held out."""
+    docs = table(spark, folder, "documents")
+    model = language_id.learn(docs, fold("doc_id", 3) != 1)
+    rows = docs.withColumn("held_out", fold("doc_id", 3) == 1)
+    return language_id.identify(rows, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
