@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weighbridge.llm.ann import learned_index, search
 from weighbridge.llm.bpe import bpe_digests
-from weighbridge.llm import blocks, language_id, toxicity
+from weighbridge.llm import blocks, language_id, lm, toxicity
 from weighbridge.llm.common import fold, table
 from weighbridge.llm.mixing import mix
 from weighbridge.llm.ngram_join import jaccard_join, numbered
@@ -164,3 +164,12 @@ def language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     model = language_id.learn(docs, fold("doc_id", 3) != 1)
     rows = docs.withColumn("held_out", fold("doc_id", 3) == 1)
     return language_id.identify(rows, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op10_lm_scores")
+def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram and maximum-entropy scores of every whole document; every seventh fold is held out."""
+    docs = table(spark, folder, "documents")
+    model, counts = lm.learn(docs, fold("doc_id", 7) != 2)
+    rows = docs.withColumn("held_out", fold("doc_id", 7) == 2)
+    return lm.score_texts(rows, model, counts, ["doc_id", "held_out"])
