@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weighbridge.llm.ann import learned_index, search
 from weighbridge.llm.bpe import bpe_digests
-from weighbridge.llm import blocks, language_id, lm, toxicity
+from weighbridge.llm import blocks, language_id, lm, secret_scan, toxicity
 from weighbridge.llm.common import fold, table
 from weighbridge.llm.mixing import mix
 from weighbridge.llm.ngram_join import jaccard_join, numbered
@@ -173,3 +173,9 @@ def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     model, counts = lm.learn(docs, fold("doc_id", 7) != 2)
     rows = docs.withColumn("held_out", fold("doc_id", 7) == 2)
     return lm.score_texts(rows, model, counts, ["doc_id", "held_out"])
+
+
+@query("op6_secret_scan")
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every candidate for a secret in every whole document, scored by the forest."""
+    return secret_scan.scan(table(spark, folder, "documents"), ["doc_id"])
