@@ -58,14 +58,16 @@ def by_id_without_copies(ids: np.ndarray, data: np.ndarray, k: int) -> np.ndarra
     return order[keep]
 
 
-def best_rows(nearness: np.ndarray, k: int, slack: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of all entries at least as high as the k-th of their query, less a slack."""
+def best_rows(nearness: np.ndarray, k: int, slack: float = 0.0, lowest=-np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all entries at least as high as the k-th of their query, less a
+    slack; ``lowest`` marks what can't be a result."""
     n = nearness.shape[1]
     if n > k:
-        bound = np.partition(nearness, n - k, axis=1)[:, n - k] - slack
-        mask = (nearness >= bound[:, None]) & (nearness > -np.inf)
+        bound = np.partition(nearness, n - k, axis=1)[:, n - k]
+        bound = bound - slack if slack else bound
+        mask = (nearness >= bound[:, None]) & (nearness > lowest)
     else:
-        mask = nearness > -np.inf
+        mask = nearness > lowest
     return np.nonzero(mask)
 
 

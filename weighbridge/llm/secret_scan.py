@@ -39,7 +39,8 @@ DICTIONARY = 20_000  # most frequent words of the corpus
 LABELLED = 50_000  # findings the forest is fitted on at most (by hash)
 TREES, DEPTH, SEED = 40, 8, 13
 NEIGHBOURS = 16  # buckets of hashed neighbouring words
-PATHS = 4
+WORDY = 0.8  # dictionary coverage from which a rule takes a finding for words
+COVERAGE = 23  # its place among the features
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY) -> frozenset[str]:
@@ -94,7 +95,7 @@ def features(value: str, before: str, after: str, path: str, words: frozenset[st
     return [math.log1p(n), *share, *moves, entropy, hexa, coverage(value, words), *paths, named, assigned, *near]
 
 
-def known_label(value: str, before: str) -> int | None:
+def known_label(value: str, before: str, covered: float) -> int | None:
     """Label of a finding that a rule settles: 1 for published formats and values
     assigned to a secret's name, 0 for numbers, identifiers and plain words; None else."""
     if KEY_BLOCK.match(value) or KNOWN.fullmatch(value):
@@ -103,12 +104,14 @@ def known_label(value: str, before: str) -> int | None:
         return 1
     if UUID.fullmatch(value) or value.strip("-+/_=").isdigit() or not any(c.isdigit() for c in value) or len(set(value)) <= 4:
         return 0
+    if covered >= WORDY:
+        return 0
     return None
 
 
 def findings(text: str):
-    """(start, end) of candidates: key blocks, and runs of twelve or more characters
-    with a digit or with capitals inside."""
+    """(start, end) of candidates: key blocks, published formats, and other runs of twelve
+    or more characters with a digit or with capitals inside."""
     for m in KEY_BLOCK.finditer(text) if "-----BEGIN" in text else ():
         yield m.span()
     for m in CANDIDATE.finditer(text):
@@ -116,7 +119,8 @@ def findings(text: str):
         # name=value is one run of such characters: the value is what follows
         cut = value.find("=") + 1 if "=" in value.rstrip("=") else 0
         value = value[cut:]
-        if len(value) >= 12 and (not value.isalpha() or not (value[1:].islower() or value.isupper())):
+        plain = value.isalpha() and (value[1:].islower() or value.isupper())
+        if len(value) >= 12 and (not plain or KNOWN.fullmatch(value)):
             yield m.start() + cut, m.end()
 
 
@@ -134,7 +138,7 @@ def candidates(docs: DataFrame, keys: list[str], words: frozenset[str], path: st
                     value, before = text[a:b], text[max(0, a - 40) : a]
                     at.append(i), start.append(a), end.append(b)
                     feature.append(features(value[:4096], before, text[b : b + 40], where.as_py() or "", words))
-                    label.append(known_label(value, before))
+                    label.append(known_label(value, before, feature[-1][COVERAGE]))
                     digest.append(xxhash.xxh3_128_hexdigest(value.encode("utf-8", "replace")))
             taken = batch.take(pa.array(at, pa.int64()))
             columns = [taken.column(k) for k in keys] + [

@@ -92,6 +92,7 @@ def _grouped(counts: dict[int, int], pivots: np.ndarray, most: int) -> list[list
 
 def _solver(dims: int, k: int, largest: float, bounds: Bounds):
     exact = largest * largest * max(dims, 1) < EXACT
+    lowest = -np.inf if exact else np.iinfo(np.int64).min
 
     def solve(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())}
@@ -115,11 +116,11 @@ def _solver(dims: int, k: int, largest: float, bounds: Bounds):
                 if exact:
                     score = queries[part] @ data[need].T
                 else:  # large whole numbers: 64-bit arithmetic, which wraps as a long does
-                    score = (queries[part].astype(np.int64) @ data[need].astype(np.int64).T).astype(np.float64)
+                    score = queries[part].astype(np.int64) @ data[need].astype(np.int64).T
                 at = np.minimum(np.searchsorted(ids[need], own[part]), len(need) - 1)
                 self_row = ids[need][at] == own[part]
-                score[np.flatnonzero(self_row), at[self_row]] = -np.inf
-                q, r = blocks.best_rows(score, k)
+                score[np.flatnonzero(self_row), at[self_row]] = lowest
+                q, r = blocks.best_rows(score, k, lowest=lowest)
                 s = score[q, r]
                 keep = blocks.cut(q, s, ids[need][r], k, True)
                 found.append((own[part][q[keep]], ids[need][r[keep]], s[keep].astype(np.int64)))

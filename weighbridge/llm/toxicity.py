@@ -19,6 +19,7 @@ LEAST_Z = 4.0  # how far a term's share among toxic texts lies from that among o
 LEAST_TEXTS = 4  # toxic texts that hold a term
 FACTORS = 8
 EPOCHS = 25
+STEPS = 20  # of an epoch at least
 SEED = 7
 
 
@@ -93,7 +94,7 @@ def fit_machine(lists: list[np.ndarray], labels: np.ndarray, n_terms: int, seed:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
     flat = np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int64)
     for _ in range(EPOCHS):
-        for rows in np.array_split(rng.permutation(len(labels)), max(1, len(labels) // 256)):
+        for rows in np.array_split(rng.permutation(len(labels)), max(1, min(len(labels), max(STEPS, len(labels) // 256)))):
             size = offsets[rows + 1] - offsets[rows]
             row = np.repeat(np.arange(len(rows)), size)
             at = flat[np.repeat(offsets[rows], size) + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)]
