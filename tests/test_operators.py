@@ -148,19 +148,49 @@ def test_published_coarse_judge_summary(spark):
     assert round(H.curve_mobility(H.accept_curve(hist, ["judge"]), ["judge"]).first().mobility, 4) == 0.11
 
 
-def test_published_intervals_of_a_small_study(spark):
-    labels = ["incorrect" if i in (1, 2, 4, 8, 14, 18) else "not_attempted" for i in range(20)]
-    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(labels)], "arm string, question_id int, label string")
-    drawn = B.stream_draws(spark, 20).withColumn("arm", F.lit("a"))
-    row = S.answer_score_intervals(df, ["arm"], drawn=drawn).first()
-    assert (row.correct, row.incorrect, row.not_attempted, row.truthfulness, row.hallucination_rate) == (0, 6, 14, -0.3, 1.0)
-    assert [row.truthfulness_lo, row.truthfulness_hi, row.coverage_lo, row.coverage_hi] == pytest.approx([-0.5, -0.1, 0.1, 0.5], abs=0.051)
-    with pytest.raises(ValueError):
-        B.stream_draws(spark, 10**6)
+def test_published_intervals_follow_record_order(spark):
+    rng = np.random.default_rng(1)
+    labels = rng.choice(["correct", "incorrect", "not_attempted"], 173, p=[0.5, 0.2, 0.3]).tolist()
+    order = rng.permutation(173)  # question ids say nothing about the order
+    df = spark.createDataFrame([("a", int(q), i, x) for i, (q, x) in enumerate(zip(order, labels))], "arm string, question_id int, at int, label string")
+    drawn = B.stream_draws(spark, 173).withColumn("arm", F.lit("a"))
+    row = S.answer_score_intervals(df.repartition(5), ["arm"], drawn=drawn, position="at", digits=None).first()
+    gain = np.array([{"correct": 1, "incorrect": -1}.get(x, 0) for x in labels])
+    tried = np.array([x != "not_attempted" for x in labels])
+    picks = np.random.default_rng(B.RESAMPLE_SEED).integers(0, 173, size=(1000, 173))
+    for name, values in (("truthfulness", gain[picks].mean(1)), ("coverage", tried[picks].mean(1))):
+        assert [row[f"{name}_lo"], row[f"{name}_hi"]] == pytest.approx(np.percentile(values, [2.5, 97.5]), abs=1e-12)
+    with pytest.raises(ValueError, match="position"):
+        S.answer_score_intervals(df, ["arm"], drawn=drawn)
     with pytest.raises(Exception, match="unknown label"):
         S.answer_scores(df.withColumn("label", F.lit("maybe")), ["arm"]).collect()
 
 
+def test_weights_are_poisson():
+    weights = B.poisson_weights([f"c{i}" for i in range(400)] + [None], 1000)
+    assert weights.shape == (401, 1000) and abs(weights.mean() - 1) < 0.01 and abs(weights.var() - 1) < 0.02
+    assert (weights[3] == B.poisson_weights(["c3"], 1000)[0]).all() and (weights[3, :20] == B.poisson_weights(["c3"], 20)[0]).all()
+
+
+@pytest.mark.parametrize("on_grid", [True, False])
+def test_bootstrap_auroc_against_weighted_pairs(spark, on_grid):
+    rng = random.Random(5)
+    scores = [rng.choice([0.9991, 0.9992, 0.5, rng.random()]) for _ in range(160)]  # ties, and a crowd at the top
+    scores = [round(x, 2) for x in scores] if on_grid else scores
+    rows = [(f"j{i % 2}", f"c{rng.randrange(9)}", x, rng.random() < x) for i, x in enumerate(scores * 2)]
+    hist = A.label_histogram(spark.createDataFrame(rows, "judge string, cluster string, score double, label boolean"), ["judge", "cluster"])
+    got = {(r.judge, r.replicate): r.auroc for r in B.bootstrap_auroc(hist.repartition(4), ["judge"], on_grid=on_grid, resamples=24).collect()}
+    assert len(got) == 48
+    for judge in ("j0", "j1"):
+        for replicate in range(24):
+            w = {c: B.poisson_weights([c], 24)[0, replicate] for c in {r[1] for r in rows}}
+            pos = [(x, w[c]) for j, c, x, y in rows if j == judge and y]
+            neg = [(x, w[c]) for j, c, x, y in rows if j == judge and not y]
+            pairs = sum(p * n for _, p in pos for _, n in neg)
+            won = sum(p * n * ((a > b) + (a == b) / 2) for a, p in pos for b, n in neg)
+            assert got[judge, replicate] == pytest.approx(won / pairs)
+
+
 def test_claim_support_resamples_questions_without_claims(spark):
     records = spark.createDataFrame([("a", q) for q in range(4)], "arm string, question_id int")
     claims = spark.createDataFrame([("a", 0, "supported"), ("a", 0, "supported"), ("a", 1, "unsupported"), ("a", 3, "supported"), ("a", 3, "unreadable")], "arm string, question_id int, label string")

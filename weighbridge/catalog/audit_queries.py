@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from weighbridge.catalog.base import JUDGED_DOCS, RESAMPLES, Tables, judged_docs, judged_long, query, sql_draws, sql_index
+from weighbridge.catalog.base import JUDGED_DOCS, RESAMPLES, Tables, judged_docs, judged_long, query, sql_weights
 from weighbridge.functions.answers import truthy
 from weighbridge.operators import auroc as A
 from weighbridge.operators import resample as R
@@ -50,12 +50,11 @@ def sql_hist(source: str, by: str, name: str) -> str:
 hist as (select judge, bin, count(*) as n from judged_long group by judge, bin), {SQL_SPREAD},
 {sql_hist("judged_long", "judge, cluster", "chist")},
 {sql_hist("judged_long", "judge", "ghist")}, {sql_auroc("ghist", "judge", "point")},
-{sql_index("judged_long", "judge")}, {sql_draws("judge")},
+{sql_weights("judged_long", "judge")},
 weighted as (
-  select d.judge, d.replicate, h.score, sum(h.pos) as pos, sum(h.neg) as neg
-  from draws d join numbered n on d.judge = n.judge and d.idx = n.idx
-  join chist h on h.judge = n.judge and h.cluster = n.cluster
-  group by d.judge, d.replicate, h.score
+  select h.judge, w.replicate, h.score, sum(w.w * h.pos) as pos, sum(w.w * h.neg) as neg
+  from weights w join chist h on h.judge = w.judge and h.cluster = w.cluster
+  group by h.judge, w.replicate, h.score
 ), {sql_auroc("weighted", "judge, replicate", "reps")},
 bounds as (select judge, quantile_cont(auroc, 0.025) as ci_lo, quantile_cont(auroc, 0.975) as ci_hi from reps group by judge)
 select s.judge, s.n, s.distinct_values, round(s.top3_mass, 6) as top3_mass, round(s.interior_mass, 6) as interior_mass,
@@ -251,12 +250,21 @@ def auroc_jackknife(spark, path):
 @query(
     "bootstrap_free_scores",
     f"""with {FREE}, {sql_hist("free", "judge, cluster", "chist")}, {sql_hist("free", "judge", "g")},
-{sql_auroc("g", "judge", "point")}, {sql_index("free", "judge")}, {sql_draws("judge", 20)},
-weighted as (
-  select d.judge, d.replicate, h.score, sum(h.pos) as pos, sum(h.neg) as neg
-  from draws d join numbered n on d.judge = n.judge and d.idx = n.idx
-  join chist h on h.judge = n.judge and h.cluster = n.cluster group by d.judge, d.replicate, h.score
-), {sql_auroc("weighted", "judge, replicate", "reps")}
+{sql_auroc("g", "judge", "point")}, {sql_weights("free", "judge")},
+beats as (
+  select h.judge, h.cluster as c1, k.cluster as c2, h.pos,
+         sum(case when h.cluster = k.cluster then h.neg else 0 end) over (partition by h.judge, k.cluster order by h.score
+             range between unbounded preceding and current row) as upto,
+         sum(case when h.cluster = k.cluster then h.neg else 0 end) over (partition by h.judge, k.cluster, h.score) as tied
+  from chist h join (select distinct judge, cluster from free) k on k.judge = h.judge
+), wins as (select judge, c1, c2, sum(pos * (upto - tied / 2)) as won from beats group by all),
+size as (select judge, cluster, sum(pos) as pos, sum(neg) as neg from chist group by all),
+total as (select s.judge, w.replicate, sum(w.w * s.pos) as pos, sum(w.w * s.neg) as neg
+  from size s join weights w on w.judge = s.judge and w.cluster = s.cluster group by all),
+won as (select x.judge, a.replicate, sum(a.w * b.w * x.won) as won from wins x
+  join weights a on a.judge = x.judge and a.cluster = x.c1
+  join weights b on b.judge = x.judge and b.cluster = x.c2 and b.replicate = a.replicate group by all),
+reps as (select judge, won / nullif(pos * neg, 0) as auroc from won join total using (judge, replicate))
 select judge, round(any_value(point.auroc), 6) as auroc, round(quantile_cont(reps.auroc, 0.025), 6) as ci_lo,
        round(quantile_cont(reps.auroc, 0.975), 6) as ci_hi
 from reps join point using (judge) group by judge""",
@@ -264,17 +272,17 @@ from reps join point using (judge) group by judge""",
 def bootstrap_free_scores(spark, path):
     """Cluster bootstrap of AUROC over ungridded scores."""
     hist = A.label_histogram(_free(Tables(spark, path)), ["judge", "cluster"])
-    out = R.auroc_with_interval(hist, ["judge"], resamples=20)
+    out = R.auroc_with_interval(hist, ["judge"], resamples=RESAMPLES)
     return out.select("judge", *[F.round(c, 6).alias(c) for c in ("auroc", "ci_lo", "ci_hi")])
 
 
 @query(
     "bootstrap_custom_statistic",
-    f"""with {JUDGED_DOCS}, {sql_index("judged_long", "judge")}, {sql_draws("judge", 50)},
+    f"""with {JUDGED_DOCS}, {sql_weights("judged_long", "judge")},
+sums as (select judge, cluster, sum(score) as total, count(*) as n from judged_long group by all),
 reps as (
-  select d.judge, d.replicate, sum(j.score) / count(*) as value
-  from draws d join numbered n on d.judge = n.judge and d.idx = n.idx
-  join judged_long j on j.judge = n.judge and j.cluster = n.cluster group by d.judge, d.replicate
+  select w.judge, w.replicate, sum(w.w * j.total) / sum(w.w * j.n) as value
+  from weights w join sums j on j.judge = w.judge and j.cluster = w.cluster group by w.judge, w.replicate
 )
 select judge, round(quantile_cont(value, 0.025), 6) as value_lo, round(quantile_cont(value, 0.975), 6) as value_hi
 from reps group by judge""",
@@ -286,6 +294,6 @@ def bootstrap_custom_statistic(spark, path):
     def mean_score(pdf: pd.DataFrame) -> float:
         return float((pdf["score"] * pdf["weight"]).sum() / pdf["weight"].sum())
 
-    reps = R.bootstrap_statistic(summary, mean_score, ["judge"], ["score"], resamples=50)
+    reps = R.bootstrap_statistic(summary, mean_score, ["judge"], ["score"], resamples=RESAMPLES)
     out = R.interval(reps, ["judge"], ["value"])
     return out.select("judge", F.round("value_lo", 6).alias("value_lo"), F.round("value_hi", 6).alias("value_hi"))

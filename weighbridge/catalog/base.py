@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-RESAMPLES = 200  # replicates in the registered bootstrap queries
+RESAMPLES = 1000  # replicates of the registered bootstrap queries, as in the operators
 
 
 def query(name: str, sql: str | None = None):
@@ -77,29 +77,21 @@ def judged_long(t: Tables) -> DataFrame:
     return rows.select("j.judge", "doc_id", "cluster", "label", "j.score")
 
 
-# --- md5 resampling in SQL --------------------------------------------------
+# --- weights of clusters in SQL ---------------------------------------------
 
 
-def sql_index(source: str, by: str = "", name: str = "numbered") -> str:
-    """Clusters numbered by md5 block and value, as ``dense_index`` does."""
-    part = f"partition by {by} " if by else ""
+def sql_weights(source: str, by: str = "") -> str:
+    """Poisson weights of each cluster in every replicate, as ``poisson_weights`` has them."""
     cols = f"{by}, " if by else ""
+    steps = (24109, 48218, 60273, 64291, 65296, 65497, 65530, 65535)
     return f"""
-{name} as (
-  select {cols}cluster,
-         row_number() over ({part}order by substr(md5(cluster::varchar), 1, 3), cluster) - 1 as idx,
-         count(*) over ({part.strip()}) as n_keys
-  from (select distinct {cols}cluster from {source})
-)"""
-
-
-def sql_draws(by: str = "", resamples: int = RESAMPLES, index: str = "numbered") -> str:
-    cols = f"{by}, " if by else ""
-    return f"""
-draws as (
-  select {cols}r.replicate,
-         ('0x' || substr(md5(r.replicate || '|' || (n.idx // 4)), (1 + 8 * (n.idx % 4))::int, 8))::bigint % n.n_keys as idx
-  from {index} n cross join (select range as replicate from range({resamples})) r
+weights as (
+  select {cols}cluster, replicate, {" + ".join(f"(u >= {t})::int" for t in steps)} as w
+  from (select {cols}cluster, 8 * b + s as replicate, ('0x' || substr(digest, (1 + 4 * s)::int, 4))::int as u
+        from (select {cols}cluster, b.range as b, md5(b.range || '|' || coalesce(cluster::varchar, '')) as digest
+              from (select distinct {cols}cluster from {source}) cross join range({-(-RESAMPLES // 8)}) b)
+        cross join (select range as s from range(8)))
+  where replicate < {RESAMPLES}
 )"""
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weighbridge.catalog.base import JUDGED_DOCS, RECORDS, RESAMPLES, Tables, judged_long, prob, query, records, sql_draws, sql_index, sql_prob
+from weighbridge.catalog.base import JUDGED_DOCS, RECORDS, RESAMPLES, Tables, judged_long, prob, query, records, sql_prob, sql_weights
 from weighbridge.functions.answers import judge_cost, parse_label, parse_letter
 from weighbridge.operators import gates
 from weighbridge.operators import scoring as S
@@ -31,10 +31,9 @@ def answer_scores(spark, path):
 SQL_BOOT = f"""
 cl as (select arm, question_id as cluster, count(*) as n, count(*) filter (label = 'correct') as correct,
        count(*) filter (label = 'incorrect') as incorrect from records where label is not null group by arm, question_id),
-{sql_index("cl", "arm")}, {sql_draws("arm")},
-sums as (select d.arm, d.replicate, sum(c.n) as n, sum(c.correct) as correct, sum(c.incorrect) as incorrect
-  from draws d join numbered x on d.arm = x.arm and d.idx = x.idx join cl c on c.arm = x.arm and c.cluster = x.cluster
-  group by d.arm, d.replicate),
+{sql_weights("cl", "arm")},
+sums as (select w.arm, w.replicate, sum(w.w * c.n) as n, sum(w.w * c.correct) as correct, sum(w.w * c.incorrect) as incorrect
+  from weights w join cl c on c.arm = w.arm and c.cluster = w.cluster group by w.arm, w.replicate),
 reps as (select arm, (correct - incorrect) / nullif(n, 0) as truthfulness,
        incorrect / nullif(correct + incorrect, 0) as hallucination_rate, (correct + incorrect) / nullif(n, 0) as coverage from sums),
 bounds as (select arm, {", ".join(f"round(quantile_cont({c}, {q}), 4) as {c}_{s}" for c in RATES for q, s in ((0.025, "lo"), (0.975, "hi")))}
@@ -76,10 +75,9 @@ per as (select r.arm, r.question_id as cluster,
     count(*) filter (g.label = 'supported') as supported, count(*) filter (g.label in ('supported', 'unsupported')) as kept,
     count(*) filter (g.label = 'unreadable') as unreadable
   from records r left join graded_claims g on g.arm = r.arm and g.question_id = r.question_id group by r.arm, r.question_id),
-{sql_index("per", "arm")}, {sql_draws("arm")},
-reps as (select d.arm, d.replicate, sum(p.supported) / nullif(sum(p.kept), 0) as rate
-  from draws d join numbered x on d.arm = x.arm and d.idx = x.idx join per p on p.arm = x.arm and p.cluster = x.cluster
-  group by d.arm, d.replicate),
+{sql_weights("per", "arm")},
+reps as (select w.arm, w.replicate, sum(w.w * p.supported) / nullif(sum(w.w * p.kept), 0) as rate
+  from weights w join per p on p.arm = w.arm and p.cluster = w.cluster group by w.arm, w.replicate),
 bounds as (select arm, round(quantile_cont(rate, 0.025), 4) as rate_lo, round(quantile_cont(rate, 0.975), 4) as rate_hi from reps group by arm)
 select arm, sum(kept)::bigint as kept_claims, sum(supported)::bigint as supported, sum(unreadable)::bigint as unreadable,
        count(*) as n_questions, count(*) filter (kept > 0) as n_questions_with_claims,
@@ -129,16 +127,18 @@ def acceptance_bars(spark, path):
     "grade_metrics",
     f"""with {RECORDS}, g as (select * replace (case when o_orderkey % 11 = 0 then null else label end as label) from records),
 c as (select arm, count(label) as n, count(*) filter (label = 'correct') as correct, count(*) filter (label = 'incorrect') as incorrect,
-      count(*) - count(label) as ungraded, sum(fabricated_citations)::bigint as fabricated_citations_total from g group by arm)
-select arm, n, ungraded, fabricated_citations_total, {SQL_RATES} from c""",
+      count(*) - count(label) as ungraded, sum(fabricated_citations)::bigint as fabricated_citations_total from g group by arm),
+{SQL_BOOT.replace("from records where", "from g where")}
+select arm, n, ungraded, fabricated_citations_total, {SQL_RATES}, bounds.* exclude (arm) from c join bounds using (arm)""",
 )
 def grade_metrics(spark, path):
     """Grades attached to records; ungraded ones are counted and left out."""
     rows = records(Tables(spark, path))
     label = F.when(F.col("o_orderkey") % 11 != 0, F.col("label"))
     graded = S.attach_grades(rows.drop("label"), rows.select("arm", "question_id", label.alias("label")))
-    out = S.grade_metrics(graded, ["arm"], resamples=20)
-    return out.select("arm", "n", "ungraded", "fabricated_citations_total", *[F.round(c, 6).alias(c) for c in RATES])
+    out = S.grade_metrics(graded, ["arm"], resamples=RESAMPLES)
+    bounds = [c for c in out.columns if c.endswith(("_lo", "_hi"))]
+    return out.select("arm", "n", "ungraded", "fabricated_citations_total", *[F.round(c, 6).alias(c) for c in RATES], *bounds)
 
 
 def _two_arms(t: Tables):
@@ -169,8 +169,8 @@ def arm_contingency(spark, path):
     f"""with {RECORDS}, {SQL_PAIRS},
 g as (select question_id as cluster, (case first_label when 'correct' then 1 when 'incorrect' then -1 else 0 end)
    - (case second_label when 'correct' then 1 when 'incorrect' then -1 else 0 end) as gain from pairs),
-{sql_index("g")}, {sql_draws()},
-reps as (select replicate, sum(gain) / count(*) as difference from draws join numbered using (idx) join g using (cluster) group by replicate)
+{sql_weights("g")},
+reps as (select replicate, sum(w * gain) / sum(w) as difference from weights join g using (cluster) group by replicate)
 select (select count(*) from g) as n, round((select avg(gain) from g), 6) as difference,
   round(quantile_cont(difference, 0.025), 6) as difference_lo, round(quantile_cont(difference, 0.975), 6) as difference_hi from reps""",
 )

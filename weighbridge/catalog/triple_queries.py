@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weighbridge.catalog.audit_queries import sql_auroc, sql_hist
-from weighbridge.catalog.base import RECORDS, Tables, prob, query, records, sql_draws, sql_index, sql_prob
+from weighbridge.catalog.base import RECORDS, RESAMPLES, Tables, prob, query, records, sql_prob, sql_weights
 from weighbridge.catalog.text_queries import normal
 from weighbridge.functions.answers import ANSWER
 from weighbridge.operators import gates as G
@@ -140,11 +140,10 @@ def gold_labels(spark, path):
 
 def _sql_boot(source: str, by: str, strata: str) -> str:
     """Replicates of AUROC over long rows; ``strata`` columns index the clusters."""
-    on = f"d.{strata} = n.{strata} and " if strata else ""
-    tie = f"h.{strata} = n.{strata} and " if strata else ""
-    return f"""{sql_hist(source, by + ", cluster", "chist")}, {sql_index(source, strata)}, {sql_draws(strata, 50)},
-weighted as (select {", ".join("h." + c.strip() for c in by.split(","))}, d.replicate, h.score, sum(h.pos) as pos, sum(h.neg) as neg
-  from draws d join numbered n on {on}d.idx = n.idx join chist h on {tie}h.cluster = n.cluster group by all),
+    tie = f"h.{strata} = w.{strata} and " if strata else ""
+    return f"""{sql_hist(source, by + ", cluster", "chist")}, {sql_weights(source, strata)},
+weighted as (select {", ".join("h." + c.strip() for c in by.split(","))}, w.replicate, h.score, sum(w.w * h.pos) as pos, sum(w.w * h.neg) as neg
+  from weights w join chist h on {tie}h.cluster = w.cluster group by all),
 {sql_auroc("weighted", by + ", replicate", "reps")}"""
 
 
@@ -156,7 +155,7 @@ select family, round(any_value(pt.auroc), 6) as auroc, any_value(pt.positives) a
  (select count(distinct cluster) from lab) as clusters from reps join pt using (family) group by family""",
 )
 def judge_informativeness(spark, path):
-    out = N.single_judge(_labelled(Tables(spark, path)), resamples=50)
+    out = N.single_judge(_labelled(Tables(spark, path)), resamples=RESAMPLES)
     return out.select("family", "positives", "negatives", "clusters", *[F.round(c, 6).alias(c) for c in ("auroc", "ci_lo", "ci_hi")])
 
 
@@ -170,7 +169,7 @@ select round((select auroc from pt where family = 'first'), 6) as auroc_first, r
 )
 def paired_auroc_difference(spark, path):
     """Two judges on the same passages under the same resamples."""
-    out = N.paired_auroc(N.paired_judges(_labelled(Tables(spark, path))), resamples=50)
+    out = N.paired_auroc(N.paired_judges(_labelled(Tables(spark, path))), resamples=RESAMPLES)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
@@ -185,7 +184,7 @@ select sz.bucket, sz.n, sz.positives, sz.negatives, round(sz.positives / sz.n, 6
  round(pt.auroc, 6) as auroc, round(bd.lo, 6) as ci_lo, round(bd.hi, 6) as ci_hi from sz left join pt using (bucket) left join bd using (bucket)""",
 )
 def auroc_inside_buckets(spark, path):
-    out = N.inside_buckets(N.paired_judges(_labelled(Tables(spark, path))), resamples=50)
+    out = N.inside_buckets(N.paired_judges(_labelled(Tables(spark, path))), resamples=RESAMPLES)
     return out.select(
         "bucket", "n", "positives", "negatives", F.col("too_small").cast("int").alias("too_small"),
         *[F.round(c, 6).alias(c) for c in ("positive_share", "auroc", "ci_lo", "ci_hi")],

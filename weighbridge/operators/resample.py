@@ -1,26 +1,65 @@
 """Cluster bootstrap: all replicates in one job.
 
-Every cluster also serves as one draw slot per replicate, so the draws are
-generated in parallel from the cluster table, joined to per-cluster summaries
-and summed with map-side combine. Raw rows are never resampled.
+A cluster's weight in a replicate follows from its own key: 16 bits of
+md5("replicate div 8 | cluster") through the Poisson(1) distribution. Weights need
+no numbering of clusters, no join and no broadcast; tasks multiply them with what
+they hold and shuffle sums of one value per replicate. Raw rows are never resampled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weighbridge.operators.auroc import auroc
-from weighbridge.operators.grouped import dense_index
 from weighbridge.settings import RESAMPLE_SEED, RESAMPLES
 from weighbridge.stages import materialize
 
-STREAM_CLUSTERS = 5_000
-BROADCAST_ROWS = 1_000_000
+# 65536 times the distribution function of Poisson(1), from 0 on.
+POISSON_STEPS = np.array([24109, 48218, 60273, 64291, 65296, 65497, 65530, 65535])
+PER_DIGEST = 8  # replicates that one digest serves
+ROWS_AT_ONCE = 512
+KEYS_AT_ONCE = 2_000  # sums a task holds before it hands them on
+
+
+def poisson_weights(clusters: list, resamples: int = RESAMPLES) -> np.ndarray:
+    """Weight of every cluster (rows) in every replicate (columns)."""
+    blocks = -(-resamples // PER_DIGEST)
+    digests = b"".join(
+        hashlib.md5(f"{b}|{'' if c is None else c}".encode()).digest() for c in clusters for b in range(blocks)
+    )
+    bits = np.frombuffer(digests, ">u2").reshape(len(clusters), blocks * PER_DIGEST)[:, :resamples]
+    return np.searchsorted(POISSON_STEPS, bits, side="right").astype(np.float64)
+
+
+class _Weights:
+    """Weights by cluster; a bounded number is remembered."""
+
+    def __init__(self, resamples: int):
+        self.resamples, self.known = resamples, {}
+
+    def __call__(self, clusters: list) -> np.ndarray:
+        new = [c for c in dict.fromkeys(clusters) if c not in self.known]
+        if new:
+            if len(self.known) > 4 * KEYS_AT_ONCE:
+                self.known.clear()
+                new = list(dict.fromkeys(clusters))
+            self.known.update(zip(new, poisson_weights(new, self.resamples)))
+        return np.stack([self.known[c] for c in clusters])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(k, ROWS_AT_ONCE)
 
 
 def _spread_out(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,47 +70,62 @@ def _spread_out(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(parts, *keys)
 
 
-def draws(index: DataFrame, by: list[str], resamples: int = RESAMPLES) -> DataFrame:
-    """``by, replicate, idx``: n clusters drawn with replacement per replicate.
-
-    Slot j of replicate r takes eight hex digits of md5("r|j div 4"), so one
-    digest serves four slots and any engine with md5 makes the same draws.
-    """
-    heads = index.where(F.col("idx") % 4 == 0).select(*by, F.col("idx").alias("slot"), "n_keys")
-    exploded = _spread_out(heads, [*by, "slot"]).withColumn(
-        "replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
-    )
-    block = F.concat_ws("|", F.col("replicate").cast("string"), F.floor(F.col("slot") / 4).cast("string"))
-    hashed = exploded.withColumn("_digest", F.md5(block))
-    picks = [
-        F.pmod(F.conv(F.substring("_digest", 8 * k + 1, 8), 16, 10).cast("bigint"), F.col("n_keys")) for k in range(4)
-    ]
-    held = F.least(F.lit(4), F.col("n_keys") - F.col("slot")).cast("int")
-    return hashed.select(*by, "replicate", F.explode(F.slice(F.array(*picks), F.lit(1), held)).alias("idx"))
-
-
-def stream_draws(spark, n: int, resamples: int = RESAMPLES, seed: int = RESAMPLE_SEED, one_block: bool = True) -> DataFrame:
+def _as_text(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit("")).alias("_cluster")
+
+
+def weighted_sums(rows: DataFrame, keys: list[str], sums: list[str], resamples: int = RESAMPLES) -> DataFrame:
+    """``keys, replicate, sums``: sums of ``rows(keys, cluster, sums...)`` weighted by
+    the cluster's weight in each replicate. A task emits one row per replicate and key."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    dealt = _spread_out(rows.select(*keys, _as_text("cluster"), *[F.col(s).cast("double").alias(s) for s in sums]), ["_cluster"])
+
+    def out(held: dict, types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        for key, total in held.items():
+            named = [pa.array([v] * resamples, t) for v, t in zip(key, types)]
+            yield pa.RecordBatch.from_arrays(
+                [*named, pa.array(np.arange(resamples, dtype=np.int32)), *map(pa.array, total)], names=[*keys, "replicate", *sums]
+            )
+
+    def run(batches):
+        weights, held, types = _Weights(resamples), {}, []
+        for batch in _slices(batches):
+            types = [batch.schema.field(k).type for k in keys]
+            columns = [batch.column(k).to_pylist() for k in keys]
+            of = list(zip(*columns)) if keys else [()] * batch.num_rows
+            w = weights(batch.column("_cluster").to_pylist())
+            values = [batch.column(s).to_numpy(zero_copy_only=False) for s in sums]
+            numbers = {key: i for i, key in enumerate(dict.fromkeys(of))}
+            which = np.array([numbers[key] for key in of])
+            for key, i in numbers.items():
+                mine = np.flatnonzero(which == i)
+                total = np.stack([v[mine] @ w[mine] for v in values])
+                held[key] = held[key] + total if key in held else total
+            if len(held) > KEYS_AT_ONCE:
+                yield from out(held, types)
+                held = {}
+        yield from out(held, types)
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "replicate int", *(f"`{s}` double" for s in sums)])
+    partial = dealt.mapInArrow(run, schema)
+    return partial.groupBy(*keys, "replicate").agg(*[F.sum(s).alias(s) for s in sums])
+
+
+def stream_draws(spark, n: int, resamples: int = RESAMPLES, seed: int = RESAMPLE_SEED) -> DataFrame:
     """``replicate, idx`` from numpy's default generator, to reproduce published
-    intervals of small studies.
-
-    ``one_block`` draws one (resamples, n) matrix, else one vector per replicate.
-    A stream cannot be split, so each task replays it; hence the bound on n. Use
-    ``draws`` for anything larger.
-    """
-    if n > STREAM_CLUSTERS:
-        raise ValueError(f"{n} clusters: replaying a random stream is for at most {STREAM_CLUSTERS}; use draws()")
+    intervals. A stream cannot be split, so every task replays it up to its own
+    replicates and holds one replicate at a time."""
 
     def replay(batches):
-        rng = np.random.default_rng(seed)
-        if one_block:
-            matrix = rng.integers(0, n, size=(resamples, n))
-        else:
-            matrix = np.stack([rng.integers(0, n, size=n) for _ in range(resamples)])
+        rng, at = np.random.default_rng(seed), 0
         for batch in batches:
-            mine = batch["id"].to_numpy()
-            yield pd.DataFrame({"replicate": np.repeat(mine, n), "idx": matrix[mine].ravel()})
+            for mine in sorted(batch["id"].tolist()):
+                while at <= mine:
+                    drawn = rng.integers(0, n, size=n)
+                    at += 1
+                yield pd.DataFrame({"replicate": np.full(n, mine), "idx": drawn})
 
-    return spark.range(resamples, numPartitions=min(8, spark.sparkContext.defaultParallelism)).mapInPandas(
+    return spark.range(resamples, numPartitions=spark.sparkContext.defaultParallelism).mapInPandas(
         replay, "replicate bigint, idx bigint"
     )
 
@@ -87,36 +141,25 @@ def interval(replicates: DataFrame, by: list[str], stats: list[str], digits: int
     return replicates.groupBy(*by).agg(*pieces)
 
 
-def number_clusters(per_cluster: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Cluster summaries with their draw index, written once: the draws are made
-    from this table and joined back to it."""
-    index = dense_index(per_cluster, ["cluster"], by)
-    return materialize(per_cluster.join(index, [*by, "cluster"]).select(*by, "idx", "n_keys", *columns), "clusters")
-
-
-def _small_side(numbered: DataFrame) -> DataFrame:
-    """Broadcast up to ``BROADCAST_ROWS`` counted rows, so that draws are not
-    shuffled; beyond that Spark joins by shuffle."""
-    return F.broadcast(numbered) if numbered.count() <= BROADCAST_ROWS else numbered
-
-
 def bootstrap_sums(
     per_cluster: DataFrame, by: list[str], sums: list[str], stats: dict[str, Column], resamples: int = RESAMPLES,
-    drawn: DataFrame | None = None,
+    drawn: DataFrame | None = None, position: str | None = None,
 ) -> DataFrame:
     """Replicates of statistics that are functions of cluster sums.
 
-    ``per_cluster(by, cluster, sums...)`` has one row per cluster. ``drawn`` may
-    bring its own draws ``(by, replicate, idx)``.
+    ``per_cluster(by, cluster, sums...)`` has one row per cluster. ``drawn(by,
+    replicate, idx)`` brings published draws instead of weights; their indexes are
+    places in the order of ``position``, which then must be given.
     """
-    numbered = number_clusters(per_cluster, by, sums)
-    drawn = draws(numbered.select(*by, "idx", "n_keys"), by, resamples) if drawn is None else drawn
-    return (
-        drawn.join(_small_side(numbered.drop("n_keys")), [*by, "idx"])
-        .groupBy(*by, "replicate")
-        .agg(*[F.sum(s).alias(s) for s in sums])
-        .select(*by, "replicate", *[c.alias(n) for n, c in stats.items()])
-    )
+    if drawn is None:
+        weighted = weighted_sums(per_cluster, by, sums, resamples)
+    else:
+        if position is None:
+            raise ValueError("published draws refer to the order of records: give their position")
+        place = F.row_number().over(W.partitionBy(*by).orderBy(position)) - 1
+        placed = per_cluster.withColumn("idx", place.cast("bigint")).select(*by, "idx", *sums)
+        weighted = drawn.join(placed, [*by, "idx"]).groupBy(*by, "replicate").agg(*[F.sum(s).alias(s) for s in sums])
+    return weighted.select(*by, "replicate", *[c.alias(n) for n, c in stats.items()])
 
 
 def bootstrap_auroc(
@@ -125,18 +168,71 @@ def bootstrap_auroc(
 ) -> DataFrame:
     """AUROC per replicate from ``cluster_hist(by, across, cluster, score, pos, neg)``.
 
-    ``by`` strata have their own clusters; ``across`` columns (judges to compare)
-    share the draws.
+    ``across`` columns (judges to compare) share the weights of a cluster, as do all
+    strata. On a grid, histograms are weighted and summed. Free scores are dealt by
+    range: each stretch of scores yields its own winning pairs and class totals per
+    replicate, and pairs across stretches follow from the totals of lower stretches.
     """
-    across = across or []
-    numbered = number_clusters(cluster_hist, by, [*across, score, "pos", "neg"])
-    drawn = draws(numbered.select(*by, "idx", "n_keys").distinct(), by, resamples)
-    weighted = (
-        drawn.join(_small_side(numbered.drop("n_keys")), [*by, "idx"])
-        .groupBy(*by, *across, "replicate", score)
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    keys = [*by, *(across or [])]
+    if on_grid:
+        weighted = weighted_sums(cluster_hist, [*keys, score], ["pos", "neg"], resamples)
+        return auroc(weighted, [*keys, "replicate"], score, on_grid)
+    kinds = {f.name: f.dataType.simpleString() for f in cluster_hist.schema.fields}
+    doubles = [F.col(c).cast("double").alias(c) for c in ("pos", "neg")]
+    rows = cluster_hist.select(*keys, score, _as_text("cluster"), *doubles)
+    dealt = rows.repartitionByRange(*keys, score).sortWithinPartitions(*keys, score)
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        weights, types, key, last = _Weights(resamples), [], None, None
+        wins = below = pos = tie = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if key is not None:
+                total = wins + tie[0] * (below + tie[1] / 2)
+                named = [pa.array([v] * resamples, t) for v, t in zip(key, types)]
+                numbers = pa.array(np.arange(resamples, dtype=np.int32))
+                where = pa.array(np.full(resamples, part, np.int32))
+                arrays = [*named, where, numbers, pa.array(total), pa.array(pos + tie[0]), pa.array(below + tie[1])]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "part", "replicate", "wins", "pos", "neg"])
+
+        for batch in _slices(batches):
+            types = [batch.schema.field(k).type for k in keys]
+            of = list(zip(*[batch.column(k).to_pylist() for k in keys])) if keys else [()] * batch.num_rows
+            at = batch.column(score).to_numpy(zero_copy_only=False)
+            w = weights(batch.column("_cluster").to_pylist())
+            p, n = (batch.column(c).to_numpy(zero_copy_only=False)[:, None] * w for c in ("pos", "neg"))
+            start = 0
+            while start < len(of):
+                end = start
+                while end < len(of) and of[end] == of[start]:
+                    end += 1
+                if of[start] != key:
+                    yield from close()
+                    key, last = of[start], None
+                    wins, below, pos = np.zeros(resamples), np.zeros(resamples), np.zeros(resamples)
+                    tie = np.zeros((2, resamples))
+                runs = start + np.flatnonzero(np.r_[True, at[start + 1 : end] != at[start : end - 1]])
+                sums = [np.add.reduceat(x[:end], runs, axis=0) for x in (p, n)]
+                if last is not None and at[start] == last:
+                    sums[0][0] += tie[0]
+                    sums[1][0] += tie[1]
+                else:  # the scores held back are complete
+                    wins, below, pos = wins + tie[0] * (below + tie[1] / 2), below + tie[1], pos + tie[0]
+                lower = below + np.cumsum(sums[1], axis=0) - sums[1]
+                wins = wins + (sums[0][:-1] * (lower[:-1] + sums[1][:-1] / 2)).sum(0)
+                below, pos = lower[-1], pos + sums[0][:-1].sum(0)
+                tie, last, start = np.stack([sums[0][-1], sums[1][-1]]), at[end - 1], end
+        yield from close()
+
+    named = [f"`{k}` {kinds[k]}" for k in keys]
+    stretches = dealt.mapInArrow(run, ", ".join([*named, "part int, replicate int, wins double, pos double, neg double"]))
+    earlier = W.partitionBy(*keys, "replicate").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    across_stretches = F.col("pos") * F.coalesce(F.sum("neg").over(earlier), F.lit(0.0))
+    return stretches.withColumn("wins", F.col("wins") + across_stretches).groupBy(*keys, "replicate").agg(
+        F.try_divide(F.sum("wins"), F.sum("pos") * F.sum("neg")).alias("auroc"),
+        F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"),
     )
-    return auroc(weighted, [*by, *across, "replicate"], score, on_grid)
 
 
 def auroc_with_interval(cluster_hist: DataFrame, by: list[str], score: str = "score", on_grid: bool = False,
@@ -175,16 +271,10 @@ def bootstrap_statistic(
     """Replicates of a user statistic.
 
     ``summary(by, cluster, value_columns..., weight)`` holds pre-aggregated rows
-    (a histogram, say). Per replicate the drawn weights are summed over equal
-    values in Spark, so ``stat`` sees one row per distinct value with its weight.
+    (a histogram, say). Per replicate the weights are summed over equal values
+    before the shuffle, so ``stat`` sees one row per distinct value with its weight.
     """
-    numbered = number_clusters(summary, by, [*value_columns, "weight"])
-    weighted = (
-        draws(numbered.select(*by, "idx", "n_keys").distinct(), by, resamples)
-        .join(_small_side(numbered.drop("n_keys")), [*by, "idx"])
-        .groupBy(*by, "replicate", *value_columns)
-        .agg(F.sum("weight").alias("weight"))
-    )
+    weighted = weighted_sums(summary, [*by, *value_columns], ["weight"], resamples).where(F.col("weight") > 0)
     kinds = {f.name: f.dataType.simpleString() for f in weighted.schema.fields}
     schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, "replicate"]) + ", value double"
 

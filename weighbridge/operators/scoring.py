@@ -53,13 +53,19 @@ def answer_scores(records: DataFrame, by: list[str], label: str = "label") -> Da
 
 
 def answer_score_intervals(records: DataFrame, by: list[str], label: str = "label", cluster: str = "question_id",
-                           resamples: int = RESAMPLES, digits: int | None = 4, drawn: DataFrame | None = None) -> DataFrame:
+                           resamples: int = RESAMPLES, digits: int | None = 4, drawn: DataFrame | None = None, position: str | None = None) -> DataFrame:
     """``answer_scores`` with bootstrap intervals over questions. Ungraded records
-    are counted but not resampled."""
-    per = materialize(_counted(records.withColumn("cluster", F.col(cluster)), [*by, "cluster"], label), "graded")
+    are counted but not resampled. With published draws, a question's place is that
+    of its first record by ``position``."""
+    rows = records.withColumn("cluster", F.col(cluster))
+    per = _counted(rows, [*by, "cluster"], label)
+    if position is not None:
+        first = rows.groupBy(*by, "cluster").agg(F.min(position).alias("_position"))
+        per = per.join(first, [*by, "cluster"])
+    per = materialize(per, "graded")
     totals = [F.sum(c).alias(c) for c in ("n", "correct", "incorrect", "not_attempted", "ungraded")]
     graded = per.where(F.col("n") > 0)
-    reps = bootstrap_sums(graded, by, ["n", "correct", "incorrect"], rates(), resamples, drawn)
+    reps = bootstrap_sums(graded, by, ["n", "correct", "incorrect"], rates(), resamples, drawn, position and "_position")
     return _with_rates(per.groupBy(*by).agg(*totals)).join(interval(reps, by, list(rates()), digits), by)
 
 
