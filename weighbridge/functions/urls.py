@@ -36,35 +36,117 @@ HOST_LABELS = {
     "store": "vendor",
     "shop": "vendor",
 }
-# Registered domains per type.
-DOMAINS_BY_TYPE = {
-    "encyclopedia": """
-        wikipedia.org wikiwand.com wiki2.org wikidata.org britannica.com encyclopedia.com
-        newworldencyclopedia.org scholarpedia.org dbpedia.org""",
-    "official_documentation": """
-        readthedocs.io readthedocs.org kubernetes.io rust-lang.org nodejs.org go.dev""",
-    "news": """
-        reuters.com apnews.com bbc.com bbc.co.uk nytimes.com theguardian.com
-        washingtonpost.com cnn.com nbcnews.com cbsnews.com npr.org bloomberg.com ft.com
-        wsj.com economist.com aljazeera.com cbc.ca abc.net.au dw.com france24.com
-        techcrunch.com theverge.com arstechnica.com wired.com zdnet.com cnet.com
-        engadget.com politico.com axios.com latimes.com usatoday.com time.com newsweek.com
-        forbes.com businessinsider.com telegraph.co.uk independent.co.uk thetimes.co.uk
-        thehindu.com scmp.com japantimes.co.jp straitstimes.com smh.com.au globalnews.ca
-        ctvnews.ca foxnews.com huffpost.com vox.com propublica.org""",
-    "forum": """
-        reddit.com stackexchange.com stackoverflow.com superuser.com serverfault.com
-        askubuntu.com mathoverflow.net quora.com""",
-    "blog": """
-        medium.com substack.com wordpress.com blogspot.com blogger.com tumblr.com dev.to
-        hashnode.dev ghost.io livejournal.com typepad.com""",
-    "vendor": """
-        amazon.com ebay.com walmart.com bestbuy.com target.com newegg.com etsy.com
-        aliexpress.com alibaba.com apple.com microsoft.com samsung.com sony.com dell.com
-        hp.com lenovo.com nvidia.com intel.com amd.com oracle.com adobe.com salesforce.com
-        ikea.com nike.com tesla.com""",
+# Type of a registered domain.
+TYPE_OF_DOMAIN = {
+    "wikipedia.org": "encyclopedia",
+    "wikiwand.com": "encyclopedia",
+    "wiki2.org": "encyclopedia",
+    "wikidata.org": "encyclopedia",
+    "britannica.com": "encyclopedia",
+    "encyclopedia.com": "encyclopedia",
+    "newworldencyclopedia.org": "encyclopedia",
+    "scholarpedia.org": "encyclopedia",
+    "dbpedia.org": "encyclopedia",
+    "readthedocs.io": "official_documentation",
+    "readthedocs.org": "official_documentation",
+    "kubernetes.io": "official_documentation",
+    "rust-lang.org": "official_documentation",
+    "nodejs.org": "official_documentation",
+    "go.dev": "official_documentation",
+    "reuters.com": "news",
+    "apnews.com": "news",
+    "bbc.com": "news",
+    "bbc.co.uk": "news",
+    "nytimes.com": "news",
+    "theguardian.com": "news",
+    "washingtonpost.com": "news",
+    "cnn.com": "news",
+    "nbcnews.com": "news",
+    "cbsnews.com": "news",
+    "npr.org": "news",
+    "bloomberg.com": "news",
+    "ft.com": "news",
+    "wsj.com": "news",
+    "economist.com": "news",
+    "aljazeera.com": "news",
+    "cbc.ca": "news",
+    "abc.net.au": "news",
+    "dw.com": "news",
+    "france24.com": "news",
+    "techcrunch.com": "news",
+    "theverge.com": "news",
+    "arstechnica.com": "news",
+    "wired.com": "news",
+    "zdnet.com": "news",
+    "cnet.com": "news",
+    "engadget.com": "news",
+    "politico.com": "news",
+    "axios.com": "news",
+    "latimes.com": "news",
+    "usatoday.com": "news",
+    "time.com": "news",
+    "newsweek.com": "news",
+    "forbes.com": "news",
+    "businessinsider.com": "news",
+    "telegraph.co.uk": "news",
+    "independent.co.uk": "news",
+    "thetimes.co.uk": "news",
+    "thehindu.com": "news",
+    "scmp.com": "news",
+    "japantimes.co.jp": "news",
+    "straitstimes.com": "news",
+    "smh.com.au": "news",
+    "globalnews.ca": "news",
+    "ctvnews.ca": "news",
+    "foxnews.com": "news",
+    "huffpost.com": "news",
+    "vox.com": "news",
+    "propublica.org": "news",
+    "reddit.com": "forum",
+    "stackexchange.com": "forum",
+    "stackoverflow.com": "forum",
+    "superuser.com": "forum",
+    "serverfault.com": "forum",
+    "askubuntu.com": "forum",
+    "mathoverflow.net": "forum",
+    "quora.com": "forum",
+    "medium.com": "blog",
+    "substack.com": "blog",
+    "wordpress.com": "blog",
+    "blogspot.com": "blog",
+    "blogger.com": "blog",
+    "tumblr.com": "blog",
+    "dev.to": "blog",
+    "hashnode.dev": "blog",
+    "ghost.io": "blog",
+    "livejournal.com": "blog",
+    "typepad.com": "blog",
+    "amazon.com": "vendor",
+    "ebay.com": "vendor",
+    "walmart.com": "vendor",
+    "bestbuy.com": "vendor",
+    "target.com": "vendor",
+    "newegg.com": "vendor",
+    "etsy.com": "vendor",
+    "aliexpress.com": "vendor",
+    "alibaba.com": "vendor",
+    "apple.com": "vendor",
+    "microsoft.com": "vendor",
+    "samsung.com": "vendor",
+    "sony.com": "vendor",
+    "dell.com": "vendor",
+    "hp.com": "vendor",
+    "lenovo.com": "vendor",
+    "nvidia.com": "vendor",
+    "intel.com": "vendor",
+    "amd.com": "vendor",
+    "oracle.com": "vendor",
+    "adobe.com": "vendor",
+    "salesforce.com": "vendor",
+    "ikea.com": "vendor",
+    "nike.com": "vendor",
+    "tesla.com": "vendor",
 }
-TYPE_OF_DOMAIN = {d: kind for kind, block in DOMAINS_BY_TYPE.items() for d in block.split()}
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:

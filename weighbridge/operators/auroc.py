@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weighbridge.functions.answers import grid_bin
-from weighbridge.operators.grouped import running_sum
+from weighbridge.operators.grouped import sum_before
 
 
 def label_histogram(rows: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -19,14 +19,12 @@ def label_histogram(rows: DataFrame, by: list[str], score: str = "score", label:
 
 
 def _below(hist: DataFrame, by: list[str], score: str, on_grid: bool, value: str, out: str) -> DataFrame:
-    """Total of ``value`` over strictly lower scores. Free scores are summed in
-    4,096 buckets first, so no task sees all distinct scores of a judge."""
+    """Total of ``value`` over strictly lower scores. Free scores are summed by
+    stretches of their order, so no task sees all distinct scores of a judge."""
     if on_grid:
         below = W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
         return hist.withColumn(out, F.coalesce(F.sum(value).over(below), F.lit(0)))
-    bucketed = hist.withColumn("_bucket", F.floor(F.col(score) * 4096))
-    summed = running_sum(bucketed, by, ["_bucket"], [F.asc(score)], value, out)
-    return summed.withColumn(out, F.col(out) - F.col(value)).drop("_bucket")
+    return sum_before(hist, by, [F.asc(score)], value, out)
 
 
 def auroc(hist: DataFrame, by: list[str], score: str = "score", on_grid: bool = False) -> DataFrame:

@@ -6,8 +6,8 @@ A window over a group runs in one task. Three devices keep that task small:
   per group before the shuffle;
 * ``running_sum`` and ``dense_index`` – block totals first (partial
   aggregation), then windows inside blocks only;
-* ``competition_ranks`` – ordinary groups use a plain window, and groups above
-  ``hot_rows`` are ranked from counts of their distinct keys.
+* ``sum_before`` – the order is cut into stretches by a range shuffle, which are
+  even however values crowd; windows run inside stretches and over their totals.
 """
 
 from __future__ import annotations
@@ -19,25 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-MAX_HOT_GROUPS = 10_000
+from weighbridge.stages import materialize
 
-
-def split_hot(df: DataFrame, group: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """(ordinary, hot) rows by group size; hot is None where no group is too large.
-
-    One counting job decides, so that the usual plan carries no second branch. At
-    most ``MAX_HOT_GROUPS`` keys are taken to the driver and broadcast, the
-    largest groups first: a group that misses the list holds less than
-    1/MAX_HOT_GROUPS of all rows and is ordinary enough. The split is by key, so
-    the result does not depend on which keys are listed.
-    """
-    counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    keys = counts.orderBy(F.desc("_n")).limit(MAX_HOT_GROUPS).select(*group).collect()
-    if not keys:
-        return df, None
-    hot = F.broadcast(df.sparkSession.createDataFrame(keys, df.select(*group).schema))
-    return df.join(hot, group, "left_anti"), df.join(hot, group, "left_semi")
+HOT_ROWS = 1_000_000  # rows of a group above which it is ranked by counts of its keys
 
 
 def top_rows(df: DataFrame, group: list[str], order: list[Column], k: int, out: str = "position") -> DataFrame:
@@ -51,15 +35,37 @@ def first_rows(df: DataFrame, group: list[str], order: list[Column]) -> DataFram
     return top_rows(df, group, order, 1, "_first").drop("_first")
 
 
+def sum_before(df: DataFrame, group: list[str], order: list[Column], value: str, out: str) -> DataFrame:
+    """Total of ``value`` over the rows of the group that come earlier in the order.
+
+    A range shuffle deals each group's order into stretches of even size; rows with
+    equal keys share one, so feed distinct keys with counts. Totals of stretches are
+    at most as many as partitions and groups together.
+    """
+    placed = materialize(
+        df.repartitionByRange(*[F.asc(g) for g in group], *order)
+        .sortWithinPartitions(*group, *order)
+        .withColumn("_at", F.monotonically_increasing_id()),
+        "stretches",
+    ).withColumn("_stretch", F.shiftrightunsigned("_at", 33))
+    earlier = W.partitionBy(*group).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    totals = (
+        placed.groupBy(*group, "_stretch")
+        .agg(F.sum(value).alias("_total"))
+        .select(*group, "_stretch", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    )
+    inside = W.partitionBy(*group, "_stretch").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    summed = placed.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(totals, [*group, "_stretch"]).withColumn(out, F.col(out) + F.col("_before")).select(*df.columns, out)
+
+
 @dataclass(frozen=True)
 class RankList:
-    """One rank list: ``(column, descending)`` keys, and a bucket expression that
-    does not decrease along the order (used for huge groups only). Rows whose
-    first key is NULL are not in the list."""
+    """One rank list: ``(column, descending)`` keys. Rows whose first key is NULL are
+    not in the list."""
 
     out: str
     keys: tuple[tuple[str, bool], ...]
-    bucket: Column
 
     def order(self) -> list[Column]:
         return [
@@ -72,40 +78,37 @@ class RankList:
 
 
 def _ranks_from_counts(df: DataFrame, group: list[str], ranks: RankList) -> DataFrame:
-    """Rank per distinct key: 1 + rows in better buckets + better rows in the bucket."""
+    """Rank per distinct key: 1 + rows with better keys."""
     keys = [k for k, _ in ranks.keys]
-    counts = (
-        df.where(ranks.present())
-        .groupBy(*group, *keys, ranks.bucket.alias("_bucket"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        counts.groupBy(*group, "_bucket")
-        .agg(F.sum("_n").alias("_block"))
-        .select(*group, "_bucket", F.coalesce(F.sum("_block").over(before), F.lit(0)).alias("_before"))
-    )
-    inside = W.partitionBy(*group, "_bucket").orderBy(*ranks.order()).rowsBetween(W.unboundedPreceding, -1)
-    return (
-        counts.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(offsets, [*group, "_bucket"])
-        .select(*group, *keys, (1 + F.col("_before") + F.col("_inside")).cast("int").alias(ranks.out))
-    )
+    counts = df.where(ranks.present()).groupBy(*group, *keys).agg(F.count(F.lit(1)).alias("_n"))
+    better = sum_before(counts, group, ranks.order(), "_n", "_better")
+    return better.select(*group, *keys, (1 + F.col("_better")).cast("int").alias(ranks.out))
 
 
 def competition_ranks(
     df: DataFrame, group: list[str], lists: list[RankList], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Add 1, 2, 2, 4 ranks for every list; NULL where a row is not in the list."""
-    ordinary, hot = split_hot(df, group, hot_rows)
+    """Add 1, 2, 2, 4 ranks for every list; NULL where a row is not in the list.
+
+    Groups of up to ``hot_rows`` rows are ranked by windows, larger ones from counts
+    of their distinct keys. Both branches are in the plan at every size; which groups
+    are large stays a table of at most one row per ``hot_rows`` rows.
+    """
+    df = materialize(df, "candidates")
+    large = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*group)
+    large = materialize(large, "large-groups")
+    ordinary, hot = df.join(large, group, "left_anti"), df.join(large, group, "left_semi")
     for ranks in lists:  # one shuffle by group serves all lists
         over = W.partitionBy(*group).orderBy(*ranks.order())
         ordinary = ordinary.withColumn(ranks.out, F.when(ranks.present(), F.rank().over(over)))
-    if hot is None:
-        return ordinary
+    hot = materialize(hot, "large-group-rows")
     for ranks in lists:
         table = _ranks_from_counts(hot, group, ranks)
-        hot = hot.join(table, [*group, *[k for k, _ in ranks.keys]], "left")
+        named = table.select(*[F.col(c).alias(f"_r_{c}") for c in [*group, *(k for k, _ in ranks.keys)]], ranks.out)
+        same = F.lit(True)
+        for c in [*group, *(k for k, _ in ranks.keys)]:  # a key beyond the first may be NULL
+            same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        hot = hot.join(named, same, "left").select(*hot.columns, ranks.out)
     return ordinary.unionByName(hot.select(*ordinary.columns))
 
 

@@ -14,6 +14,7 @@ from weighbridge.operators.grouped import (
     competition_ranks,
     first_rows,
     running_sum,
+    sum_before,
     top_rows,
 )
 from weighbridge.settings import LIMITS, Limits
@@ -26,10 +27,9 @@ def rank_lists() -> list[RankList]:
         RankList(
             "retriever_rank",
             (("engine_rank", False), ("n_engines", True)),
-            F.col("engine_rank").cast("double"),
         ),
-        RankList("memory_rank", (("similarity", True),), F.floor(F.col("similarity") * -4096).cast("double")),
-        RankList("evidence_rank", (("evidence", True),), F.floor(F.col("evidence") * -4096).cast("double")),
+        RankList("memory_rank", (("similarity", True),)),
+        RankList("evidence_rank", (("evidence", True),)),
     ]
 
 
@@ -144,11 +144,11 @@ def mid_ranks(scores: DataFrame, group: list[str], score: str = "score") -> Data
     """Average rank of every distinct score in ascending order."""
     keyed = (
         scores.where(F.col(score).isNotNull())
-        .groupBy(*group, score, F.floor(F.col(score) * 4096).alias("_bucket"))
+        .groupBy(*group, score)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    summed = running_sum(keyed, group, ["_bucket"], [F.asc(score)], "n", "_upto")
-    return summed.select(*group, score, "n", (F.col("_upto") - (F.col("n") - 1) / 2).alias("mid_rank"))
+    lower = sum_before(keyed, group, [F.asc(score)], "n", "_lower")
+    return lower.select(*group, score, "n", (F.col("_lower") + (F.col("n") + 1) / 2).alias("mid_rank"))
 
 
 def worklist_order(rows: DataFrame) -> DataFrame:

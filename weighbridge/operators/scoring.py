@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weighbridge.functions.answers import judge_cost
+from weighbridge.operators.grouped import sum_before
 from weighbridge.operators.resample import bootstrap_sums, interval
 from weighbridge.settings import ACCEPTANCE_BARS, RESAMPLES
 from weighbridge.stages import materialize
@@ -204,10 +205,23 @@ def calibration_error(table: DataFrame, by: list[str]) -> DataFrame:
 
 
 def latency_quantiles(records: DataFrame, by: list[str], latency: str) -> DataFrame:
-    """Median and 95th percentile from counts of distinct latencies."""
+    """Median and 95th percentile, interpolated, from running counts of distinct
+    latencies: each rank is looked up in the latency whose stretch of ranks holds it."""
     counted = records.where(F.col(latency).isNotNull()).groupBy(*by, latency).agg(F.count(F.lit(1)).alias("_n"))
-    both = F.percentile(F.col(latency), F.array(F.lit(0.5), F.lit(0.95)), F.col("_n"))
-    return counted.groupBy(*by).agg(both[0].alias("p50"), both[1].alias("p95"), F.sum("_n").alias("n"))
+    placed = sum_before(counted, by, [F.asc(latency)], "_n", "_lower")
+    sizes = counted.groupBy(*by).agg(F.sum("_n").alias("n"))
+    upto = F.col("_lower") + F.col("_n") - 1  # ranks from 0
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_lower") <= rank) & (rank <= upto), F.col(latency)))
+
+    def quantile(q: float) -> Column:
+        place = F.lit(q) * (F.col("n") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return low + (high - low) * (F.max(place) - F.floor(F.max(place)))
+
+    out = placed.join(sizes, by).groupBy(*by).agg(quantile(0.5).alias("p50"), quantile(0.95).alias("p95"), F.max("n").alias("n"))
+    return out
 
 
 def pass_delta(first: DataFrame, second: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
