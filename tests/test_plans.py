@@ -43,7 +43,7 @@ def test_sheet_questions_skip_preamble_and_blank_rows(spark, tmp_path):
         '7,TEST,"Who, now?",TRUE,fast-changing,Ann,Bob\n,,,,,,\n8,DEV,Old?,false,slow,, Eve \n9,TEST,No answer?,,fast-changing,,\n'
     )
     (tmp_path / "s.csv").write_text(text)
-    rows = readers.read_sheet_questions(spark, str(tmp_path / "s.csv"), width=10)
+    rows = readers.read_sheet_questions(spark, str(tmp_path / "s.csv"))
     got = {r.question_id: (r.query, r.gold, r.golds) for r in rows.collect()}
     assert got == {"freshqa-7": ("Who, now?", "Ann", ["Ann", "Bob"]), "freshqa-8": ("Old?", "Eve", ["Eve"]), "freshqa-9": ("No answer?", "", [])}
     assert [r.question_id for r in readers.select_questions(rows, include_false_premise=False).collect()] == ["freshqa-9"]

@@ -196,9 +196,9 @@ def graded_claims(spark, path):
 
 
 def _inputs(t: Tables):
-    """Pages as results and chunks of twelve questions, through the freeze plan."""
+    """Pages as results and chunks, 25 to a question, through the freeze plan."""
     pages, page = t.pages, F.col("page_id")
-    question = F.concat(F.lit("q"), (page % 12).cast("string"))
+    question = F.concat(F.lit("q"), F.floor(page / 25).cast("string"))
     raw = pages.select(
         question.alias("question_id"), page.alias("pos"), "url", F.format_string("Page %d", page).alias("title"),
         F.col("url").alias("snippet"), F.array(F.lit("e1")).alias("engines"),
@@ -253,7 +253,7 @@ def quoting_generator(prompts, purpose):
     return prompts.select("question_id", reply.alias("reply"))
 
 
-@query("plain_answers", "select 'q' || k as question_id, 'I think: What about q' || k || '?' as answer from (select distinct page_id % 12 as k from pages)")
+@query("plain_answers", "select 'q' || k as question_id, 'I think: What about q' || k || '?' as answer from (select distinct page_id // 25 as k from pages)")
 def plain_answers(spark, path):
     """The generator alone."""
     questions, *_ = _inputs(Tables(spark, path))

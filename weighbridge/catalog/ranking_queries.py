@@ -109,7 +109,7 @@ SQL_CANONICAL = "regexp_replace(regexp_replace(trim(url), '#.*$', ''), '/+$', ''
 
 @query(
     "deduplicated_results",
-    f"""with r as (select case when length(html) % 3 = 0 then 'q0' else 'q' || (page_id % 7) end as question_id, page_id // 2 as pos2, page_id as pos,
+    f"""with r as (select 'q' || page_id // 25 as question_id, page_id // 2 as pos2, page_id as pos,
        case when page_id % 2 = 0 then url else regexp_replace(url, '/en/.*', '/en/1') end as url from pages),
 k as (select *, {SQL_CANONICAL} as key from r where url <> ''),
 f as (select * from (select *, row_number() over (partition by question_id, key order by pos) as rn from k) where rn = 1),
@@ -117,9 +117,9 @@ o as (select question_id, pos, url, row_number() over (partition by question_id
 select question_id, rank, pos, url, 'engine' || (pos % 3) as engines from o where rank <= 30""",
 )
 def deduplicated_results(spark, path):
-    """First result per canonical URL, re-ranked and cut; one question is large."""
+    """First result per canonical URL, re-ranked."""
     pages = Tables(spark, path).pages
-    question = F.when(F.length("html") % 3 == 0, "q0").otherwise(F.concat(F.lit("q"), (F.col("page_id") % 7).cast("string")))
+    question = F.concat(F.lit("q"), F.floor(F.col("page_id") / 25).cast("string"))
     url = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.regexp_replace("url", "/en/.*", "/en/1"))
     raw = pages.select(
         question.alias("question_id"), F.col("page_id").alias("pos"), url.alias("url"),

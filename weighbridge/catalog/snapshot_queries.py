@@ -17,11 +17,11 @@ from weighbridge.plans import freeze as Z
 from weighbridge.stages import stage_dir
 from weighbridge.streaming.ingest import ingest_stream, stored_drawers
 
-# Pages as crawled search results of twelve questions; every third page also
-# belongs to question q0, so that chunks are filed twice.
+# Pages as crawled search results, 25 to a question; every sixth page also belongs to
+# the next question, so that chunks are filed twice.
 SQL_CRAWL = f"""
-links as (select 'q' || page_id % 12 as question_id, page_id as pos, url from pages
-  union all select 'q0', page_id, url from pages where page_id % 3 = 0 and page_id % 12 <> 0),
+links as (select 'q' || page_id // 25 as question_id, page_id as pos, url from pages
+  union all select 'q' || (page_id // 25 + 1), page_id, url from pages where page_id % 6 = 0),
 keyed as (select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '/+$', '') as key from links),
 firsts as (select * from (select *, row_number() over (partition by question_id, key order by pos) as rn from keyed) where rn = 1),
 results as (select * from (select question_id, pos, url, row_number() over (partition by question_id order by pos) as rank from firsts) where rank <= 30),
@@ -39,8 +39,9 @@ store as (select distinct 'ev_' || substr(sha1(url || chr(10) || 0), 1, 16) || '
 
 def _frozen(t: Tables):
     pages, page = t.pages, F.col("page_id")
-    link = pages.select(F.concat(F.lit("q"), (page % 12).cast("string")).alias("question_id"), page.alias("pos"), "url")
-    extra = pages.where((page % 3 == 0) & (page % 12 != 0)).select(F.lit("q0").alias("question_id"), page.alias("pos"), "url")
+    number = F.floor(page / 25)
+    link = pages.select(F.concat(F.lit("q"), number.cast("string")).alias("question_id"), page.alias("pos"), "url")
+    extra = pages.where(page % 6 == 0).select(F.concat(F.lit("q"), (number + 1).cast("string")).alias("question_id"), page.alias("pos"), "url")
     raw = link.unionByName(extra).withColumn("title", F.format_string("Page %d", "pos"))
     crawl = pages.select(
         "url", F.when(page % 10 == 3, 404).otherwise(200).alias("status"), F.lit("text/html").alias("content_type"),
@@ -286,7 +287,7 @@ def streamed_drawers(spark, path):
 @query(
     "windows_per_source",
     """select source, count(*) as n_docs, sum(n)::bigint as n_windows from (
-  select source, doc_id, least(8, len(list_filter(range(0, n, 255), lambda s: (s = 0 or s - 255 + 300 < n) and (s = 0 or n - s >= 20)))) as n
+  select source, doc_id, len(list_filter(range(0, n, 255), lambda s: (s = 0 or s - 255 + 300 < n) and (s = 0 or n - s >= 20))) as n
   from (select source, doc_id, len(regexp_extract_all(text, '\\S+')) as n from documents)) group by source""",
 )
 def windows_per_source(spark, path):

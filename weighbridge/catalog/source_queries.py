@@ -82,7 +82,7 @@ def sheet_from_csv(spark, path):
     head = spark.createDataFrame([("Notes on the sheet\nas of,2026-09-19\n\n" + ",".join(names),)], "value string")
     head.write.text(f"{where}/0-head")  # files are read in name order: the preamble first
     body.select("value").write.text(f"{where}/1-body")
-    q = R.read_sheet_questions(spark, f"{where}/*", width=12)
+    q = R.read_sheet_questions(spark, f"{where}/*")
     m = F.col("metadata")
     return q.select(
         "question_id", "query", "gold", m["split"].alias("split"), (m["false_premise"] == "true").cast("int").alias("false_premise"), F.size("golds").alias("n_golds")

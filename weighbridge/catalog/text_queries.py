@@ -184,7 +184,7 @@ def token_counts(spark, path):
     f"""with d as (select doc_id, regexp_extract_all(text, '\\S+') as tok from documents),
 s as (select doc_id, tok, len(tok) as n, unnest(range(0, len(tok), 255)) as s from d),
 w as (select doc_id, s // 255 as chunk_index, least(300, n - s) as n_tokens, array_to_string(tok[s + 1:s + 300], ' ') as t
-  from s where (s = 0 or s - 255 + 300 < n) and (s = 0 or n - s >= 20) and s // 255 < 8),
+  from s where (s = 0 or s - 255 + 300 < n) and (s = 0 or n - s >= 20)),
 c as (select doc_id, chunk_index, n_tokens, {cap("t", 1800)} as t from w)
 select doc_id, chunk_index, n_tokens, length(t) as n_chars, md5(t) as digest from c""",
 )

@@ -60,6 +60,13 @@ def parse_answers(answers_json: Column) -> Column:
     return F.when(strange, F.raise_error(F.concat(F.lit("unknown answer type in "), answers_json))).otherwise(checked)
 
 
+def well_formed(answers_json: Column) -> Column:
+    """Whether ``parse_answers`` can read the answers of a request."""
+    parsed = F.from_json(answers_json, f"map<string,{ANSWER}>")
+    typed = F.forall(F.map_values(parsed), lambda a: F.coalesce(a["type"].isin("noul", "choice", "score"), F.lit(False)))
+    return F.coalesce(typed, F.lit(False))
+
+
 def _first_of(raw: Column, names: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.get_json_object(raw, f"$.{name}") for name in names])
 

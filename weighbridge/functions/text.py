@@ -83,7 +83,7 @@ def chunk_text(
     tokens: Column,
     size: int = LIMITS.chunk_tokens,
     overlap: float = LIMITS.chunk_overlap,
-    max_chunks: int = LIMITS.max_chunks_per_page,
+    max_chunks: int | None = None,
     max_chars: int = LIMITS.passage_max_chars,
     min_tokens: int = LIMITS.min_chunk_tokens,
     glue: str = " ",
@@ -92,7 +92,8 @@ def chunk_text(
 
     ``n_tokens`` is the window length before the character cap. A window blank
     after the cap is skipped without using up an index, and a short tail window
-    is dropped once something was emitted. Feed a text column through a
+    is dropped once something was emitted. ``max_chunks`` is a policy of the caller;
+    without it every window counts. Feed a text column through a
     tokenizer first; pass ``glue=''`` for sub-word tokens.
     """
     step = max(1, size - round(size * overlap))
@@ -107,12 +108,13 @@ def chunk_text(
         n = F.size(words)
         starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
         reached = F.filter(starts, lambda s: (s == 0) | (s - step + size < n))
-        if glue == " ":  # words are never blank, so only the kept windows are built
+        if glue == " " and max_chunks is not None:  # words are never blank, so only the kept windows are built
             reached = F.slice(reached, 1, max_chunks + 1)
         return F.transform(reached, lambda s: window(words, s))
 
     written = F.filter(let(tokens, windows), lambda w: w["text"] != "")
-    kept = F.slice(F.filter(written, lambda w, i: (i == 0) | (w["n_tokens"] >= min_tokens)), 1, max_chunks)
+    kept = F.filter(written, lambda w, i: (i == 0) | (w["n_tokens"] >= min_tokens))
+    kept = kept if max_chunks is None else F.slice(kept, 1, max_chunks)
     return F.transform(
         kept,
         lambda w, i: F.struct(

@@ -175,6 +175,14 @@ def dense_index(df: DataFrame, keys: list[str], group: list[str] | None = None,
     )
 
 
+def strict_join(left: DataFrame, right: DataFrame, keys: list[str], missing: str) -> DataFrame:
+    """Inner join that fails where a left row has no partner, instead of losing it."""
+    joined = left.join(right.withColumn("_partner", F.lit(True)), keys, "left")
+    named = F.concat_ws(" ", F.lit(f"{missing}:"), *[F.col(k).cast("string") for k in keys])
+    whole = F.when(F.col("_partner").isNull(), F.raise_error(named)).otherwise(F.lit(True))
+    return joined.where(whole).drop("_partner")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Union by name; columns one side lacks become NULL."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weighbridge.functions.answers import fallback_answer, parse_label, parse_letter
+from weighbridge.functions.answers import fallback_answer, parse_label, parse_letter, well_formed
 from weighbridge.functions.text import strip
 from weighbridge.stages import materialize
 
@@ -25,8 +25,8 @@ REPLIED = "cache_key string, model string, reply string, error string"
 
 def _fresh(requests: DataFrame, cache: DataFrame, columns: list[str], scorer: Scorer, schema: str, parallelism: int | None) -> DataFrame:
     """Answers to requests the cache lacks. ``parallelism`` bounds concurrent calls."""
-    unique = requests.select(*columns).dropDuplicates(["cache_key"])
-    misses = unique.join(cache.select("cache_key"), "cache_key", "left_anti")
+    unknown = requests.select(*columns).join(cache.select("cache_key"), "cache_key", "left_anti")
+    misses = unknown.dropDuplicates(["cache_key"])
     spread = misses.repartition(parallelism) if parallelism else misses
     return spread.mapInPandas(scorer, schema)
 
@@ -43,14 +43,14 @@ def fallback_answers(bank: DataFrame) -> DataFrame:
 def new_entries(requests: DataFrame, cache: DataFrame, scorer: Scorer, fallback: str | None = None,
                 parallelism: int | None = None) -> DataFrame:
     """Cache rows to append. A failed call becomes the ``fallback`` answer set, marked
-    as such; without one it fails the job. A malformed answer is never cached."""
+    as such; without one it fails the job. Answers that do not parse into typed ones
+    are a failed call: they are never cached as given."""
     scored = _fresh(requests, cache, ["cache_key", "model", "state"], scorer, SCORED, parallelism)
-    failed = F.col("error").isNotNull() | F.col("answers").isNull()
-    broken = ~failed & F.from_json("answers", "map<string,string>").isNull()
+    failed = F.col("error").isNotNull() | ~well_formed(F.col("answers"))
     if fallback is None:
-        message = F.concat(F.lit("judge request failed: "), F.coalesce("error", F.lit("no answers")))
+        message = F.concat(F.lit("judge request failed: "), F.coalesce("error", "answers", F.lit("no answers")))
         scored = scored.where(F.when(failed, F.raise_error(message)).otherwise(F.lit(True)))
-    return scored.where(~broken).select(
+    return scored.select(
         "cache_key",
         "model",
         F.when(failed, F.lit(fallback)).otherwise(F.col("answers")).alias("answers"),
@@ -62,7 +62,7 @@ def new_entries(requests: DataFrame, cache: DataFrame, scorer: Scorer, fallback:
 
 def answer_from(requests: DataFrame, cache: DataFrame, fresh: DataFrame) -> DataFrame:
     """Every request row with its answers; ``cached`` tells where they came from."""
-    known = cache.withColumn("cached", F.lit(True)).unionByName(fresh.withColumn("cached", F.lit(False)))
+    known = cache.dropDuplicates(["cache_key"]).withColumn("cached", F.lit(True)).unionByName(fresh.withColumn("cached", F.lit(False)))
     return requests.drop("model").join(known, "cache_key", "left")
 
 
@@ -83,11 +83,11 @@ def score_and_store(requests: DataFrame, cache_path: str, scorer: Scorer, fallba
     spark = requests.sparkSession
     schema = "cache_key string, model string, answers string, input_tokens bigint, output_tokens bigint, fallback boolean"
     before = spark.read.schema(schema).parquet(cache_path)
-    hit_keys = before.select("cache_key", F.lit(True).alias("cached"))
+    hit_keys = before.select("cache_key", F.lit(True).alias("cached")).distinct()
     marked = materialize(requests.select("cache_key").distinct().join(hit_keys, "cache_key", "left"), "hits")
     new_entries(requests, before, scorer, fallback, parallelism).write.mode("append").parquet(cache_path)
     spark.catalog.refreshByPath(cache_path)
-    after = spark.read.schema(schema).parquet(cache_path)
+    after = spark.read.schema(schema).parquet(cache_path).dropDuplicates(["cache_key"])
     return requests.drop("model").join(after, "cache_key", "left").join(
         marked.withColumn("cached", F.coalesce("cached", F.lit(False))), "cache_key", "left"
     )

@@ -9,7 +9,7 @@ from weighbridge.functions.ids import snippet_cite_id
 from weighbridge.functions.policy import known, route
 from weighbridge.functions.text import prepare_text, strip
 from weighbridge.functions.urls import domain_of, source_type
-from weighbridge.operators.grouped import union_all
+from weighbridge.operators.grouped import strict_join, union_all
 from weighbridge.settings import GATE_QUESTIONS, LIMITS, MEMORY_DOMAIN, Limits
 
 
@@ -122,10 +122,11 @@ def wide_answers(judgments: DataFrame, keys: list[str], question_ids: tuple[str,
 def gate(passages: DataFrame, judgments: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """Passages with their five probabilities, route and reason.
 
-    ``judgments(question_id, id, qid, value)`` in long form.
+    ``judgments(question_id, id, qid, value)`` in long form. A passage without any
+    judgment is an error.
     """
     wide = wide_answers(judgments, ["question_id", "id"])
-    return passages.join(wide, ["question_id", "id"]).withColumn(
+    return strict_join(passages, wide, ["question_id", "id"], "passage without judgment").withColumn(
         "gate",
         route(
             F.col("contains_prompt_injection"),

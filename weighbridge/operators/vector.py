@@ -51,8 +51,8 @@ def _best_in_cell(n: int):
 
 
 def search(
-    queries: DataFrame, drawers: DataFrame, n: int = LIMITS.memory_top_k,
-    max_distance: float | None = LIMITS.memory_max_distance, since: bool = False,
+    queries: DataFrame, drawers: DataFrame, n: int = LIMITS.palace_top_k,
+    max_distance: float | None = LIMITS.palace_max_distance, since: bool = False,
     cap_after_top: bool = False,
 ) -> DataFrame:
     """Top ``n`` drawers per query by cosine similarity, with ``distance``.
@@ -93,8 +93,8 @@ def search(
 
 
 def search_within(
-    queries: DataFrame, drawers: DataFrame, n: int = LIMITS.memory_top_k,
-    max_distance: float | None = LIMITS.memory_max_distance,
+    queries: DataFrame, drawers: DataFrame, n: int = LIMITS.palace_top_k,
+    max_distance: float | None = LIMITS.palace_max_distance,
 ) -> DataFrame:
     """Top ``n`` of every question's own drawers for its one query.
 
@@ -122,8 +122,8 @@ def _cut(scored: DataFrame, n: int, max_distance: float | None) -> DataFrame:
     return best if not max_distance else best.where(F.col("distance") <= max_distance)
 
 
-def memory_lane(queries: DataFrame, drawers: DataFrame, n: int = LIMITS.memory_top_k,
-                max_distance: float | None = LIMITS.memory_max_distance, since: bool = False) -> DataFrame:
+def memory_lane(queries: DataFrame, drawers: DataFrame, n: int = LIMITS.palace_top_k,
+                max_distance: float | None = LIMITS.palace_max_distance, since: bool = False) -> DataFrame:
     """Verified hits first, then evidence hits, numbered ``m01`` on per question."""
     lanes = []
     for order, wing in enumerate((VERIFIED, EVIDENCE)):

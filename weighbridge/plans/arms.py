@@ -20,7 +20,7 @@ from weighbridge.functions.ids import refine_cite_id
 from weighbridge.functions.policy import answer_outcome, claim_verdict, intake, rebuilt_answer, sufficiency
 from weighbridge.functions.text import clean_output, prepare_text, refined_query
 from weighbridge.functions.urls import domain_of, source_type
-from weighbridge.operators.grouped import union_all
+from weighbridge.operators.grouped import strict_join, union_all
 from weighbridge.operators.passages import (
     answer_state,
     cited_passages,
@@ -65,7 +65,7 @@ def plain_arm(questions: DataFrame, generator: Generator) -> DataFrame:
     """The generator alone: the question is the prompt, nothing is cited, nothing declined."""
     replies = generator(questions.select("question_id", F.col("query").alias("prompt")), "plain")
     empty = F.array().cast("array<string>")
-    return questions.select("question_id").join(replies, "question_id").select(
+    return strict_join(questions.select("question_id"), replies, ["question_id"], "question without reply").select(
         "question_id",
         F.lit("plain").alias("arm"),
         F.trim(clean_output(F.col("reply"))).alias("answer"),
@@ -145,7 +145,7 @@ def _intake(questions: DataFrame, judge: Judge, limits: Limits) -> DataFrame:
         F.col("recency_confidence"), F.col("category_choice"), F.col("category_confidence"),
         F.col("has_verified_hits"), F.col("force_search"), F.col("force_web"), limits,
     )
-    return questions.join(wide, "question_id").withColumn("s0", plan)
+    return strict_join(questions, wide, ["question_id"], "question without intake answers").withColumn("s0", plan)
 
 
 def _judged(passages: DataFrame, queries: DataFrame, judge: Judge, limits: Limits) -> DataFrame:
@@ -299,7 +299,8 @@ def _prompts(s0: DataFrame, verdicts: DataFrame, selected: DataFrame, block: Dat
 
 def _verified(base: DataFrame, replies: DataFrame, judge: Judge, stages: Stages, limits: Limits) -> tuple[DataFrame, DataFrame]:
     """Generated answers after citation rules and per-claim verification."""
-    made = base.join(replies, "question_id").withColumn(
+    asked = base.where(F.col("action") != "abstain")
+    made = strict_join(asked, replies, ["question_id"], "question without reply").withColumn(
         "p", postprocess(clean_output(F.col("reply")), F.col("evidence_ids"), False)
     )
     claims = made.where(~F.col("p.abstained")).select(
@@ -312,7 +313,7 @@ def _verified(base: DataFrame, replies: DataFrame, judge: Judge, stages: Stages,
     )
     support = judge(states, "s4_claim").where(F.col("qid") == "support").select("question_id", "id", "choice", "confidence")
     checked = stages.keep(
-        claims.withColumn("id", F.format_string("claim%03d", "pos")).join(support, ["question_id", "id"])
+        strict_join(claims.withColumn("id", F.format_string("claim%03d", "pos")), support, ["question_id", "id"], "claim without verdict")
         .withColumn("v", claim_verdict(F.col("choice"), F.col("confidence"), limits))
         .select("question_id", "pos", "claim.text", "claim.citations", "choice", "confidence", "v.verdict", "v.reason"),
         "s4_claims",

@@ -26,8 +26,8 @@ class Limits:
     memory_write_min: float = 0.80
     addresses_min: float = 0.50
     max_snippets: int = 30
-    memory_top_k: int = 10
-    memory_max_distance: float = 0.60
+    palace_top_k: int = 10
+    palace_max_distance: float = 0.60
     max_pages: int = 5
     chunk_tokens: int = 300
     chunk_overlap: float = 0.15
@@ -45,9 +45,11 @@ class Limits:
 
     @classmethod
     def from_mapping(cls, values: dict) -> Limits:
-        """Limits from a parsed settings file; unknown keys are ignored."""
-        known = {f.name for f in fields(cls)}
-        return cls(**{k: v for k, v in values.items() if k in known})
+        """Limits from the thresholds of a parsed settings file; an unknown key is an error."""
+        unknown = values.keys() - {f.name for f in fields(cls)}
+        if unknown:
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        return cls(**values)
 
 
 LIMITS = Limits()

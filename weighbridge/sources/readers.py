@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ast
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,9 +49,26 @@ def _with_row_index(raw: DataFrame) -> DataFrame:
     ).drop("_file", "_id", "_start", "_n", "_before")
 
 
+@F.pandas_udf(T.StringType())
+def _python_literal(values: pd.Series) -> pd.Series:
+    """JSON of Python dict literals; NULL for anything else."""
+
+    def convert(text):
+        try:
+            value = ast.literal_eval(text)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+        if not isinstance(value, dict):
+            return None
+        return json.dumps({str(k): v if v is None or isinstance(v, str) else json.dumps(v, default=str) for k, v in value.items()})
+
+    return values.map(convert, na_action="ignore")
+
+
 def _literal_map(text: Column) -> Column:
     """A Python dict literal as ``map<string,string>``; ``{'raw': text}`` if it is not one."""
     parsed = F.from_json(text, "map<string,string>", {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
+    parsed = F.coalesce(parsed, F.from_json(_python_literal(text), "map<string,string>"))
     raw = F.create_map(F.lit("raw"), text)
     empty = F.coalesce(strip(text), F.lit("")) == ""
     return F.when(empty, F.create_map().cast("map<string,string>")).otherwise(F.coalesce(parsed, raw))
@@ -67,9 +86,11 @@ def read_simple_questions(spark: SparkSession, path: str, prefix: str = "simpleq
     )
 
 
-def read_sheet_questions(spark: SparkSession, path: str, prefix: str = "freshqa", width: int = 40) -> DataFrame:
+def read_sheet_questions(spark: SparkSession, path: str, prefix: str = "freshqa") -> DataFrame:
     """Questions from a sheet export: everything up to the row that holds both
-    ``question`` and ``fact_type`` is preamble; blank rows are skipped."""
+    ``question`` and ``fact_type`` is preamble; blank rows are skipped. No row has more
+    cells than the line of most commas, which a pass over the lines finds."""
+    width = 1 + (spark.read.text(path).agg(F.max(F.length("value") - F.length(F.translate("value", ",", "")))).first()[0] or 0)
     names = [f"c{i}" for i in range(width)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = _with_row_index(spark.read.csv(path, schema=schema, multiLine=True, escape='"'))
@@ -116,11 +137,11 @@ def select_questions(questions: DataFrame, split: str | None = "TEST", fact_type
     return questions.where(keep)
 
 
-def seeded_sample(questions: DataFrame, n: int, seed: int, key: str = "question_id") -> DataFrame:
-    """``n`` questions by hash order, or all of them if there are fewer. The same
-    seed and ids give the same sample on any cluster."""
+def seeded_sample(questions: DataFrame, n: int, seed: int, key: str = "question_id", position: str = "question_id") -> DataFrame:
+    """``n`` questions by hash order, or all of them if there are fewer, in order of
+    ``position``. The same seed and ids give the same sample on any cluster."""
     rank = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
-    return questions.withColumn("_h", rank).orderBy("_h", key).limit(n).drop("_h")
+    return questions.withColumn("_h", rank).orderBy("_h", key).limit(n).drop("_h").orderBy(position)
 
 
 def by_id(questions: DataFrame, wanted: DataFrame, key: str = "question_id") -> DataFrame:
@@ -161,14 +182,15 @@ def read_judge_cache(spark: SparkSession, path: str, multi_line: bool = True) ->
         F.get_json_object(state, "$.passage.text").alias("passage_text"),
         state_fingerprint(canonical_text(state, compact=False)).alias("state_id"),
         F.col("request.questions").alias("questions"),
-        F.input_file_name().alias("seq"),
+        # by file, then by place in it
+        F.format_string("%s#%016d#%012d", F.input_file_name(), F.col("_block"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("seq"),
     )
 
 
 def _cache_files(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     return spark.read.schema(schemas.CACHE_FILE).json(
         path, multiLine=multi_line, recursiveFileLookup=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record"
-    )
+    ).withColumn("_block", F.col("_metadata.file_block_start"))
 
 
 def _usable_entry() -> Column:
