@@ -16,6 +16,7 @@ BITS = 18
 PREFIXES = (4, 5, 6)  # bytes of a word's beginning that are terms besides the word
 TRAIN_ROWS = 200_000  # labelled rows the model is fitted on at most (sampled by hash of the id)
 LEAST_Z = 4.0  # how far a term's share among toxic texts lies from that among others, in standard deviations
+LEAST_LIFT = 2.0  # how many times as often a term stands in texts of one label as in the others
 LEAST_TEXTS = 4  # toxic texts that hold a term
 FACTORS = 8
 EPOCHS = 25
@@ -132,13 +133,16 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "
     n = known.count()
     if n > rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    train = materialize(docs.select("doc_id", "text").join(known, "doc_id").select("text", "label"), "labelled")
+    # at most about ``rows`` ids and labels, so the texts need not be shuffled
+    train = materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label"), "labelled")
     sums = train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
     total = {0: 0, 1: 0} | {r.label: r.n for r in sums}
     toxic, clean = max(total[1], 1), max(total[0], 1)
     share = (F.col("toxic") + F.col("clean")) / (toxic + clean)
     z = (F.col("toxic") / toxic - F.col("clean") / clean) / F.sqrt(share * (1 - share + 1e-9) * (1 / toxic + 1 / clean))
-    kept = _counts(train).where((F.abs(z) >= LEAST_Z) & ((F.col("toxic") >= LEAST_TEXTS) | (z < 0))).select("bucket").collect()  # at most 2^18
+    lift = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
+    telling = (F.abs(z) >= LEAST_Z) & ((F.col("toxic") >= LEAST_TEXTS) | (z < 0)) & ((lift >= LEAST_LIFT) | (lift <= 1 / LEAST_LIFT))
+    kept = _counts(train).where(telling).select("bucket").collect()  # at most 2^18
     place = np.full(1 << BITS, -1, np.int32)
     place[sorted(r.bucket for r in kept)] = np.arange(len(kept))
     n_terms = len(kept)
