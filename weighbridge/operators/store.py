@@ -22,22 +22,23 @@ def mark_new(arrivals: DataFrame, store: DataFrame, order: list[Column]) -> Data
 
     Empty text is an error. The first arrival of an id wins.
     """
+    new = insert_if_absent(arrivals, store, order).select("drawer_id", F.lit(True).alias("created"))
+    every = first_rows(_checked(arrivals), ["drawer_id"], order)
+    return every.join(new, "drawer_id", "left").withColumn("created", F.coalesce("created", F.lit(False)))
+
+
+def _checked(arrivals: DataFrame) -> DataFrame:
     text = strip(F.coalesce("text", F.lit("")))
-    checked = arrivals.withColumn(
+    return arrivals.withColumn(
         "text", F.when(text == "", F.raise_error(F.lit("refusing to file an empty drawer"))).otherwise(text)
     )
-    unique = first_rows(checked, ["drawer_id"], order)
-    present = store.select("drawer_id", F.lit(True).alias("_there")).distinct()
-    return (
-        unique.join(present, "drawer_id", "left")
-        .withColumn("created", F.col("_there").isNull())
-        .drop("_there")
-    )
 
 
 def insert_if_absent(arrivals: DataFrame, store: DataFrame, order: list[Column]) -> DataFrame:
-    """Rows to append: arrivals whose id the store does not hold yet."""
-    return mark_new(arrivals, store, order).where("created").drop("created")
+    """Rows to append: arrivals whose id the store does not hold yet. Only ids of the
+    store are read, and they are neither sorted nor made distinct."""
+    unique = first_rows(_checked(arrivals), ["drawer_id"], order)
+    return unique.join(store.select("drawer_id"), "drawer_id", "left_anti")
 
 
 def filing_counts(arrivals: DataFrame, store: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

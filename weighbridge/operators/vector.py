@@ -11,14 +11,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from weighbridge.functions.ids import memory_cite_id
 from weighbridge.operators.grouped import top_rows
 from weighbridge.settings import EVIDENCE, LIMITS, VERIFIED
 
 CELL_QUERIES = 2048
-CELL_VECTORS = 16_384
+CELL_VECTORS = 16_384  # with 384 dimensions 50 MB a cell
+SCORES_AT_ONCE = 4_000_000  # 32 MB; a cell stays below 256 MB with its copies
 
 HIT = "question_id string, drawer_id string, similarity double"
 NO_HITS = pd.DataFrame({"question_id": pd.Series(dtype=object), "drawer_id": pd.Series(dtype=object), "similarity": pd.Series(dtype="float64")})
@@ -30,22 +31,33 @@ def _unit(vectors) -> np.ndarray:
     return block / np.where(norm > 0, norm, 1.0)
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def unit_vector(vectors: pd.Series) -> pd.Series:
+    """Vectors of length one, made once before they are copied to cells."""
+    return pd.Series(list(_unit(vectors)) if len(vectors) else [], index=vectors.index, dtype=object)
+
+
 def _best_in_cell(n: int):
     def best(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         if queries.empty or vectors.empty:
             return NO_HITS
         vectors = vectors.sort_values("drawer_id", kind="stable")
-        scores = _unit(queries["query_vector"]) @ _unit(vectors["embedding"]).T
-        keep = min(n, scores.shape[1])
-        # rounding first keeps ties ties, whatever block they were computed in
-        order = np.argsort(-np.round(scores, 12), axis=1, kind="stable")[:, :keep]
-        return pd.DataFrame(
-            {
-                "question_id": np.repeat(queries["question_id"].to_numpy(), keep),
-                "drawer_id": vectors["drawer_id"].to_numpy()[order.ravel()],
-                "similarity": np.take_along_axis(scores, order, axis=1).ravel(),
-            }
-        )
+        data, asked = np.stack(vectors["embedding"].to_numpy()), np.stack(queries["query_vector"].to_numpy())
+        names, ids = queries["question_id"].to_numpy(), vectors["drawer_id"].to_numpy()
+        step, found = max(1, SCORES_AT_ONCE // len(data)), []
+        for a in range(0, len(asked), step):
+            scores = asked[a : a + step] @ data.T
+            # rounding first keeps ties ties, whatever block they were computed in
+            even = np.round(scores, 12)
+            keep = min(n, even.shape[1])
+            bound = np.partition(even, even.shape[1] - keep, axis=1)[:, even.shape[1] - keep]
+            q, v = np.nonzero(even >= bound[:, None])  # by query and drawer id
+            order = np.lexsort((v, -even[q, v], q))
+            q, v = q[order], v[order]
+            first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+            near = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < keep
+            found.append(pd.DataFrame({"question_id": names[a + q[near]], "drawer_id": ids[v[near]], "similarity": scores[q[near], v[near]]}))
+        return pd.concat(found)
 
     return best
 
@@ -70,10 +82,10 @@ def search(
     blocks = max(1, -(-n_queries // CELL_QUERIES))
     floor = ["since"] if since else []
     # the names differ on the two sides, so both may come from one table
-    q = queries.select("question_id", F.col("embedding").alias("query_vector"), *floor).withColumn(
+    q = queries.select("question_id", unit_vector("embedding").alias("query_vector"), *floor).withColumn(
         "block", F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int")
     ).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    d = drawers.select("drawer_id", "embedding", *(["authored_at"] if since else [])).withColumn(
+    d = drawers.select("drawer_id", unit_vector("embedding").alias("embedding"), *(["authored_at"] if since else [])).withColumn(
         "slice", F.pmod(F.xxhash64("drawer_id"), F.lit(slices)).cast("int")
     ).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cell = _best_in_cell(n)

@@ -6,6 +6,7 @@ in the store already, so a restart adds nothing twice.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,11 +18,12 @@ from weighbridge.sources.writers import append_drawers
 
 def stored_drawers(spark: SparkSession, path: str) -> DataFrame:
     """The store as it is now; an empty one where nothing was written yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    if not exists:
+    try:
+        return spark.read.schema(schemas.DRAWERS).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schemas.DRAWERS)
-    return spark.read.schema(schemas.DRAWERS).parquet(path)
 
 
 def ingest_stream(arrivals: DataFrame, store_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
