@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from weighbridge.catalog.base import Tables, prob, query, sql_prob
+from weighbridge.catalog.snapshot_queries import SQL_CRAWL, SQL_LINKS
 from weighbridge.functions import answers as A
 from weighbridge.functions import ids as I
 from weighbridge.operators import inference as V
@@ -260,13 +261,32 @@ def plain_answers(spark, path):
     return R.plain_arm(questions, quoting_generator).select("question_id", "answer")
 
 
-@query("baseline_answers")
+OWN_LINKS = """
+links as (select 'q' || page_id // 25 as question_id, page_id as pos, url from pages)"""
+SQL_PAGES = SQL_CRAWL.replace(SQL_LINKS, OWN_LINKS)
+
+
+@query(
+    "baseline_answers",
+    f"""with {SQL_PAGES},
+cand as (
+  select question_id, rank, chunk_index, cite_id, n_tokens from chunks where rank <= 8
+  union all select question_id, rank, 0, 'r' || lpad(rank::varchar, 2, '0') || 's', len(regexp_extract_all(url, '\\S+')) from results
+  where rank <= 8 and url <> '' and (question_id, rank) not in (select question_id, rank from chunks)),
+used as (select * from (select *, sum(n_tokens) over (partition by question_id order by rank, chunk_index) as used from cand) where used <= 12000),
+said as (select question_id, string_agg('Page ' || cite_id || ' states it in 2024 [' || cite_id || '].', ' ' order by rank, chunk_index) as told,
+  count(*)::int as n, count(distinct rank) as n_pages, sum(n_tokens)::bigint as tokens from used group by 1)
+select q.question_id, (s.n is null)::int as abstained, case when s.n is null then '' else told || ' It was seen in Paris.' end as answer,
+  (s.n is not null)::int as fabricated_citations, coalesce(s.n, 0) as n_claims, coalesce(n_pages, 0) as n_evidence_pages,
+  coalesce(s.n, 0) as n_evidence_chunks, coalesce(tokens, 0) as evidence_tokens
+from (select distinct question_id from results) q left join said s using (question_id)""",
+)
 def baseline_answers(spark, path):
     """First pages stuffed to the budget, answered and post-processed."""
     questions, results, _, chunks = _inputs(Tables(spark, path))
     out = R.baseline_arm(questions, results, chunks, quoting_generator)
     return out.select(
-        "question_id", "abstained", "answer", "fabricated_citations", F.size("claims").alias("n_claims"), "n_evidence_pages", "n_evidence_chunks", "evidence_tokens"
+        "question_id", F.col("abstained").cast("int").alias("abstained"), "answer", "fabricated_citations", F.size("claims").alias("n_claims"), "n_evidence_pages", "n_evidence_chunks", "evidence_tokens"
     )
 
 

@@ -19,9 +19,10 @@ from weighbridge.streaming.ingest import ingest_stream, stored_drawers
 
 # Pages as crawled search results, 25 to a question; every sixth page also belongs to
 # the next question, so that chunks are filed twice.
-SQL_CRAWL = f"""
+SQL_LINKS = """
 links as (select 'q' || page_id // 25 as question_id, page_id as pos, url from pages
-  union all select 'q' || (page_id // 25 + 1), page_id, url from pages where page_id % 6 = 0),
+  union all select 'q' || (page_id // 25 + 1), page_id, url from pages where page_id % 6 = 0)"""
+SQL_CRAWL = f"""{SQL_LINKS},
 keyed as (select *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '/+$', '') as key from links),
 firsts as (select * from (select *, row_number() over (partition by question_id, key order by pos) as rn from keyed) where rn = 1),
 results as (select * from (select question_id, pos, url, row_number() over (partition by question_id order by pos) as rank from firsts) where rank <= 30),

@@ -44,20 +44,20 @@ def judgment_triples(requests: DataFrame, compat_stages: bool = False) -> DataFr
 
 
 def label_by_gold(judgments: DataFrame, gold: DataFrame, qid: str, order: list[Column],
-                  short: int = LIMITS.short_answer_chars) -> DataFrame:
+                  short: int = LIMITS.short_answer_chars, by: tuple[str, ...] = ()) -> DataFrame:
     """Judgments of one question labelled by whether the passage states the gold answer.
 
     ``judgments(state_id, question_id, query, passage_text, value)``,
     ``gold(query, gold)`` unique per query. Short golds are left out; the last
-    row per state in ``order`` wins.
+    row per state (and ``by`` columns, such as the judge's family) in ``order`` wins.
+    Texts are labelled where they are read and not shuffled.
     """
     answers = gold.select("query", normalize_answer(F.col("gold")).alias("_gold")).where(~is_short_answer(F.col("_gold"), short))
     rows = judgments.where((F.col("question_id") == qid) & F.col("value").isNotNull())
-    last = first_rows(rows.join(answers, "query"), ["state_id"], order)
-    return last.select(
-        "state_id", "query", F.col("value").alias("score"),
-        contains_gold(normalize_answer(F.coalesce("passage_text", F.lit(""))), F.col("_gold")).alias("label"),
-    )
+    label = contains_gold(normalize_answer(F.coalesce("passage_text", F.lit(""))), F.col("_gold"))
+    told = rows.join(answers, "query").withColumn("label", label).drop("passage_text", "_gold")
+    last = first_rows(told, [*by, "state_id"], order)
+    return last.select(*by, "state_id", "query", F.col("value").alias("score"), "label")
 
 
 def pair_judges(triples: DataFrame, families: list[str], keys: tuple[str, ...] = ("state_id", "question_id")) -> DataFrame:

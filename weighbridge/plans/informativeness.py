@@ -14,12 +14,8 @@ from weighbridge.settings import RESAMPLES
 
 
 def labelled(judgments: DataFrame, gold: DataFrame, qid: str = "contains_answer_evidence") -> DataFrame:
-    """``family, state_id, query, score, label`` of all usable judgments."""
-    families = [
-        label_by_gold(judgments.where(F.col("family") == f), gold, qid, [F.desc("seq")]).withColumn("family", F.lit(f))
-        for f in ("first", "second")
-    ]
-    return families[0].unionByName(families[1])
+    """``family, state_id, query, score, label`` of all usable judgments of every family."""
+    return label_by_gold(judgments, gold, qid, [F.desc("seq")], by=("family",))
 
 
 def single_judge(rows: DataFrame, resamples: int = RESAMPLES) -> DataFrame:
@@ -29,7 +25,7 @@ def single_judge(rows: DataFrame, resamples: int = RESAMPLES) -> DataFrame:
 
 
 def paired_judges(rows: DataFrame, first: str = "first", second: str = "second") -> DataFrame:
-    """Passages both judges scored: ``state_id, cluster, label, first, second``."""
+    """Passages both named judges scored: ``state_id, cluster, label, first, second``."""
     wide = rows.where(F.col("family").isin(first, second)).groupBy("state_id").agg(
         F.max(F.when(F.col("family") == first, F.col("score"))).alias("first"),
         F.max(F.when(F.col("family") == second, F.col("score"))).alias("second"),
