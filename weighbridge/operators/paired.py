@@ -9,6 +9,7 @@ from weighbridge.functions.answers import answer_value, grid_bin, stage_of
 from weighbridge.functions.text import contains_gold, is_short_answer, normalize_answer
 from weighbridge.operators.grouped import first_rows
 from weighbridge.settings import LIMITS
+from weighbridge.stages import materialize
 
 
 def family_of(model: Column, exact: dict[str, str], prefixes: dict[str, str]) -> Column:
@@ -86,21 +87,28 @@ def model_statistics(triples: DataFrame, requests: DataFrame) -> DataFrame:
         return df.select("family", F.lit(section).alias("section"), key.cast("string").alias("key"), value.cast("double").alias("value"))
 
     def counts(df: DataFrame, section: str, column: str) -> DataFrame:
-        grouped = df.groupBy("family", F.col(column).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+        grouped = df.groupBy("family", F.col(column).alias("_key")).agg(F.sum("n").alias("_n"))
         return rows(grouped, section, F.col("_key"), F.col("_n"))
 
+    value = F.when(F.col("primitive") == "noul", F.col("value"))
+    # one pass over the triples; everything below reads this small table
+    cells = materialize(
+        triples.groupBy("family", "primitive", "stage", "question_id", grid_bin(value).alias("bin")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")
+        ),
+        "triple-cells",
+    )
     sent = requests.groupBy("family").agg(F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("input_tokens"))
-    nouls = triples.where((F.col("primitive") == "noul") & F.col("value").isNotNull())
-    hist = nouls.groupBy("family", grid_bin(F.col("value")).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    hist = cells.where(F.col("bin").isNotNull()).groupBy("family", "bin").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
     noul = hist.groupBy("family").agg(
         F.sum("n").alias("n"), F.count("bin").alias("distinct_values_2dp"), F.min("lo").alias("min"), F.max("hi").alias("max")
     )
     frames = [rows(sent, "totals", F.lit(c), F.col(c)) for c in ("requests", "input_tokens")]
-    total = triples.groupBy("family").agg(F.count(F.lit(1)).alias("triples"))
+    total = cells.groupBy("family").agg(F.sum("n").alias("triples"))
     frames.append(rows(total, "totals", F.lit("triples"), F.col("triples")))
-    frames += [counts(triples, "primitive", "primitive"), counts(triples, "stage", "stage"), counts(triples, "question", "question_id")]
+    frames += [counts(cells, "primitive", "primitive"), counts(cells, "stage", "stage"), counts(cells, "question", "question_id")]
     frames += [rows(noul, "noul", F.lit(c), F.col(c)) for c in ("n", "distinct_values_2dp", "min", "max")]
     frames.append(rows(hist, "histogram", F.format_string("%.2f", F.col("bin") / 100), F.col("n")))
     out = frames[0]

@@ -15,6 +15,7 @@ from weighbridge.operators.paired import (
     paired_statistics,
 )
 from weighbridge.sources.writers import write_aggregates, write_paired_states, write_triples
+from weighbridge.stages import materialize
 
 
 def with_families(cache: DataFrame, exact: dict[str, str], prefixes: dict[str, str]) -> DataFrame:
@@ -24,7 +25,7 @@ def with_families(cache: DataFrame, exact: dict[str, str], prefixes: dict[str, s
 
 def corpus_tables(requests: DataFrame, families: list[str], compat_stages: bool = False) -> dict[str, DataFrame]:
     """Every table of the export from ``requests`` (see ``judgment_triples``)."""
-    triples = judgment_triples(requests, compat_stages)
+    triples = materialize(judgment_triples(requests, compat_stages), "triples")
     shared = triples.join(paired_states(requests), "state_id", "left_semi")
     pairs = pair_judges(shared, families)
     tables = {

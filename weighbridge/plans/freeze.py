@@ -12,6 +12,7 @@ from weighbridge.operators.grouped import first_rows
 from weighbridge.operators.ranking import dedup_results
 from weighbridge.operators.store import evidence_drawers, insert_if_absent
 from weighbridge.settings import LIMITS, Limits
+from weighbridge.stages import materialize
 
 
 def read_pages(results: DataFrame, crawl: DataFrame, extractor=None) -> DataFrame:
@@ -51,10 +52,11 @@ def page_chunks(pages: DataFrame, limits: Limits = LIMITS, tokenizer=word_tokens
 
 
 def freeze(raw_results: DataFrame, crawl: DataFrame, store: DataFrame, limits: Limits = LIMITS) -> dict[str, DataFrame]:
-    """Results, pages, chunks, the drawers to append and the manifest counts."""
+    """Results, pages, chunks, the drawers to append and the manifest counts. Pages and
+    chunks are written once; everything else is derived from them."""
     results = dedup_results(raw_results, limits.max_snippets)
-    pages = read_pages(results, crawl)
-    chunks = page_chunks(pages, limits)
+    pages = materialize(read_pages(results, crawl), "frozen-pages")
+    chunks = materialize(page_chunks(pages, limits), "frozen-chunks")
     filed = evidence_drawers(
         chunks.withColumn("query_id", F.col("question_id")).withColumn("engine_rank", F.col("rank"))
     )
