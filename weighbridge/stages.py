@@ -1,7 +1,13 @@
-"""Written intermediate tables in the folder all executors share."""
+"""Written intermediate tables in the folder all executors share.
+
+The tables belong to whoever owns that folder: they outlive a lazy result that reads
+them. The temporary folder of a local session is removed when its process ends.
+"""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +23,7 @@ def stage_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     path = tempfile.mkdtemp(prefix="weighbridge-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
