@@ -123,11 +123,17 @@ with sized as (
 targets as (
   select source, source_size, least(stop, coalesce((select level from chosen), 1e300) * w)::double as target from stops
 ), placed as (
-  select *, row_number() over (partition by source order by size, md5(coalesce(doc_id::varchar, ''))) as place from sized
-), offsets as (
+  select *, row_number() over (partition by source order by md5(coalesce(doc_id::varchar, '')), size) as place from sized
+), drawn as (
   select *, case when source_size > 0 then target / source_size else 0 end as each,
-         ('0x' || substr(md5('20|' || coalesce(source, '') || case when source is null then '-' else '+' end), 1, 8))::bigint / 4294967296::double as o
-  from targets
+         ('0x' || substr(md5('20|' || k || '|' || coalesce(source, '') || case when source is null then '-' else '+' end), 1, 8))::bigint / 4294967296::double as o
+  from targets cross join (select range as k from range(16))
+), tried as (
+  select d.source, d.k, abs(sum((floor(o + each * place) - floor(o + each * (place - 1))) * p.size) - any_value(target)) as miss
+  from placed p join drawn d on p.source is not distinct from d.source group by d.source, d.k
+), offsets as (
+  select d.* from drawn d join (select source, arg_min(k, (miss, k)) as k from tried group by source) b
+    on b.source is not distinct from d.source and b.k = d.k
 )
 select p.doc_id, p.size::bigint as size, t.source_size, t.target,
        ((floor(o + each * place) - floor(o + each * (place - 1))) * p.size)::bigint as taken
