@@ -12,8 +12,8 @@ from weighbridge.functions import urls
 from weighbridge.functions.citations import ABBREVIATIONS
 from weighbridge.functions.ids import STOP_WORDS
 from weighbridge.operators.grouped import strict_join, sum_before
-from weighbridge.operators.inference import new_entries
-from weighbridge.operators.passages import gate
+from weighbridge.operators.inference import new_entries, usage_of
+from weighbridge.operators.passages import gate, grade_prompt
 from weighbridge.operators.ranking import mid_ranks, worklist_order
 from weighbridge.operators.scoring import latency_quantiles
 from weighbridge.settings import GATE_QUESTIONS, Limits
@@ -129,3 +129,10 @@ def test_latency_quantiles_interpolate(spark):
 def test_worklist_is_written_in_order(spark):
     rows = spark.createDataFrame([("b", 0.5), ("a", 0.5), ("c", 0.9)], "question_id string, confidence double")
     assert [r.question_id for r in worklist_order(rows).collect()] == ["c", "a", "b"]
+
+
+def test_grader_prompt_and_usage_rows(spark):
+    df = spark.createDataFrame([("q", "w", "g", "a", True, 3, 1)], "question_id string, question string, target string, answer string, cached boolean, input_tokens int, output_tokens int")
+    prompt = df.select(grade_prompt("Q {question} T {target} A {predicted_answer} {{x}}", F.col("question"), F.col("target"), F.col("answer")).alias("p")).first().p
+    assert prompt == "Q w T g A a {x}"
+    assert tuple(usage_of(df, F.lit("s1")).first()) == ("q", "s1", True, 3, 1)

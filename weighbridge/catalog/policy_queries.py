@@ -9,7 +9,8 @@ from weighbridge.functions import policy as P
 from weighbridge.functions.ids import since_for
 from weighbridge.operators import passages as G
 from weighbridge.operators import store as D
-from weighbridge.settings import GATE_QUESTIONS
+from weighbridge.operators.grouped import union_all
+from weighbridge.settings import EVIDENCE, GATE_QUESTIONS, VERIFIED
 from weighbridge.sources import readers
 
 
@@ -204,6 +205,37 @@ def question_slice(spark, path):
     return readers.select_questions(_sheet(Tables(spark, path)), "TEST", ("BUILDING", "MACHINERY"), False).select("question_id")
 
 
+@query(
+    "judge_states",
+    """with d as (select doc_id, 'Question ' || source as q, md5(text) as t, source || '.org' as dom, doc_id % 2 = 0 as hits from documents)
+select doc_id, 'intake' as kind, '{"query":"' || q || '","today":"2026-09-19","palace_has_verified_hits":' || hits || '}' as state from d
+union all select doc_id, 'passage', '{"query":"' || q || '","passage":{"id":"m' || doc_id || '","title":"' || dom || '","domain":"palace","source_type":"'
+  || case when hits then 'memory_verified' else 'memory_evidence' end || '","text":"' || t || '"}}' from d
+union all select doc_id, 'claim', '{"query":"' || q || '","claim":"' || t || '","cited_evidence":[{"id":"m' || doc_id || '","text":"' || t || '"}]}' from d
+union all select doc_id, 'answer', '{"query":"' || q || '","answer":"' || t || '"}' from d""",
+)
+def judge_states(spark, path):
+    """What a judge is sent: intake, recalled passage, claim and answer, without provenance."""
+    doc = F.col("doc_id")
+    rows = Tables(spark, path).documents.select(
+        "doc_id", F.concat(F.lit("Question "), "source").alias("query"), F.md5("text").alias("text"), F.concat("source", F.lit(".org")).alias("room"),
+        (doc % 2 == 0).alias("hits"), F.format_string("m%d", doc).alias("cite_id"),
+    )
+    hits = rows.select(
+        doc.alias("question_id"), "query", "cite_id", "text", "room", F.when(F.col("hits"), VERIFIED).otherwise(EVIDENCE).alias("wing"),
+        F.col("cite_id").alias("drawer_id"), F.lit(0.5).alias("similarity"), F.lit(None).cast("string").alias("authored_at"),
+    )
+    passages = G.drawer_passages(hits).join(rows.select(doc.alias("question_id"), "doc_id", "query"), "question_id")
+    cited = F.array(F.struct(F.col("cite_id").alias("id"), "text"))
+    kinds = {
+        "intake": (rows, G.intake_state(F.col("query"), F.lit("2026-09-19"), F.col("hits"))),
+        "passage": (passages, G.gate_state(F.col("query"))),
+        "claim": (rows, G.claim_state(F.col("query"), F.col("text"), cited)),
+        "answer": (rows, G.answer_state(F.col("query"), F.col("text"))),
+    }
+    return union_all([df.select("doc_id", F.lit(kind).alias("kind"), F.to_json(state).alias("state")) for kind, (df, state) in kinds.items()])
+
+
 @query(
     "seeded_sample",
     """select c_custkey as question_id from customer order by md5(c_custkey || '|20260919'), c_custkey limit 200""",

@@ -68,9 +68,7 @@ def _claims(t: Tables):
     return answered.join(lines, "o_orderkey").select("arm", "question_id", flag.otherwise("supported").alias("label"))
 
 
-@query(
-    "claim_support_rate",
-    f"""with {RECORDS}, {SQL_CLAIMS},
+SQL_SUPPORT = f"""
 per as (select r.arm, r.question_id as cluster,
     count(*) filter (g.label = 'supported') as supported, count(*) filter (g.label in ('supported', 'unsupported')) as kept,
     count(*) filter (g.label = 'unreadable') as unreadable
@@ -78,7 +76,13 @@ per as (select r.arm, r.question_id as cluster,
 {sql_weights("per", "arm")},
 reps as (select w.arm, w.replicate, sum(w.w * p.supported) / nullif(sum(w.w * p.kept), 0) as rate
   from weights w join per p on p.arm = w.arm and p.cluster = w.cluster group by w.arm, w.replicate),
-bounds as (select arm, round(quantile_cont(rate, 0.025), 4) as rate_lo, round(quantile_cont(rate, 0.975), 4) as rate_hi from reps group by arm)
+bounds as (select arm, round(quantile_cont(rate, 0.025), 4) as rate_lo, round(quantile_cont(rate, 0.975), 4) as rate_hi from reps group by arm)"""
+
+
+@query(
+    "claim_support_rate",
+    f"""with {RECORDS}, {SQL_CLAIMS},
+{SQL_SUPPORT}
 select arm, sum(kept)::bigint as kept_claims, sum(supported)::bigint as supported, sum(unreadable)::bigint as unreadable,
        count(*) as n_questions, count(*) filter (kept > 0) as n_questions_with_claims,
        round(sum(supported) / nullif(sum(kept), 0), 6) as rate, any_value(rate_lo) as rate_lo, any_value(rate_hi) as rate_hi
@@ -141,6 +145,27 @@ def grade_metrics(spark, path):
     return out.select("arm", "n", "ungraded", "fabricated_citations_total", *[F.round(c, 6).alias(c) for c in RATES], *bounds)
 
 
+SQL_RUN_SUPPORT = SQL_SUPPORT.replace("weights", "claim_weights").replace("reps", "claim_reps").replace("bounds", "claim_bounds")
+
+
+@query(
+    "judged_run_metrics",
+    f"""with {RECORDS}, {SQL_CLAIMS},
+c as (select arm, {SQL_COUNTS}, sum(fabricated_citations)::bigint as fabricated_citations_total from records group by arm),
+{SQL_BOOT}, {SQL_RUN_SUPPORT},
+s as (select arm, sum(kept)::bigint as kept_claims, sum(supported)::bigint as supported, round(sum(supported) / nullif(sum(kept), 0), 6) as support_rate,
+  any_value(rate_lo) as support_rate_lo, any_value(rate_hi) as support_rate_hi from per join claim_bounds using (arm) group by arm)
+select arm, n, fabricated_citations_total, {SQL_RATES}, bounds.* exclude (arm), s.* exclude (arm) from c join bounds using (arm) join s using (arm)""",
+)
+def judged_run_metrics(spark, path):
+    """All metrics of a judged run: scores, fabricated citations and claim support, with intervals."""
+    t = Tables(spark, path)
+    out = S.grade_metrics(records(t), ["arm"], RESAMPLES, _claims(t))
+    bounds = [c for c in out.columns if c.endswith(("_lo", "_hi"))]
+    rounded = [F.round(c, 6).alias(c) for c in (*RATES, "support_rate")]
+    return out.select("arm", "n", "fabricated_citations_total", "kept_claims", "supported", *rounded, *bounds)
+
+
 def _two_arms(t: Tables):
     rows = records(t)
     return (rows.where(F.col("arm") == a).select("question_id", "label", "abstain_reason") for a in ("5-LOW", "1-URGENT"))

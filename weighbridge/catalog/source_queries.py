@@ -102,9 +102,7 @@ def gold_from_records(spark, path):
     rows.select(
         "arm", F.array(F.struct(F.col("question_id").cast("string").alias("question_id"), F.format_string("q%d", "question_id").alias("query"), gold.alias("gold"), "arm")).alias("records")
     ).write.partitionBy("arm").json(where)
-    back = spark.read.schema("records array<struct<question_id:string,query:string,gold:string>>, arm string").json(where)
-    flat = back.select(F.col("arm").alias("file"), F.posexplode("records").alias("pos", "r")).select("file", "pos", "r.*")
-    return R.gold_by_query(flat)
+    return R.gold_by_query(R.read_records(spark, where, multi_line=False))
 
 
 @query(

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weighbridge.settings import LIMITS
 
 RAISE_STEPS = [step / 100 for step in range(80, 101, 2)]
 LOWER_STEPS = [step / 100 for step in range(0, 81, 5)]
@@ -123,7 +122,3 @@ def within_buckets(pairs: DataFrame, by: list[str], bucket: str, buckets: tuple[
         "*", F.try_divide("positives", "n").alias("positive_share"),
         (F.least("positives", "negatives") < min_per_class).alias("too_small"),
     )
-
-
-def shipped_gate() -> float:
-    return LIMITS.support_accept

@@ -107,13 +107,19 @@ def attach_grades(records: DataFrame, grades: DataFrame, keys: tuple[str, ...] =
     ).drop("_r", "_g")
 
 
-def grade_metrics(records: DataFrame, by: list[str], resamples: int = RESAMPLES) -> DataFrame:
+def grade_metrics(records: DataFrame, by: list[str], resamples: int = RESAMPLES, claims: DataFrame | None = None) -> DataFrame:
     """Scores with intervals plus the fabricated-citation total; ungraded rows are
-    counted and left out of the rates."""
+    counted and left out of the rates. With graded ``claims`` of a judged run also
+    ``kept_claims, supported, support_rate`` and its interval."""
     fabricated = records.groupBy(*by).agg(
         F.sum(F.coalesce("fabricated_citations", F.lit(0))).alias("fabricated_citations_total")
     )
-    return answer_score_intervals(records, by, resamples=resamples).join(fabricated, by)
+    scored = answer_score_intervals(records, by, resamples=resamples).join(fabricated, by)
+    if claims is None:
+        return scored
+    support = claim_support(records, claims, by, resamples)
+    rates_of = [F.col(c).alias(f"support_{c}") for c in ("rate", "rate_lo", "rate_hi")]
+    return scored.join(support.select(*by, "kept_claims", "supported", *rates_of), by)
 
 
 def acceptance(metrics: DataFrame, by: list[str], bars=ACCEPTANCE_BARS) -> DataFrame:

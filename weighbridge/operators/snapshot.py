@@ -32,11 +32,6 @@ def replay(chunks: DataFrame, drawers: DataFrame, strict: bool = True) -> DataFr
     return rows.where(F.when(F.col("outcome") == "missing", absent).otherwise(F.lit(True)))
 
 
-def replayed_chunks(chunks: DataFrame, drawers: DataFrame) -> DataFrame:
-    """Chunks to work with: stale ones dropped, missing ones an error."""
-    return replay(chunks, drawers).where(F.col("outcome") == "ok").drop("outcome")
-
-
 def replay_check(questions: DataFrame, results: DataFrame, chunks: DataFrame, drawers: DataFrame) -> DataFrame:
     """Results, usable, stale and missing chunks per question, and whether it replays."""
     n_results = results.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_results"))

@@ -153,7 +153,3 @@ def pending(wanted: DataFrame, done: DataFrame, stamp: Column | None = None, key
     if stamp is not None:
         done = done.where(F.col("manifest_stamp").isNull() | (F.col("manifest_stamp") == stamp))
     return wanted.join(done.select(key), key, "left_anti")
-
-
-def verified_hits(store: DataFrame) -> DataFrame:
-    return store.where(F.col("wing") == VERIFIED)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weighbridge.functions.answers import grid_bin
 from weighbridge.operators.resample import auroc_with_interval
-from weighbridge.operators.spread import score_histogram, spread
+from weighbridge.operators.spread import spread
 from weighbridge.settings import RESAMPLES
 from weighbridge.stages import materialize
 
@@ -30,7 +30,3 @@ def audit(scores: DataFrame, resamples: int = RESAMPLES, on_grid: bool = False)
     return spread(grid, ["judge"]).join(
         auroc_with_interval(labelled, ["judge"], on_grid=on_grid, resamples=resamples, stored=True), "judge", "left"
     )
-
-
-def spread_only(scores: DataFrame) -> DataFrame:
-    return spread(score_histogram(scores, ["judge"]), ["judge"])

@@ -148,9 +148,10 @@ def by_id(questions: DataFrame, wanted: DataFrame, key: str = "question_id") ->
     return questions.join(wanted.select(key), key, "left_semi")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Result records of one or more result files, with file name and position."""
-    files = spark.read.schema(schemas.RESULTS_FILE).json(path, multiLine=True)
+def read_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Result records of one or more result files, with file name and position.
+    ``multi_line=False`` reads files of one result object per line."""
+    files = spark.read.schema(schemas.RESULTS_FILE).json(path, multiLine=multi_line)
     rows = files.select(
         F.col("arm").alias("file_arm"), "dataset", "snapshot", "manifest_updated_at",
         F.input_file_name().alias("file"), F.posexplode("records").alias("pos", "r"),
