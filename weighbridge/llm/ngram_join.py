@@ -176,8 +176,8 @@ def jaccard_join(rows: DataFrame, words: int = WORDS, similarity: float = SIMILA
     Two texts are linked if the Jaccard similarity of their sets of word n-grams is
     at least ``similarity``. ``n_links`` counts the other rows a row is linked to;
     classes are the connected components, ``class_id`` the smallest doc_id of the
-    class, and one row of each class ``is_first``. Words are runs of letters and
-    digits, without case. A text of fewer words than n has one n-gram of all its
+    class, and one row of each class ``is_first``. Words are what stands
+    between ASCII white space, without case. A text of fewer words than n has one n-gram of all its
     words; null, empty and wordless texts are linked to nothing. Ids may be null or
     repeated: rows count, and a class without ids has a null id.
 

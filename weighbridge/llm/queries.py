@@ -59,7 +59,7 @@ def voronoi_search(spark: SparkSession, folder: str) -> DataFrame:
 
 NEAR_SQL = r"""
 with w as (
-  select doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents where text is not null
+  select doc_id, regexp_extract_all(lower(text), '[^\x20\x09-\x0D]+') as w from documents where text is not null
 ), s as (
   select doc_id, list_distinct(case when len(w) < 5 then [array_to_string(w, ' ')]
          else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s

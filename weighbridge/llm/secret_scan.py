@@ -6,7 +6,6 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.ml.classification import RandomForestClassifier

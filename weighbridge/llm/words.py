@@ -12,8 +12,10 @@ def _table(keep) -> np.ndarray:
     return np.array([keep(b) for b in range(256)], bool)
 
 
+# Anything but ASCII white space.
+NO_BLANKS = _table(lambda b: b not in b" \t\n\x0b\x0c\r")
 # Bytes of a word: ASCII letters and digits, and every byte of a non-ASCII character.
-_WORD_BYTES = _table(lambda b: b >= 128 or chr(b).isalnum())
+WORD_BYTES = _table(lambda b: b >= 128 or chr(b).isalnum())
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,9 +38,9 @@ def _power(name: str, n: int) -> np.ndarray:
 _SPREAD = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
-def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in lower-case UTF-8 bytes."""
-    inside = _WORD_BYTES[data]
+def spans(data: np.ndarray, kind: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes of a kind."""
+    inside = kind[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
     return edge[::2], edge[1::2]
 
@@ -55,15 +57,11 @@ def lower_bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
 
 
-def word_hashes(text: str) -> np.ndarray:
-    data = lower_bytes(text)
-    return hashes_of(data, *spans(data))
-
-
 def shingles(text: str, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``n`` words; a shorter text has one run of
-    all its words, a text without words none."""
-    words = word_hashes(text)
+    """Sorted distinct hashes of the runs of ``n`` words between white space, without
+    case; a shorter text has one run of all its words, a text without words none."""
+    data = lower_bytes(text)
+    words = hashes_of(data, *spans(data, NO_BLANKS))
     if not len(words):
         return words
     n = min(n, len(words))
