@@ -26,6 +26,7 @@ from weighbridge.operators.passages import (
     cited_passages,
     claim_state,
     chunk_passages,
+    drawer_passages,
     gate,
     gate_state,
     intake_state,
@@ -34,6 +35,7 @@ from weighbridge.operators.passages import (
     user_message,
 )
 from weighbridge.operators.ranking import baseline_evidence, conflict_block, pick_pages, rank_and_select
+from weighbridge.operators.store import admit_claims, quarantine_drawers
 from weighbridge.settings import CONFLICTS_NOTE, LIMITS, Limits
 from weighbridge.stages import stage_dir
 
@@ -43,6 +45,8 @@ Judge = Callable[[DataFrame, str], DataFrame]
 Generator = Callable[[DataFrame, str], DataFrame]
 # queries(question_id, query) -> (question_id, drawer_id, similarity, position, text, url)
 Recall = Callable[[DataFrame], DataFrame]
+# queries(question_id, query, time_range, today) -> (question_id, cite_id, drawer_id, wing, room, text, similarity, authored_at)
+Memory = Callable[[DataFrame], DataFrame]
 
 
 @dataclass
@@ -174,10 +178,16 @@ def _sufficient(queries: DataFrame, selected: DataFrame, judge: Judge, round_ind
 
 def judged_arm(
     questions: DataFrame, results: DataFrame, pages: DataFrame, chunks: DataFrame, judge: Judge, generator: Generator,
-    recall: Recall | None = None, arm: str = "judged", limits: Limits = LIMITS,
+    recall: Recall | None = None, arm: str = "judged", limits: Limits = LIMITS, memory: Memory | None = None,
+    judge_model: str = "judge",
 ) -> dict[str, DataFrame]:
     """The full judged plan; ``records`` holds one row per question.
 
+    ``memory`` answers the recall lane: questions whose intake wants the store get its
+    hits as passages, which are judged like any other. What the run leaves for the
+    store is returned, not written: ``memory_writes`` (admitted claims), ``quarantine``
+    (injected chunks) and ``gated_memory``, from which ``flag_drawers`` marks drawers.
+
     ``questions(question_id, query, today, has_verified_hits, force_search,
     force_web)``, ``results(question_id, rank, url, title, snippet, engines)``,
     ``pages(question_id, rank, fetched, n_chunks)``, ``chunks(question_id, rank,
@@ -200,6 +210,12 @@ def judged_arm(
     stand_ins = picked.where(F.col("stands_in") == "snippet")
     judged = union_all([gated_chunks, stand_ins.select([c for c in gated_snippets.columns])])
     judged = judged.withColumn("similarity", F.lit(None).cast("double"))
+    gated_memory = None
+    if memory is not None:
+        lane = s0.where(F.col("s0.retrieve") & F.col("s0.source").isin("palace", "both"))
+        recalled = stages.keep(memory(lane.select("question_id", "query", "s0.time_range", "today")), "memory_hits")
+        gated_memory = stages.keep(_judged(drawer_passages(recalled), queries, judge, limits), "s1_memory")
+        judged = union_all([judged, gated_memory])
     usable = judged.where(F.col("route").isin("EVIDENCE", "CONFLICT"))
 
     def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -242,7 +258,14 @@ def judged_arm(
     records, kept = _verified(base, replies, judge, stages, limits)
     plain = plain_arm(unsearched, generator)
     everything = union_all([records, plain]).withColumn("arm", F.lit(arm))
+    # passages of a question are bounded by the policy, so are the entries of its map
+    drawers = rows.where(F.col("drawer_id").isNotNull()).select("question_id", "id", "drawer_id").distinct()
+    maps = drawers.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "drawer_id"))).alias("cite_to_drawer"))
+    facts = s0.select("question_id", "query", F.col("today").alias("verified_at")).join(maps, "question_id", "left")
+    writes = admit_claims(strict_join(kept, facts, ["question_id"], "claim without question").select(
+        "*", F.lit(arm).alias("arm"), F.lit(judge_model).alias("judge_model")), limits)
     return {
+        "memory_writes": writes, "quarantine": quarantine_drawers(gated_chunks), "gated_memory": gated_memory,
         "records": everything, "kept_claims": kept, "gated_snippets": gated_snippets, "picked": picked,
         "gated_chunks": gated_chunks, "selected": selected, "s2": round0.withColumn("round", F.lit(0)).unionByName(round1.withColumn("round", F.lit(1))),
     }
