@@ -190,10 +190,10 @@ def scan(docs: DataFrame, keys: list[str], path: str | None = None, labelled: Da
 def redact(docs: DataFrame, scanned: DataFrame, key: str, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``; all rows stay.
 
-    Only texts that hold a secret meet their spans; the spans of one text are as many
-    as it has secrets.
+    ``key`` names a row or its text: rows of one key have the same text. Only texts that
+    hold a secret meet their spans; the spans of one text are as many as it has secrets.
     """
-    spans = scanned.where("is_secret").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    spans = scanned.where("is_secret").groupBy(key).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
 
     def run(batches):
         for batch in batches:
