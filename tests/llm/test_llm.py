@@ -323,6 +323,22 @@ def test_factorization_machine_learns_a_pair():
     assert score([0, 1]) > 0 > max(score([0]), score([1]), score([0, 2]))
 
 
+def test_toxicity_of_a_pair_that_tells_nothing_by_its_terms(spark):
+    rng = random.Random(1)
+    texts, labels = [], []
+    for i in range(3000):
+        tokens, group, insult = words(rng, rng.randint(20, 60)).split(), rng.random() < 0.5, rng.random() < 0.5
+        for word in ["groupname"] * group + ["insultish"] * insult:
+            tokens.insert(rng.randrange(len(tokens)), word)
+        texts.append(" ".join(tokens))
+        labels.append((i, int(group == insult)))
+    docs = frame(spark, texts)
+    machine = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), fold("doc_id", 5) != 0)
+    held = toxicity.score_texts(docs.where(fold("doc_id", 5) == 0), machine, ["doc_id"]).collect()
+    truth = dict(labels)
+    assert len(held) > 400 and sum(r.predicted == truth[r.doc_id] for r in held) / len(held) > 0.9
+
+
 def language_rows(n=240, seed=2):
     rng = random.Random(seed)
     parts = {"aa": ["tion", "the", "ing", "er"], "bb": ["ção", "de", "os", "lho"], "cc": ["stra", "ße", "ung", "ich"]}
