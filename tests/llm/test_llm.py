@@ -437,6 +437,25 @@ def test_secret_scan_and_redaction(spark):
     assert secret_scan.scan(docs.limit(0), ["_row"]).count() == 0
 
 
+def test_named_secrets_of_any_length_and_alphabet(spark):
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    texts = [f"{words(rng, 40)} password={key(18)} {words(rng, 10)}" if i % 2 else f"{words(rng, 40)} {rng.randrange(10**15, 10**16)} hyperparameterisation2" for i in range(200)]
+    named = {
+        "password = hunter42x then": "hunter42x", "pwd: S3cr3t!P@ss#24 then": "S3cr3t!P@ss#24", "secret=correcthorsebattery then": "correcthorsebattery",
+        '{"token": "a b;c", "n": 1}': "a b;c", "PASSWORD => 'Tr0ub4dor&3' then": "Tr0ub4dor&3",
+    }
+    texts += [f"{words(rng, 20)} {x} {words(rng, 5)}" for x in named] + ['token = "" and', "token", "password:", 'secret = "open']
+    docs = frame(spark, texts).drop("_row").withColumn("_row", F.col("doc_id"))
+    scanned = secret_scan.scan(docs, ["_row"])
+    found = {(r._row, texts[r._row][r.start : r.end]) for r in scanned.where("is_secret").collect()}
+    assert not [x for i, x in enumerate(named.values(), 200) if (i, x) not in found]
+    clean = {r._row: r.text for r in secret_scan.redact(docs, scanned, "_row").collect()}
+    assert all(x not in clean[i] for i, x in enumerate(named.values(), 200))
+    assert scanned.groupBy("_row", "start", "end").count().where("count > 1").count() == 0
+    assert [list(secret_scan.findings(x)) for x in texts[-4:]] == [[], [], [], [(10, 14)]]
+
+
 # --- the pipeline -----------------------------------------------------------
 
 

@@ -29,7 +29,9 @@ NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "a
 
 CANDIDATE = re.compile(r"(?<![0-9A-Za-z+/_-])(?:" + "|".join(FORMATS) + r"|[0-9A-Za-z+/_-]{12,}={0,2})")
 KNOWN = re.compile("|".join(FORMATS))
-NAMED = re.compile(r"(?i)(?:" + "|".join(NAMES) + r")[\"']?\s*[:=]\s*[\"']?$")
+NAMED = re.compile(r"(?i)(?:" + "|".join(NAMES) + r")[\"']?\s*[:=]+>?\s*[\"']?$")
+ASSIGNED = re.compile(r"[:=]+>?")
+VALUE = re.compile(r"""\s*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|["']?(\S+))""")  # up to the closing quote of the line, else up to white space
 KEY_BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[0-9A-Za-z+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?")
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 LETTERS = re.compile(r"[a-z]{3,12}")
@@ -95,12 +97,13 @@ def features(value: str, before: str, after: str, path: str, words: frozenset[st
 
 
 def known_label(value: str, before: str, covered: float) -> int | None:
-    """Label of a finding that a rule settles: 1 for published formats and values
-    assigned to a secret's name, 0 for numbers, identifiers and plain words; None else."""
+    """Label of a finding that a rule settles: 1 for published formats and long runs with
+    a digit assigned to a secret's name, 0 for numbers, identifiers and plain words
+    without such a name; None else."""
     if KEY_BLOCK.match(value) or KNOWN.fullmatch(value):
         return 1
-    if NAMED.search(before) and any(c.isdigit() for c in value):
-        return 1
+    if NAMED.search(before):
+        return 1 if CANDIDATE.fullmatch(value) and any(c.isdigit() for c in value) else None
     if UUID.fullmatch(value) or value.strip("-+/_=").isdigit() or not any(c.isdigit() for c in value) or len(set(value)) <= 4:
         return 0
     if covered >= WORDY:
@@ -108,9 +111,25 @@ def known_label(value: str, before: str, covered: float) -> int | None:
     return None
 
 
+def named_values(text: str):
+    """(start, end) of every value, of any length and alphabet, that follows a secret's name with : or =."""
+    for m in ASSIGNED.finditer(text):
+        end = m.start()
+        while end and text[end - 1].isspace():
+            end -= 1
+        if end and text[end - 1] in "\"'":
+            end -= 1
+        if text[max(0, end - 16) : end].lower().endswith(NAMES):
+            value = VALUE.match(text, m.end())
+            if value and value.group(value.lastindex):
+                yield value.span(value.lastindex)
+
+
 def findings(text: str):
-    """(start, end) of candidates: key blocks, published formats, and other runs of twelve
-    or more characters with a digit or with capitals inside."""
+    """(start, end) of candidates: values of a secret's name, key blocks, published formats,
+    and other runs of twelve or more characters with a digit or with capitals inside."""
+    named = set(named_values(text))
+    yield from sorted(named)
     for m in KEY_BLOCK.finditer(text) if "-----BEGIN" in text else ():
         yield m.span()
     for m in CANDIDATE.finditer(text):
@@ -119,7 +138,7 @@ def findings(text: str):
         cut = value.find("=") + 1 if "=" in value.rstrip("=") else 0
         value = value[cut:]
         plain = value.isalpha() and (value[1:].islower() or value.isupper())
-        if len(value) >= 12 and (not plain or KNOWN.fullmatch(value)):
+        if len(value) >= 12 and (not plain or KNOWN.fullmatch(value)) and (m.start() + cut, m.end()) not in named:
             yield m.start() + cut, m.end()
 
 
