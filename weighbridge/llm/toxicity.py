@@ -18,7 +18,7 @@ TRAIN_ROWS = 200_000  # labelled rows the model is fitted on at most (sampled by
 LEAST_Z = 4.0  # how far a term's share among toxic texts lies from that among others, in standard deviations
 LEAST_LIFT = 2.0  # how many times as often a term stands in texts of one label as in the others
 LEAST_TEXTS = 4  # toxic texts that hold such a term, or texts of either label that hold any other
-PARTS, PART_ROWS = 6, 2_048  # tasks that learn all terms at once, at most; labelled rows for each at least
+PARTS, PART_ROWS = 3, 2_048  # tasks that learn all terms at once, at most; labelled rows for each at least
 RATES = ((0.05, 0.02), (0.003, 0.005))  # of weights and factors in the steps over all terms; unseen rows choose
 ROUNDS, PASSES = 4, 2  # of these steps over all rows at most, and over a row in a round
 UNSEEN = 8  # one of so many rows gives no gradients
