@@ -456,6 +456,13 @@ def test_named_secrets_of_any_length_and_alphabet(spark):
     assert [list(secret_scan.findings(x)) for x in texts[-4:]] == [[], [], [], [(10, 14)]]
 
 
+def test_features_cover_the_whole_candidate(spark):
+    docs = spark.createDataFrame([(0, "wordy" * 900), (1, "wordy" * 900 + "9Zq" * 1500)], "_row long, text string").withColumn("text", F.concat(F.lit("1"), "text"))
+    plain, mixed = secret_scan.candidates(docs, ["_row"], frozenset({"wordy"})).orderBy("_row").collect()
+    assert plain.features[secret_scan.COVERAGE] > 0.99 and mixed.features[secret_scan.COVERAGE] < 0.51
+    assert mixed.features[0] == pytest.approx(math.log1p(9001))
+
+
 # --- the pipeline -----------------------------------------------------------
 
 

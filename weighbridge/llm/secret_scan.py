@@ -155,7 +155,7 @@ def candidates(docs: DataFrame, keys: list[str], words: frozenset[str], path: st
                 for a, b in findings(text):
                     value, before = text[a:b], text[max(0, a - 40) : a]
                     at.append(i), start.append(a), end.append(b)
-                    feature.append(features(value[:4096], before, text[b : b + 40], where.as_py() or "", words))
+                    feature.append(features(value, before, text[b : b + 40], where.as_py() or "", words))
                     label.append(known_label(value, before, feature[-1][COVERAGE]))
                     digest.append(xxhash.xxh3_128_hexdigest(value.encode("utf-8", "replace")))
             taken = batch.take(pa.array(at, pa.int64()))
