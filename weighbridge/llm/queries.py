@@ -12,6 +12,7 @@ from weighbridge.llm.ann import learned_index, search
 from weighbridge.llm.bpe import bpe_digests
 from weighbridge.llm import blocks, language_id, lm, secret_scan, toxicity
 from weighbridge.llm.common import fold, table
+from weighbridge.llm.lexical_search import ranked_search
 from weighbridge.llm.mixing import mix
 from weighbridge.llm.ngram_join import jaccard_join, numbered
 from weighbridge.llm.token_counts import count_tokens
@@ -185,3 +186,31 @@ def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
 def secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Every candidate for a secret in every whole document, scored by the forest."""
     return secret_scan.scan(table(spark, folder, "documents"), ["doc_id"])
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = rf"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL_SQL = f"""
+with d as (select doc_id, row_number() over () as r, unnest({_TERMS}) as term from documents),
+q as (
+  select i, item_id, term, count(*) as times
+  from (select row_number() over () as i, item_id, unnest({_TERMS}) as term from benchmark) group by all
+), sizes as (select r, count(*)::bigint as n from d group by r),
+totals as (select count(*)::bigint as nn, sum(n)::bigint as ll from sizes),
+tf as (select r, doc_id, term, count(*)::bigint as tf from d where term in (select term from q) group by all),
+weights as (select term, floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1)::double))::bigint as w from tf, totals group by term, nn),
+scored as (
+  select i, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::bigint as score
+  from q join weights using (term) join tf using (term) join sizes using (r), totals group by all
+)
+select item_id, rank, doc_id, score from (
+  select *, (row_number() over (partition by i order by score desc, doc_id))::int as rank from scored where score > 0
+) where rank <= 10
+"""
+
+
+@query("op11_ranked_search", LEXICAL_SQL)
+def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 best documents for every benchmark item."""
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

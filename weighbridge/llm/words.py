@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
@@ -57,6 +59,45 @@ def lower_bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
 
 
+def pieces(texts: Iterable[bytes], kind: np.ndarray = WORD_BYTES, size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``data, starts, rows``: whole texts one after the other in stretches of about
+    ``size`` bytes, with the place where each text begins and its number. A longer text is cut
+    between words (a word that is longer itself stays whole), so what a stretch takes
+    is bounded however long texts are."""
+    held, starts, rows, n = [], [], [], 0
+    for i, raw in enumerate(texts):
+        if held and n + len(raw) > size:
+            yield np.frombuffer(b"".join(held), np.uint8), np.array(starts), np.array(rows)
+            held, starts, rows, n = [], [], [], 0
+        if len(raw) <= size:
+            held += [raw, b"\n"]
+            starts.append(n)
+            rows.append(i)
+            n += len(raw) + 1
+            continue
+        data, a = np.frombuffer(raw, np.uint8), 0
+        while a < len(data):
+            b = min(a + size, len(data))
+            if b < len(data):
+                gaps = np.flatnonzero(~kind[data[a:b]])
+                if len(gaps):
+                    b = a + int(gaps[-1]) + 1
+                while b < len(data) and kind[data[b - 1]]:  # one word fills the stretch
+                    gaps = np.flatnonzero(~kind[data[b : b + size]])
+                    b = b + int(gaps[0]) + 1 if len(gaps) else min(b + size, len(data))
+            yield data[a:b], np.zeros(1, np.int64), np.array([i])
+            a = b
+    if held:
+        yield np.frombuffer(b"".join(held), np.uint8), np.array(starts), np.array(rows)
+
+
+def rows_and_hashes(texts: Iterable[bytes], kind: np.ndarray = WORD_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``row, hash`` of the words of texts, in order, a stretch at a time."""
+    for data, starts, rows in pieces(texts, kind):
+        a, b = spans(data, kind)
+        yield rows[np.searchsorted(starts, a, side="right") - 1], hashes_of(data, a, b)
+
+
 def shingles(text: str, n: int) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``n`` words between white space, without
     case; a shorter text has one run of all its words, a text without words none."""
