@@ -15,6 +15,7 @@ from weighbridge.llm.common import fold, table
 from weighbridge.llm.lexical_search import ranked_search
 from weighbridge.llm.mixing import mix
 from weighbridge.llm.ngram_join import jaccard_join, numbered
+from weighbridge.llm.spelling import corpus_words, spelling_variants
 from weighbridge.llm.token_counts import count_tokens
 from weighbridge.llm.topk_search import voronoi_top_k, whole_components
 
@@ -214,3 +215,43 @@ select item_id, rank, doc_id, score from (
 def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 best documents for every benchmark item."""
     return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SPELLING_SQL = f"""
+with recursive tab as (
+  select list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+         lambda c, i: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+), runs as (
+  select doc_id, run, count(*) as k from (
+    select doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-z\u00C0-\u00FF]+')) as run from documents
+  ) where length(run) >= 7 group by all
+), bytes as (
+  select run, k, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as x from runs
+), hashed as (
+  select run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint)),
+         lambda c, b: xor(c >> 8, t[xor(c % 256, b) + 1])), 4294967295) as h
+  from bytes, tab
+), words as (
+  select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, sum(k)::bigint as n
+  from hashed group by 1 having length(word) >= 7 and sum(k) >= 2
+), cut as (
+  select word, n, i, substr(word, 1, i) || substr(word, i + 2) as rest from (select word, n, unnest(range(length(word))) as i from words)
+), shorter as (select distinct c.word as a, c.n as a_n, w.word as b, w.n as b_n from cut c join words w on c.rest = w.word),
+near as (
+  select a.word as word, a.n as n, b.word as near, b.n as near_n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select a, a_n, b, b_n from shorter union select b, b_n, a, a_n from shorter
+), best as (
+  select word, count(*) as n_near, arg_min(near, (-near_n, near)) filter (near_n >= 10 * n) as form, max(near_n) filter (near_n >= 10 * n) as form_n from near group by word
+), ways as (
+  select word, form as at from best where form is not null
+  union all select w.word, b.form from ways w join best b on b.word = w.at where b.form is not null
+), roots as (select w.word, w.at as root from ways w join words x on x.word = w.at qualify row_number() over (partition by w.word order by x.n desc) = 1)
+select w.word, form, coalesce(root, w.word) as root, w.n, coalesce(n_near, 0) as n_near, form_n
+from words w left join best b on b.word = w.word left join roots r on r.word = w.word
+"""
+
+
+@query("op12_spelling_variants", SPELLING_SQL)
+def variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Near words, form and root of every word of the documents."""
+    return spelling_variants(corpus_words(table(spark, folder, "documents"), drop_one_in=31))
