@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weighbridge.llm.ann import learned_index, search
 from weighbridge.llm.bpe import bpe_digests
-from weighbridge.llm import blocks, language_id, lm, secret_scan, toxicity
+from weighbridge.llm import blocks, language_id, lm, quality, secret_scan, toxicity
 from weighbridge.llm.common import fold, table
 from weighbridge.llm.lexical_search import ranked_search
 from weighbridge.llm.mixing import mix
@@ -255,3 +255,12 @@ from words w left join best b on b.word = w.word left join roots r on r.word = w
 def variants(spark: SparkSession, folder: str) -> DataFrame:
     """Near words, form and root of every word of the documents."""
     return spelling_variants(corpus_words(table(spark, folder, "documents"), drop_one_in=31))
+
+
+@query("op13_quality")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every whole document; every third fold is held out."""
+    docs = table(spark, folder, "documents")
+    model = quality.learn(docs, table(spark, folder, "labels"), fold("doc_id", 3) != 1, metadata=["n_chars"])
+    rows = docs.withColumn("held_out", fold("doc_id", 3) == 1)
+    return quality.score_texts(rows, model, ["doc_id", "held_out"])

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15
+STRETCH = 1 << 20  # bytes of a text worked on at once
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -41,18 +42,46 @@ _SPREAD = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
 def spans(data: np.ndarray, kind: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes of a kind."""
-    inside = kind[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+    """Starts and ends of the runs of bytes of a kind. Long data are gone through in
+    stretches, so what is held besides the result does not grow with them."""
+    if len(data) <= STRETCH:
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], kind[data], [False]]).view(np.int8)))
+        return edge[::2], edge[1::2]
+    edges, last = [], np.zeros(1, bool)
+    for a in range(0, len(data), STRETCH):
+        inside = np.concatenate([last, kind[data[a : a + STRETCH]]])
+        edges.append(np.flatnonzero(np.diff(inside.view(np.int8))) + a)
+        last = inside[-1:]
+    if last[0]:
+        edges.append(np.array([len(data)]))
+    edge = np.concatenate(edges)
     return edge[::2], edge[1::2]
 
 
 def hashes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of every span: sums of powers over its bytes, spread."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_SPREAD[data] * _power("up", n), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * _power("down", n + 1)[starts] + (ends - starts).astype(np.uint64))
+    """Hash of every span (in order): sums of powers over its bytes, spread. Sums are
+    carried on from stretch to stretch; what is held does not grow with the data."""
+    size = (ends - starts).astype(np.uint64)
+    if len(data) <= STRETCH:
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_SPREAD[data] * _power("up", len(data)), out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * _power("down", len(data) + 1)[starts] + size)
+    low, high = np.zeros(len(starts), np.uint64), np.zeros(len(ends), np.uint64)  # sums up to a start, up to an end
+    down = np.ones(len(starts), np.uint64)
+    carried = np.uint64(0)
+    for a in range(0, len(data), STRETCH):
+        part = data[a : a + STRETCH]
+        scale, back = (np.uint64(pow(x, a, 1 << 64)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_SPREAD[part] * _power("up", len(part)), out=sums[1:])
+        sums = sums * scale + carried
+        carried = sums[-1]
+        i, j = np.searchsorted(starts, [a, a + len(part)])
+        low[i:j] = sums[starts[i:j] - a]
+        down[i:j] = _power("down", len(part) + 1)[starts[i:j] - a] * back
+        i, j = np.searchsorted(ends, [a + 1, a + len(part) + 1])
+        high[i:j] = sums[ends[i:j] - a]
+    return mixed((high - low) * down + size)
 
 
 def lower_bytes(text: str) -> np.ndarray:
