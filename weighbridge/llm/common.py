@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, IntegerType, StructField
 
 from weighbridge.stages import materialize
 
@@ -21,6 +22,28 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def renamed(docs: DataFrame, keep: list[str], **columns: Column) -> tuple[DataFrame, list[StructField]]:
+    """The kept columns as c0, c1 and so on, before ``columns``, and the fields of the kept ones:
+    no name of a table can clash with one that an operator uses inside."""
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], *[c.alias(name) for name, c in columns.items()])
+    return rows, rows.schema.fields[: len(keep)]
+
+
+def named_back(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Kept columns under their own names again, before all others."""
+    others = rows.columns[len(keep) :]
+    return rows.toDF(*[f"c{k}" for k in range(len(keep))], *[f"n{k}" for k in range(len(others))]).select(
+        *[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], *[F.col(f"n{k}").alias(c) for k, c in enumerate(others)]
+    )
+
+
+def fields(**kinds: DataType) -> list[StructField]:
+    return [StructField(name, kind) for name, kind in kinds.items()]
+
+
+JUDGED = [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
+
+
 def ordered_positions(df: DataFrame, group: list[str], order: list[Column], out: str, name: str) -> DataFrame:
     """1-based position of every row inside its group, in the given order, without
     a window over the group.

@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weighbridge.llm import words as wd
+from weighbridge.llm.common import JUDGED, named_back, renamed
 from weighbridge.llm.machine import Model, fitted, labelled, of_each_label
 from weighbridge.stages import materialize
 
@@ -134,11 +136,10 @@ def score_texts(docs: DataFrame, quality: Quality, keep: list[str], text: str =
     Null text is empty; an empty text is judged by its metadata and by being empty.
     Rows are judged one by one, so repeated ones score alike. Kept columns may have any name but the two new ones.
     """
-    names = [f"c{k}" for k in range(len(keep))]
-    numbers = [F.col(f"`{m}`").cast("double").alias(f"m{k}") for k, m in enumerate(quality.metadata)]
-    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], F.col(text).alias("text"), *numbers)
+    numbers = {f"m{k}": F.col(f"`{m}`").cast("double") for k, m in enumerate(quality.metadata)}
+    rows, kept = renamed(docs, keep, text=F.col(text), **numbers)
     model, at = quality.model, len(keep)
-    schema = ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names), "score double, predicted int"])
+    schema = StructType([*kept, *JUDGED])
 
     def run(batches):
         for batch in batches:
@@ -146,7 +147,6 @@ def score_texts(docs: DataFrame, quality: Quality, keep: list[str], text: str =
                 made = _featured(part, at, range(at + 1, part.num_columns))
                 size = np.array([len(x) for x, _ in made], np.int64)
                 score = model.value.scores(np.concatenate([x for x, _ in made]), np.concatenate([v for _, v in made]), size)
-                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=schema.names)
 
-    scored = rows.mapInArrow(run, schema)
-    return scored.select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "score", "predicted")
+    return named_back(rows.mapInArrow(run, schema), keep)

@@ -8,8 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weighbridge.llm import words as wd
+from weighbridge.llm.common import JUDGED, named_back, renamed
+from weighbridge.llm.machine import FACTORS, Model, fitted, labelled, of_each_label
 from weighbridge.stages import materialize
 
 BITS = 18
@@ -18,11 +21,9 @@ TRAIN_ROWS = 200_000  # labelled rows the model is fitted on at most (sampled by
 LEAST_Z = 4.0  # how far a term's share among toxic texts lies from that among others, in standard deviations
 LEAST_LIFT = 2.0  # how many times as often a term stands in texts of one label as in the others
 LEAST_TEXTS = 4  # toxic texts that hold such a term, or texts of either label that hold any other
-PARTS, PART_ROWS = 3, 2_048  # tasks that learn all terms at once, at most; labelled rows for each at least
-RATES = ((0.05, 0.02), (0.003, 0.005))  # of weights and factors in the steps over all terms; unseen rows choose
-ROUNDS, PASSES = 4, 2  # of these steps over all rows at most, and over a row in a round
-UNSEEN = 8  # one of so many rows gives no gradients
-FACTORS = 8
+TASK_ROWS = 2_048  # labelled rows at least for each of the tasks that learn all terms
+RATES = [(0.05, 0.02), (0.003, 0.005)]  # of weights and factors in the steps over all terms; unseen rows choose
+ROUNDS = 4  # of these steps over all rows at most
 EPOCHS = 25
 STEPS = 20  # of an epoch at least
 SEED = 7
@@ -90,7 +91,7 @@ def _rows(train: DataFrame, place: np.ndarray) -> DataFrame:
 
 
 def _lists(train: DataFrame, place: np.ndarray) -> DataFrame:
-    """Labels and all terms that have a place, as bytes."""
+    """Labels and all terms that have a place, as bytes; every value is 1."""
 
     def run(batches):
         for batch in batches:
@@ -98,106 +99,9 @@ def _lists(train: DataFrame, place: np.ndarray) -> DataFrame:
             for text in batch.column(0):
                 at = place[terms(text.as_py() or "")]
                 lists.append(at[at >= 0].astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(lists, pa.binary())], names=["label", "at", "terms"])
-
-    return train.select("text", "label", "at").mapInArrow(run, "label int, at long, terms binary")
-
-
-class _Wide:
-    """Machine over all supported terms while it is learned: weight, factors and what gradients each row has had."""
-
-    def __init__(self, bias: float, table: np.ndarray, had: float = 1e-3):
-        self.bias, self.table, self.had = bias, table, had  # table: weight, factors, squares of either's gradients
-
-    @staticmethod
-    def of(bias: float, weight: np.ndarray, factor: np.ndarray) -> _Wide:
-        return _Wide(bias, np.column_stack([weight, factor, np.full((len(weight), 2), 1e-3)]).astype(np.float32))
-
-    def logits(self, rows: np.ndarray, row: np.ndarray, inverse: np.ndarray, touched: np.ndarray):
-        held = self.table[touched]
-        v = held[:, 1 : 1 + FACTORS]
-        sums = np.stack([np.bincount(row, v[inverse, k], len(rows)) for k in range(FACTORS)], 1)
-        squares = np.bincount(row, (v**2).sum(1)[inverse], len(rows))
-        return self.bias + np.bincount(row, held[inverse, 0], len(rows)) + 0.5 * ((sums**2).sum(1) - squares), sums, held
-
-
-def _learn_rows(model: _Wide, new: _Wide, met: np.ndarray, batch: pa.RecordBatch, rates: tuple[float, float], rng) -> tuple[float, int]:
-    """Loss of ``model`` over the unseen rows of a batch and their number; ``new`` passes over the others."""
-    labels, lists = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-    unseen = batch.column(1).to_numpy().astype(np.uint64) % np.uint64(UNSEEN) == 0
-    sizes = np.array([len(x) // 4 for x in lists], np.int64)
-
-    def taken(rows):
-        at = np.frombuffer(b"".join([lists[i] for i in rows]), np.int32)
-        touched, inverse = np.unique(at, return_inverse=True)
-        return np.repeat(np.arange(len(rows)), sizes[rows]), inverse, touched
-
-    held_out, rest = np.flatnonzero(unseen), np.flatnonzero(~unseen)
-    loss = 0.0
-    for a in range(0, len(held_out), 256):
-        rows = held_out[a : a + 256]
-        z = model.logits(rows, *taken(rows))[0]
-        loss += float(np.logaddexp(0, np.where(labels[rows] == 1, -z, z)).sum())
-    for _ in range(PASSES if len(rest) else 0):
-        for rows in np.array_split(rng.permutation(rest), max(1, min(len(rest), max(STEPS, len(rest) // 64)))):
-            row, inverse, touched = taken(rows)
-            z, sums, held = new.logits(rows, row, inverse, touched)
-            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[rows]) / len(rows)
-            each = np.bincount(inverse, g[row], len(touched))
-            dw = each + 1e-5 * held[:, 0]
-            crossed = np.stack([np.bincount(inverse, (g * sums[:, k])[row], len(touched)) for k in range(FACTORS)], 1)
-            dv = crossed + (1e-4 - each)[:, None] * held[:, 1 : 1 + FACTORS]
-            held[:, -2] += dw**2
-            held[:, -1] += (dv**2).mean(1)
-            held[:, 0] -= rates[0] * dw / np.sqrt(held[:, -2])
-            held[:, 1 : 1 + FACTORS] -= rates[1] * dv / np.sqrt(held[:, -1])[:, None]
-            new.table[touched] = held
-            met[touched] += np.bincount(inverse, minlength=len(touched))
-            new.had += float(g.sum() ** 2)
-            new.bias -= rates[0] * float(g.sum()) / np.sqrt(new.had)
-    return loss, len(held_out)
-
-
-def _round(lists: DataFrame, model: _Wide, rates: tuple[float, float], seed: int) -> tuple[float, _Wide]:
-    """Loss of ``model`` on the unseen rows of all tasks and the model after one more round:
-    changes of the tasks averaged per term, weighted by how often a task has met it."""
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(lists, pa.binary()), pa.nulls(len(lists), pa.binary())], names=["label", "at", "terms", "value"])
 
-    def run(batches):
-        new, met, rng = _Wide(model.bias, model.table.copy(), model.had), np.zeros(len(model.table), np.float32), np.random.default_rng(seed)
-        loss, n, seen = 0.0, 0, False
-        for batch in batches:
-            for part in (batch.slice(k, 2 * PART_ROWS) for k in range(0, batch.num_rows, 2 * PART_ROWS)):
-                more, of = _learn_rows(model, new, met, part, rates, rng)
-                loss, n, seen = loss + more, n + of, True
-        if seen:
-            change = np.column_stack([(new.table - model.table) * met[:, None], met]).astype(np.float32)
-            columns = [pa.array([x]) for x in (loss, n, new.bias - model.bias, new.had - model.had, change.tobytes())]
-            yield pa.RecordBatch.from_arrays(columns, names=["loss", "n", "bias", "had", "blob"])
-
-    parts = lists.mapInArrow(run, "loss double, n long, bias double, had double, blob binary").collect()  # PARTS rows at most, each as large as the model
-    total = np.zeros((len(model.table), model.table.shape[1] + 1), np.float32)
-    for part in sorted(parts, key=lambda x: (x.loss, x.bias)):
-        total += np.frombuffer(part.blob, np.float32).reshape(total.shape)
-    table = model.table + total[:, :-1] / np.maximum(total[:, -1:], 1.0)
-    loss = sum(p.loss for p in parts) / max(sum(p.n for p in parts), 1)
-    return loss, _Wide(model.bias + sum(p.bias for p in parts) / len(parts), table, model.had + sum(p.had for p in parts) / len(parts))
-
-
-def _widened(train: DataFrame, n: int, place: np.ndarray, start: _Wide) -> _Wide | None:
-    """The best machine over all supported terms by its loss on unseen rows; None where ``start`` is best."""
-    lists = materialize(_lists(train, place), "labelled-terms").coalesce(max(1, min(PARTS, n // PART_ROWS)))
-    best, least = None, None
-    for rates in RATES:
-        now, last = start, np.inf
-        for k in range(ROUNDS + 1):
-            loss, after = _round(lists, now, rates, SEED + k)
-            least = loss if least is None else least  # that of ``start``
-            if loss >= last:
-                break
-            if loss < least:
-                best, least = now, loss
-            now, last = after, loss
-    return best
+    return train.select("text", "label", "at").mapInArrow(run, "label int, at long, terms binary, value binary")
 
 
 def fit_machine(lists: list[np.ndarray], labels: np.ndarray, n_terms: int, seed: int = SEED) -> tuple[float, np.ndarray, np.ndarray]:
@@ -242,18 +146,12 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "
     texts learn on, with their pairs, whatever a term tells by itself; the machine
     after any round is taken if it has less loss on unseen rows. Term counts are one
     aggregation of at most 2^18 buckets; the first fit is one task on at most about
-    ``rows`` texts, of which only the numbers of its terms travel, the rounds over all
-    terms are ``PARTS`` tasks. Without labelled rows every score is 0.5 less a little.
+    ``rows`` texts, of which only the numbers of its terms travel; the rounds over all
+    terms run in as many tasks as there are rows for, and executors add up what these
+    change (``machine.learned_round``). Without labelled rows every score is 0.5 less a little.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col(label) > 0, 1).otherwise(0)).alias("label"))
-    known = known.where(learn_from)
-    n = known.count()
-    if n > rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    # at most about ``rows`` ids and labels, so the texts need not be shuffled
-    train = materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label", F.xxhash64("doc_id").alias("at")), "labelled")
-    sums = train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()
-    total = {0: 0, 1: 0} | {r.label: r.n for r in sums}
+    train = materialize(labelled(docs, labels, learn_from, label, rows, "text"), "labelled")
+    total = of_each_label(train)
     toxic, clean = max(total[1], 1), max(total[0], 1)
     share = (F.col("toxic") + F.col("clean")) / (toxic + clean)
     z = (F.col("toxic") / toxic - F.col("clean") / clean) / F.sqrt(share * (1 - share + 1e-9) * (1 / toxic + 1 / clean))
@@ -276,31 +174,35 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "
         lists = {name: pa.array([x.ravel().tolist()], pa.list_(pa.float64())) for name, x in (("weight", w), ("factor", v))}
         return pa.table({"bias": [bias]} | lists)
 
-    fitted = _rows(train, place).groupBy().applyInArrow(fit, "bias double, weight array<double>, factor array<double>").collect()
-    if not fitted:
-        return Machine(place, -0.01, np.zeros(0), np.zeros((0, FACTORS)))
-    got = fitted[0]
-    first = Machine(place, got.bias, np.array(got.weight), np.array(got.factor).reshape(n_terms, FACTORS))
+    fits = _rows(train, place).groupBy().applyInArrow(fit, "bias double, weight array<double>, factor array<double>").collect()
+    if not fits:
+        return Machine(place, -0.01, np.zeros(0, np.float32), np.zeros((0, FACTORS), np.float32))
+    got = fits[0]
+    first = Machine(place, got.bias, np.array(got.weight, np.float32), np.array(got.factor, np.float32).reshape(n_terms, FACTORS))
     if not (total[0] and total[1] and len(every)):
         return first
     weight, factor = np.zeros(len(every)), np.random.default_rng(SEED).normal(0, 0.01, (len(every), FACTORS))
     weight[told], factor[told] = first.weight, first.factor
-    best = _widened(train, total[0] + total[1], wide, _Wide.of(first.bias, weight, factor))
-    return first if best is None else Machine(wide, best.bias, best.table[:, 0].astype(np.float64), best.table[:, 1 : 1 + FACTORS].astype(np.float64))
+    lists = materialize(_lists(train, wide), "labelled-terms").coalesce(max(1, (total[0] + total[1]) // TASK_ROWS))
+    best, _ = fitted(lists, Model.start(first.bias, weight, factor), RATES, ROUNDS, SEED)
+    return first if best is None else Machine(wide, best.bias, best.table[:, 0], best.table[:, 1 : 1 + FACTORS])
 
 
 def score_texts(docs: DataFrame, machine: Machine, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
 
     Null, empty and wordless texts get the score of a text without any known term.
+    Rows are judged one by one, so repeated ones score alike; an empty table gives an
+    empty one. Kept columns may have any name but the two new ones.
     """
-    rows = docs.select(*keep, F.col(text).alias("_text"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keep]
+    rows, kept = renamed(docs, keep, text=F.col(text))
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # at most 2^18 terms
+    schema = StructType([*kept, *JUDGED])
 
     def run(batches):
         for batch in batches:
-            score = np.array([machine.score(terms(t.as_py() or "")) for t in batch.column("_text")], np.float64)
-            columns = [batch.column(c) for c in keep] + [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "score", "predicted"])
+            score = np.array([shared.value.score(terms(t.as_py() or "")) for t in batch.column("text")], np.float64)
+            columns = [*batch.columns[:-1], pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(run, ", ".join([*kept, "score double, predicted int"]))
+    return named_back(rows.mapInArrow(run, schema), keep)
