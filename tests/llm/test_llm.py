@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from weighbridge.llm import blocks, language_id, lm, secret_scan, toxicity
+from weighbridge.llm import words as wd
 from weighbridge.llm.ann import balanced_parts, learned_index, search
 from weighbridge.llm.bpe import bpe_decode, bpe_digests, bpe_encode
 from weighbridge.llm.common import fold, ordered_positions
@@ -387,27 +388,94 @@ def test_lm_scores_against_brute_force(spark):
     assert lm.score_texts(docs.limit(3), empty, none, ["doc_id"]).count() == 3
 
 
+def plain_log_p(model, counts, text):
+    """Log10 probability of a text token by token, with dictionaries and loops."""
+    words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))]
+
+    def facts(word):
+        if word is None:
+            return lm.END, 0
+        tokens = lm.Tokens([word])
+        return tokens.hash[0], int(tokens.tail[0])
+
+    ranks = {int(h): k for k, h in enumerate(model.rank.words[: model.inside])}
+    total, before = 0.0, [None, None]
+    for word in [*words, None]:
+        (h, tail), (one, one_tail), (two, _) = facts(word), facts(before[-1]), facts(before[-2])
+        a, b = (int(wd.mixed(np.array([x]).view(np.uint64))[0]) for x in (one, two))
+        pair = int(wd.mixed(np.array([(a * 3 + b) % 2**64], np.uint64))[0])
+        rows = [(a >> 40) % lm.ROWS, (b >> 17) % lm.ROWS + lm.ROWS, pair % lm.ROWS + 2 * lm.ROWS]
+        rank = ranks.get(int(h), -1)
+        cls = rank // lm.WIDTH if rank >= 0 else lm.CLASSES + tail
+        z = [float(model.class_bias[c]) + sum(float(model.by_class[r, c]) for r in rows) for c in range(lm.CLASSES + lm.TAILS)]
+        total += z[cls] - math.log(sum(math.exp(x) for x in z))
+        if rank >= 0:
+            last = ranks.get(int(one), -1)
+            row = (last if 0 <= last < lm.BEFORE else lm.BEFORE + one_tail) * lm.CLASSES + cls
+            z = [float(x) + float(y) for x, y in zip(model.word_bias[cls], model.by_word[row])]
+            total += z[rank % lm.WIDTH] - math.log(sum(math.exp(x) for x in z))
+        else:
+            total += math.log((counts.get(int(h), 0) + 1) / (model.tail_n[tail] + model.tail_v[tail] + 1))
+        before.append(word)
+    return total / math.log(10)
+
+
+def test_lm_scores_equal_a_plain_softmax_each_time(spark):
+    rng = random.Random(9)
+    texts = [words(rng, rng.randint(0, 60), 3000) + " The the a" for _ in range(150)] + ODD_TEXTS
+    docs = frame(spark, texts).repartition(3, "doc_id")
+    runs = []
+    for _ in range(2):
+        model, counts = lm.learn(docs, F.col("doc_id") % 4 != 1)
+        runs.append({r.doc_id: (r.score, r.size, r.block) for r in lm.score_texts(docs.withColumn("block", F.lit("b")), model, counts, ["doc_id", "size", "block"]).collect()})
+    assert runs[0] == runs[1] and set(x[1:] for x in runs[0].values()) == {("x", "b")}
+    count = {r.word: r.n for r in counts.collect()}
+    for i in [*range(0, 150, 7), *range(150, len(texts))]:
+        assert math.isclose(runs[0][i][0], plain_log_p(model, count, texts[i]), rel_tol=1e-4, abs_tol=1e-3)
+
+
 def test_lm_probabilities_sum_to_one(spark):
     rng = random.Random(9)
     docs = frame(spark, [words(rng, 80, 3000) for _ in range(100)])
     model, counts = lm.learn(docs, F.lit(True))
     count = {r.word: r.n for r in counts.collect()}
-    tokens = lm.Tokens()
-    every = [f"w{k}" for k in range(3000) if int(lm._hashes([f"w{k}".encode()], 1)[0]) in count]
-    lists = [tokens.add("w1 w2 " + w) for w in every] + [tokens.add("w1 w2")]  # each word, or the end, after the same context
-    hashes, tails = tokens.facts()
-    e = lm.Events(model, lists, hashes, tails)
-    third = np.cumsum(e.size) - e.size + 2
-    p = np.exp(e.class_log_p(model, 0, len(e.token))[third, e.cls[third]].astype(float))
-    n = np.array([count.get(int(h), 0) for h in hashes])
-    known = e.known[third]
-    within = (n + 1.0)[e.token[third]] / (model.tail_n + model.tail_v + 1)[np.maximum(e.cls[third] - lm.CLASSES, 0)]
-    within[known] = np.exp(e.word_log_p(model, third[known])[np.arange(known.sum()), e.slot[third[known]]])
-    total = (p * within).sum()
-    unseen = (np.exp(e.class_log_p(model, third[0], third[0] + 1))[0, lm.CLASSES :] / (model.tail_n + model.tail_v + 1)).sum()
+    every = [w for w in (f"w{k}" for k in range(3000)) if int(lm.Tokens([w.encode()]).hash[0]) in count]
+    context = plain_log_p(model, count, "w1 w2")  # its last factor is that of the end
+    p = [10 ** (plain_log_p(model, count, f"w1 w2 {w}")) for w in every[:3]]
+    assert context < 0 and all(0 < x < 1 for x in p)
+    tokens = lm.Tokens([f"w1 w2 {w}".encode() for w in every] + [b"w1 w2"])
+    place = lm._places(model, model.rank(tokens.hash))
+    n = np.array([count.get(int(h), 0) for h in tokens.hash])
+    tail = np.log((n + 1.0) / (model.tail_n + model.tail_v + 1)[tokens.tail])
+    e = lm.Events(model, tokens, place, 0, len(tokens.hash))
+    total = np.exp(e.log_p(model, tail))[tokens.first + 2].sum()
+    z = e.class_scores(model)[tokens.first[0] + 2]
+    unseen = (np.exp(z)[lm.CLASSES :] / np.exp(z).sum() / (model.tail_n + model.tail_v + 1)).sum()
     assert 0.999 < total + unseen < 1.001
 
 
+def test_equal_rows_are_scored_in_parts(spark):
+    docs = frame(spark, ["one two three"] * 1000 + ["rare word here", "one two three"], [5] * 1000 + [6, 7])
+    model, counts = lm.learn(docs, F.lit(True))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = lm.score_texts(docs, model, counts, ["doc_id"], block_tokens=100).withColumn("task", F.spark_partition_id())
+    got = parts.groupBy("doc_id", "n_known", "base_score", "score").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("task").alias("tasks")).collect()
+    assert sorted((r.doc_id, r.n, r.n_known) for r in got) == [(5, 1000, 4), (6, 1, 4), (7, 1, 4)]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    whole = {r.doc_id: (r.base_score, r.score) for r in lm.score_texts(docs, model, counts, ["doc_id"]).collect()}
+    assert all(math.isclose(whole[r.doc_id][1], r.score) and whole[r.doc_id][0] == r.base_score for r in got)
+    assert max(r.tasks for r in got) > 1
+
+
+def test_frequent_words_are_found_by_hash():
+    rng = np.random.default_rng(1)
+    hashes = np.unique(rng.integers(-(2**63), 2**63, 3000))
+    crowded = np.r_[hashes[:1000], hashes[:200] + np.arange(1, 201)]  # many share their upper bits
+    ranks = lm.Ranks(crowded)
+    assert (ranks(crowded) == np.arange(len(crowded))).all() and (ranks(hashes[1500:]) == -1).all()
+    assert (lm.Ranks(hashes[:0])(hashes) == -1).all()
+
+
 def test_secret_scan_and_redaction(spark):
     rng = random.Random(3)
     key = lambda n, a: "".join(rng.choice(a) for _ in range(n))
