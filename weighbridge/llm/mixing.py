@@ -12,7 +12,6 @@ WEIGHTS = (5.0, 2.0, 1.0)  # of the sources in order, repeating
 BUDGET = 1.5  # times all sizes
 MOST = 2.0  # times a source's size
 SEED = 20
-OFFSETS = 16  # offsets drawn per source, of which the one that comes nearest to the target is added
 
 
 def words(text: str | Column) -> Column:
@@ -58,9 +57,9 @@ def mix(
     Every document of a source expects target / source size copies. Expected
     copies are summed up along the source, one random offset per source is added,
     and a document is taken once per integer its stretch crosses, so it gets the
-    expected number rounded down or up. Documents stand in random order (by hash of
-    the id). Where few documents make up a source, the words taken depend much on
-    the offset; so ``OFFSETS`` are drawn and the one nearest to the target is used.
+    expected number rounded down or up. Documents stand in order of size, the largest first
+    (then by hash of the id and of the text): neighbours are alike, so whatever the offset, the
+    words taken miss the target by less than the largest document has.
 
     Columns needed: doc_id, text, source; others pass through, and a column with
     the name of a new one is replaced. Null text has size 0 and is taken as
@@ -71,35 +70,25 @@ def mix(
     new = ["size", "source_size", "target", "copies", "taken"]
     kept = [c for c in docs.columns if c not in new] if keep is None else keep
     needed = list(dict.fromkeys([*kept, "doc_id", "source"]))
-    rows = docs.drop("size").withColumn("size", words("text")).select(*needed, "size")
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rows = docs.drop("size", "_digest").withColumn("size", words("text")).withColumn("_digest", digest).select(*needed, "size", "_digest")
     targets = source_targets(docs.select("source", words("text").alias("size")), weights, budget, most)
     spread = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    placed = ordered_positions(rows, ["source"], [spread, F.col("size")], "_place", "placed")
+    placed = ordered_positions(rows, ["source"], [F.desc("size"), spread, F.col("_digest")], "_place", "placed")
     name = F.concat(F.coalesce(F.col("source"), F.lit("")), F.when(F.col("source").isNull(), "-").otherwise("+"))
-    drawn = [F.md5(F.concat(F.lit(f"{seed}|{k}|"), name).cast("binary")) for k in range(OFFSETS)]
+    drawn = F.md5(F.concat(F.lit(f"{seed}|"), name).cast("binary"))
     each = targets.select(
         F.col("source").alias("_source"),
         "source_size",
         "target",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_each"),
-        F.array(*[F.conv(F.substring(d, 1, 8), 16, 10).cast("long") / F.lit(1 << 32) for d in drawn]).alias("_offsets"),
+        (F.conv(F.substring(drawn, 1, 8), 16, 10).cast("long") / F.lit(1 << 32)).alias("_offset"),
     )
     each = materialize(each, "offsets")
-
-    def copies(offset: Column) -> Column:
-        upto = lambda place: F.floor(offset + F.col("_each") * place)
-        return (upto(F.col("_place")) - upto(F.col("_place") - 1)).cast("long")
-
-    same = F.col("source").eqNullSafe(F.col("_source"))
-    tried = placed.select("source", "size", "_place").join(each, same).groupBy("_source").agg(
-        *[F.sum(copies(F.col("_offsets")[k]) * F.col("size")).alias(f"_t{k}") for k in range(OFFSETS)]
-    )
-    named = tried.withColumnRenamed("_source", "_of")
-    misses = [F.struct(F.abs(F.col(f"_t{k}") - F.col("target")), F.lit(k), F.col("_offsets")[k].alias("offset")) for k in range(OFFSETS)]
-    nearest = each.join(named, F.col("_source").eqNullSafe(F.col("_of"))).withColumn("_offset", F.least(*misses)["offset"])
-    nearest = materialize(nearest.select("_source", "source_size", "target", "_each", "_offset"), "nearest-offsets")
-    joined = placed.join(nearest, same)
-    mixed = joined.withColumn("copies", copies(F.col("_offset"))).withColumn("taken", F.col("copies") * F.col("size"))
+    joined = placed.join(each, F.col("source").eqNullSafe(F.col("_source")))
+    upto = lambda place: F.floor(F.col("_offset") + F.col("_each") * place)
+    copies = (upto(F.col("_place")) - upto(F.col("_place") - 1)).cast("long")
+    mixed = joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
     return mixed.select(*kept, *new)
 
 

@@ -106,7 +106,7 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 MIX_SQL = r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents
+  select doc_id, source, md5(coalesce(text, '')) as digest, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents
 ), totals as (
   select source, sum(size)::bigint as source_size,
          [5, 2, 1][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] as w
@@ -125,21 +125,15 @@ with sized as (
 targets as (
   select source, source_size, least(stop, coalesce((select level from chosen), 1e300) * w)::double as target from stops
 ), placed as (
-  select *, row_number() over (partition by source order by md5(coalesce(doc_id::varchar, '')), size) as place from sized
+  select *, row_number() over (partition by source order by size desc, md5(coalesce(doc_id::varchar, '')), digest) as place from sized
 ), drawn as (
   select *, case when source_size > 0 then target / source_size else 0 end as each,
-         ('0x' || substr(md5('20|' || k || '|' || coalesce(source, '') || case when source is null then '-' else '+' end), 1, 8))::bigint / 4294967296::double as o
-  from targets cross join (select range as k from range(16))
-), tried as (
-  select d.source, d.k, abs(sum((floor(o + each * place) - floor(o + each * (place - 1))) * p.size) - any_value(target)) as miss
-  from placed p join drawn d on p.source is not distinct from d.source group by d.source, d.k
-), offsets as (
-  select d.* from drawn d join (select source, arg_min(k, (miss, k)) as k from tried group by source) b
-    on b.source is not distinct from d.source and b.k = d.k
+         ('0x' || substr(md5('20|' || coalesce(source, '') || case when source is null then '-' else '+' end), 1, 8))::bigint / 4294967296::double as o
+  from targets
 )
 select p.doc_id, p.size::bigint as size, t.source_size, t.target,
        ((floor(o + each * place) - floor(o + each * (place - 1))) * p.size)::bigint as taken
-from placed p join offsets t on p.source is not distinct from t.source
+from placed p join drawn t on p.source is not distinct from t.source
 """
 
 
@@ -186,7 +180,7 @@ def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_secret_scan")
 def secrets(spark: SparkSession, folder: str) -> DataFrame:
     """Every candidate for a secret in every whole document, scored by the forest."""
-    return secret_scan.scan(table(spark, folder, "documents"), ["doc_id"])
+    return secret_scan.scan(table(spark, folder, "documents"), ["doc_id"], path="source")
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -12,7 +12,9 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
+from weighbridge.llm.common import fields, named_back, renamed
 from weighbridge.stages import materialize
 
 # Published formats of access keys.
@@ -40,6 +42,7 @@ DICTIONARY = 20_000  # most frequent words of the corpus
 LABELLED = 50_000  # findings the forest is fitted on at most (by hash)
 TREES, DEPTH, SEED = 40, 8, 13
 NEIGHBOURS = 16  # buckets of hashed neighbouring words
+PATHS = 8  # buckets of hashed parts of the path
 WORDY = 0.8  # dictionary coverage from which a rule takes a finding for words
 COVERAGE = 23  # its place among the features
 
@@ -54,8 +57,15 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> frozenset[str]:
                 count.update(LETTERS.findall((text.as_py() or "").lower()))
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
 
-    words = docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return frozenset(r.word for r in words.orderBy(F.desc("n"), "word").limit(size).collect())
+    words = materialize(docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "dictionary-words")
+    # the count from which on there are enough words, in steps of an eighth of a doubling; then only those are sorted
+    step = F.floor(8 * F.log2("n")).cast("int")
+    have, least = 0, 0
+    for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():  # some hundred rows
+        have, least = have + r.n, r.step
+        if have >= size:
+            break
+    return frozenset(r.word for r in words.where(step >= least).orderBy(F.desc("n"), "word").limit(size).collect())
 
 
 def coverage(value: str, words: frozenset[str]) -> float:
@@ -76,9 +86,9 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def features(value: str, before: str, after: str, path: str, words: frozenset[str]) -> list[float]:
+def features(value: str, before: str, after: str, path: str | None, words: frozenset[str]) -> list[float]:
     """Length, shares of character kinds and of transitions between them, entropy,
-    dictionary coverage, kind of path, and hashed neighbouring words."""
+    dictionary coverage, kind and (where there is one) hashed parts of the path, and hashed neighbouring words."""
     n = len(value)
     kinds = [_kind(c) for c in value]
     share = [kinds.count(k) / n for k in range(4)]
@@ -91,9 +101,12 @@ def features(value: str, before: str, after: str, path: str, words: frozenset[st
         near[xxhash.xxh3_64_intdigest(word) % NEIGHBOURS] += 1.0
     named = float(any(x in before.lower()[-16:] for x in NAMES))
     assigned = float(bool(re.search(r"[:=]\s*[\"']?$", before)))
-    end = path.rsplit(".", 1)[-1].lower() if "." in path else ""
-    paths = [float(end in ("env", "cfg", "ini", "yml", "yaml", "json", "tfvars")), float("test" in path.lower()), float("/" in value), float(before.endswith("/"))]
-    return [math.log1p(n), *share, *moves, entropy, hexa, coverage(value, words), *paths, named, assigned, *near]
+    end = path.rsplit(".", 1)[-1].lower() if path and "." in path else ""
+    paths = [float(end in ("env", "cfg", "ini", "yml", "yaml", "json", "tfvars")), float("test" in (path or "").lower()), float("/" in value), float(before.endswith("/"))]
+    parts = [0.0] * (PATHS if path is not None else 0)
+    for part in re.findall(r"[a-z]+|[0-9]+", (path or "").lower()):
+        parts[xxhash.xxh3_64_intdigest(part) % PATHS] += 1.0
+    return [math.log1p(n), *share, *moves, entropy, hexa, coverage(value, words), *paths, named, assigned, *near, *parts]
 
 
 def known_label(value: str, before: str, covered: float) -> int | None:
@@ -144,28 +157,29 @@ def findings(text: str):
 
 def candidates(docs: DataFrame, keys: list[str], words: frozenset[str], path: str | None = None) -> DataFrame:
     """``keys, start, end, features, label, digest`` of every candidate in every whole ``text``."""
-    rows = docs.select(*keys, "text", (F.col(path) if path else F.lit("")).cast("string").alias("_path"))
-    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys]
+    rows, kept = renamed(docs, keys, text=F.col("text"), path=(F.col(path) if path else F.lit("")).cast("string"))
+    new = fields(start=IntegerType(), end=IntegerType(), features=ArrayType(DoubleType()), label=IntegerType(), digest=StringType())
+    schema = StructType([*kept, *new])
 
     def run(batches):
         for batch in batches:
             at, start, end, feature, label, digest = [], [], [], [], [], []
-            for i, (text, where) in enumerate(zip(batch.column("text"), batch.column("_path"))):
+            for i, (text, where) in enumerate(zip(batch.column("text"), batch.column("path"))):
                 text = text.as_py() or ""
                 for a, b in findings(text):
                     value, before = text[a:b], text[max(0, a - 40) : a]
                     at.append(i), start.append(a), end.append(b)
-                    feature.append(features(value, before, text[b : b + 40], where.as_py() or "", words))
+                    feature.append(features(value, before, text[b : b + 40], (where.as_py() or "") if path else None, words))
                     label.append(known_label(value, before, feature[-1][COVERAGE]))
                     digest.append(xxhash.xxh3_128_hexdigest(value.encode("utf-8", "replace")))
             taken = batch.take(pa.array(at, pa.int64()))
-            columns = [taken.column(k) for k in keys] + [
-                pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(feature, pa.list_(pa.float64())),
+            columns = [
+                *taken.columns[: len(keys)], pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(feature, pa.list_(pa.float64())),
                 pa.array(label, pa.int32()), pa.array(digest, pa.string()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "start", "end", "features", "label", "digest"])
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(run, ", ".join([*kept, "start int, end int, features array<double>, label int, digest string"]))
+    return named_back(rows.mapInArrow(run, schema), keys)
 
 
 def fit_forest(labelled: DataFrame, rows: int = LABELLED):
@@ -192,7 +206,8 @@ def scan(docs: DataFrame, keys: list[str], path: str | None = None, labelled: Da
     ``labelled(features, label, digest)`` are reviewed findings to learn from; unless
     given, candidates that a rule settles are taken. Null, empty and plain texts have
     no candidates. Without labelled findings of both kinds the rule decides: 1 or 0,
-    and 0.5 where it is silent. Repeated rows have findings of their own.
+    and 0.5 where it is silent. Repeated rows have findings of their own. ``path`` names the column that
+    tells where a text comes from; null is empty. An empty table gives an empty result.
     """
     words = dictionary(docs)
     found = materialize(candidates(docs, keys, words, path), "findings")
