@@ -39,7 +39,8 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
     # equal texts hold equal secrets, so the text's digest is key enough
     rows = _packed(docs, "text").withColumn("_key", F.md5(F.coalesce("text", F.lit(""))))
-    done = secret_scan.redact(rows, secret_scan.scan(rows.select("_key", "text"), ["_key"]), "_key")
+    found = secret_scan.scan(rows.select("_key", "text", "_doc.source"), ["_key"], path="source")
+    done = secret_scan.redact(rows, found, "_key")
     return done.select(*[F.col("text") if c == "text" else F.col(f"_doc.`{c}`") for c in docs.columns])
 
 
