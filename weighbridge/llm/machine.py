@@ -132,12 +132,12 @@ def _changed(rows: DataFrame, shared, rates: tuple[float, float], seed: int) ->
                 loss, n, seen = loss + more, n + of, True
         if not seen:
             return
-        yield _sent(task, -1, np.array([loss, n, new.bias - model.bias, new.had - model.had, 1.0]))
+        yield _sent(task, -1, np.array([loss, n, new.bias - model.bias, new.had - model.had, 1.0], np.float32))
         for a in range(0, len(met), SLICE):
             mine = met[a : a + SLICE]
             if mine.any():
                 change = (new.table[a : a + SLICE] - model.table[a : a + SLICE]) * mine[:, None]
-                yield _sent(task, a // SLICE, np.column_stack([change, mine]).astype(np.float64))
+                yield _sent(task, a // SLICE, np.column_stack([change, mine]))
 
     return rows.mapInArrow(run, "task int, slice int, blob binary")
 
@@ -150,7 +150,7 @@ def _added(table: pa.Table) -> pa.Table:
     """Sum of what tasks changed of a slice, in order of the tasks."""
     total = None
     for i in np.argsort(table["task"].to_numpy()):
-        values = np.frombuffer(table["blob"][int(i)].as_py(), np.float64)
+        values = np.frombuffer(table["blob"][int(i)].as_py(), np.float32)
         total = values.copy() if total is None else total + values
     return pa.table({"task": table["task"][:1], "slice": table["slice"][:1], "blob": pa.array([total.tobytes()])})
 
@@ -170,11 +170,11 @@ def learned_round(rows: DataFrame, model: Model, rates: tuple[float, float], see
         shared.destroy()
     loss, n, new = 0.0, 0.0, Model(model.bias, model.table.copy(), model.had)
     for part, blob in zip(sums["slice"].to_pylist(), sums["blob"]):
-        values = np.frombuffer(blob.as_buffer(), np.float64)
+        values = np.frombuffer(blob.as_buffer(), np.float32)
         if part < 0:
-            loss, n = values[0], values[1]
-            new.bias += values[2] / values[4]
-            new.had += values[3] / values[4]
+            loss, n = float(values[0]), float(values[1])
+            new.bias += float(values[2] / values[4])
+            new.had += float(values[3] / values[4])
             continue
         values = values.reshape(-1, model.table.shape[1] + 1)
         new.table[part * SLICE : part * SLICE + len(values)] += values[:, :-1] / np.maximum(values[:, -1:], 1.0)

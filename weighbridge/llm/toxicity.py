@@ -21,7 +21,7 @@ TRAIN_ROWS = 200_000  # labelled rows the model is fitted on at most (sampled by
 LEAST_Z = 4.0  # how far a term's share among toxic texts lies from that among others, in standard deviations
 LEAST_LIFT = 2.0  # how many times as often a term stands in texts of one label as in the others
 LEAST_TEXTS = 4  # toxic texts that hold such a term, or texts of either label that hold any other
-TASK_ROWS = 2_048  # labelled rows at least for each of the tasks that learn all terms
+TASK_ROWS = 16_384  # labelled rows for each of the tasks that learn all terms; a round shuffles as many copies of the model as there are tasks
 RATES = [(0.05, 0.02), (0.003, 0.005)]  # of weights and factors in the steps over all terms; unseen rows choose
 ROUNDS = 4  # of these steps over all rows at most
 EPOCHS = 25
