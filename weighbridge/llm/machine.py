@@ -40,14 +40,14 @@ class Model:
 
     def logits(self, at: np.ndarray, value: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Of rows whose terms and values stand one row after the other."""
-        return _forward(self.bias, self.table[at], value, size)[0]
+        return _forward(self.bias, np.take(self.table, at, axis=0), value, size)[0]
 
     def scores(self, at: np.ndarray, value: np.ndarray, size: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(at, value, size).astype(np.float64), -40, 40)))
 
 
-def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Sum of the values of each row; rows may be empty."""
+def _of_rows(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sum of the values of each row, which stand one row after the other; rows may be empty."""
     out = np.zeros((len(size), *values.shape[1:]), values.dtype)
     some = size > 0
     if some.any():
@@ -55,12 +55,19 @@ def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forward(bias: float, held: np.ndarray, value: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits by the square of the sum less the sum of squares, in linear time; the factors times values, their sums."""
+def _of_terms(values: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the rows of values that have the same number, for numbers below n."""
+    width = values.shape[1]
+    cell = (which * width)[:, None] + np.arange(width)
+    return np.bincount(cell.ravel(), values.ravel(), n * width).reshape(n, width)
+
+
+def _forward(bias: float, held: np.ndarray, value: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits by the square of the sum less the sum of squares, in linear time; the rows' sums of factors times values."""
     crossed = held[:, 1 : 1 + FACTORS] * value[:, None]
-    sums = _sums(crossed, size)
-    squares = _sums(np.einsum("ij,ij->i", crossed, crossed), size)
-    return bias + _sums(held[:, 0] * value, size) + 0.5 * ((sums**2).sum(1) - squares), crossed, sums
+    sums = _of_rows(crossed, size)
+    squares = _of_rows(np.einsum("ij,ij->i", crossed, crossed), size)
+    return bias + _of_rows(held[:, 0] * value, size) + 0.5 * ((sums**2).sum(1) - squares), sums
 
 
 class _Rows:
@@ -83,24 +90,28 @@ class _Rows:
 
 def _step(new: Model, met: np.ndarray, labels: np.ndarray, at: np.ndarray, value: np.ndarray, size: np.ndarray, rates: tuple[float, float]) -> None:
     """One step of AdaGrad on the logistic loss of some rows."""
-    order = np.argsort(at, kind="stable")
-    touched_at = at[order]
-    first = np.flatnonzero(np.r_[True, touched_at[1:] != touched_at[:-1]]) if len(at) else np.zeros(0, np.int64)
-    touched = touched_at[first]
-    z, crossed, sums = _forward(new.bias, new.table[at], value, size)
+    met_now = np.zeros(len(new.table), bool)
+    met_now[at] = True
+    touched = np.flatnonzero(met_now)
+    number = np.zeros(len(new.table), np.int64)
+    number[touched] = np.arange(len(touched))
+    which = number[at]
+    z, sums = _forward(new.bias, np.take(new.table, at, axis=0), value, size)
     g = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / len(labels)).astype(np.float32)
     if len(touched):
         held = new.table[touched]
-        own = (np.repeat(g, size) * value)[order]
-        per_row = np.repeat(g[:, None] * sums, size, axis=0) - np.repeat(g, size)[:, None] * crossed
-        dw = np.add.reduceat(own, first) + 1e-5 * held[:, 0]
-        dv = np.add.reduceat((per_row * value[:, None])[order], first, axis=0) + 1e-4 * held[:, 1 : 1 + FACTORS]
+        own, n = np.repeat(g, size) * value, len(touched)
+        dw = np.bincount(which, own, n) + 1e-5 * held[:, 0]
+        # of a pair: the gradient times both values times the other one's factor, summed as all less the own part
+        crossed = np.repeat(g[:, None] * sums, size, axis=0)
+        crossed *= value[:, None]
+        dv = _of_terms(crossed, which, n) + (1e-4 - np.bincount(which, own * value, n))[:, None] * held[:, 1 : 1 + FACTORS]
         held[:, -2] += dw**2
         held[:, -1] += (dv**2).mean(1)
         held[:, 0] -= rates[0] * dw / np.sqrt(held[:, -2])
         held[:, 1 : 1 + FACTORS] -= rates[1] * dv / np.sqrt(held[:, -1])[:, None]
         new.table[touched] = held
-        met[touched] += np.diff(np.r_[first, len(at)])
+        met[touched] += np.bincount(which, minlength=len(touched))
     new.had += float(g.sum() ** 2)
     new.bias -= rates[0] * float(g.sum()) / np.sqrt(new.had)
 
