@@ -16,6 +16,7 @@ UNSEEN = 8  # one of so many rows gives no gradients
 BATCH, STEPS = 64, 20  # rows of a step; steps over a task's rows at least
 ROWS = 4_096  # rows that a task learns from at once
 PASSES = 2  # over a row in a round
+GAIN = 0.05  # share of the loss that rates have to take away, else the next ones are tried
 
 
 @dataclass
@@ -193,14 +194,17 @@ def learned_round(rows: DataFrame, model: Model, rates: tuple[float, float], see
 
 
 def fitted(rows: DataFrame, start: Model, rates: list[tuple[float, float]], rounds: int, seed: int) -> tuple[Model | None, list[float]]:
-    """The model of least loss on unseen rows after up to ``rounds`` rounds at any of the rates, None
-    where ``start`` is best; and the losses met. Without unseen rows the last one at the first rates.
+    """The model of least loss on unseen rows after up to ``rounds`` rounds, None where ``start`` is best;
+    and the losses met. Rates come in turn until some have lowered the loss by ``GAIN``. Without
+    unseen rows the last model at the first rates.
 
     ``rows(label int, at long, terms binary, value binary)``: numbers of terms as int32, values
     as float32 (null: all 1); ``at``, a hash, tells which rows are unseen. Rows may be empty.
     """
     best, least, losses = None, np.inf, []
-    for k, each in enumerate(rates):
+    for each in rates:
+        if losses and least <= (1 - GAIN) * losses[0]:
+            break
         now, last = start, np.inf
         for turn in range(rounds + 1):
             loss, after = learned_round(rows, now, each, seed + turn)
@@ -218,6 +222,12 @@ def fitted(rows: DataFrame, start: Model, rates: list[tuple[float, float]], roun
     return (None if best is start else best), losses
 
 
+def dealt(rows: DataFrame, n: int, least: int) -> DataFrame:
+    """Rows for as many tasks as there are cores, or fewer with at least ``least`` rows each. A round
+    shuffles as many copies of the model as there are tasks."""
+    return rows.coalesce(max(1, min(n // least, rows.sparkSession.sparkContext.defaultParallelism)))
+
+
 def of_each_label(rows: DataFrame) -> dict[int, int]:
     """Number of rows of label 0 and 1."""
     return {0: 0, 1: 0} | {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}

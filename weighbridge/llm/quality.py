@@ -13,13 +13,13 @@ from pyspark.sql.types import StructType
 
 from weighbridge.llm import words as wd
 from weighbridge.llm.common import JUDGED, named_back, renamed
-from weighbridge.llm.machine import Model, fitted, labelled, of_each_label
+from weighbridge.llm.machine import Model, dealt, fitted, labelled, of_each_label
 from weighbridge.stages import materialize
 
 BITS = 16  # buckets of hashed words and runs of signs
 BINS = 64  # of every statistic and number
 TRAIN_ROWS = 40_000  # labelled rows the machine is fitted on at most (sampled by hash of the id)
-TASK_ROWS = 4_096  # for each of the tasks that learn; a round shuffles as many copies of the model as there are tasks
+TASK_ROWS = 2_048  # labelled rows at least for each of the tasks that learn
 ROUNDS = 12
 RATES = [(0.1, 0.05)]
 SEED = 13
@@ -125,8 +125,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "
     known = materialize(train.mapInArrow(run, "label int, at long, terms binary, value binary"), "labelled")
     total = of_each_label(known)
     start = Model.random(float(np.log((total[1] + 0.5) / (total[0] + 0.5))), (1 << BITS) + BINS * (len(STATISTICS) + len(names)), SEED)
-    tasks = known.coalesce(max(1, (total[0] + total[1]) // TASK_ROWS))
-    best, losses = fitted(tasks, start, RATES, ROUNDS, SEED) if total[0] and total[1] else (None, [])
+    best, losses = fitted(dealt(known, total[0] + total[1], TASK_ROWS), start, RATES, ROUNDS, SEED) if total[0] and total[1] else (None, [])
     if best is None:
         best = Model(start.bias, np.zeros_like(start.table)) if not losses else start
     return Quality(docs.sparkSession.sparkContext.broadcast(best.learned()), metadata, losses)

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from weighbridge.llm import words as wd
 from weighbridge.llm.common import JUDGED, named_back, renamed
-from weighbridge.llm.machine import FACTORS, Model, fitted, labelled, of_each_label
+from weighbridge.llm.machine import FACTORS, Model, dealt, fitted, labelled, of_each_label
 from weighbridge.stages import materialize
 
 BITS = 18
@@ -21,8 +21,8 @@ TRAIN_ROWS = 200_000  # labelled rows the model is fitted on at most (sampled by
 LEAST_Z = 4.0  # how far a term's share among toxic texts lies from that among others, in standard deviations
 LEAST_LIFT = 2.0  # how many times as often a term stands in texts of one label as in the others
 LEAST_TEXTS = 4  # toxic texts that hold such a term, or texts of either label that hold any other
-TASK_ROWS = 16_384  # labelled rows for each of the tasks that learn all terms; a round shuffles as many copies of the model as there are tasks
-RATES = [(0.05, 0.02), (0.003, 0.005)]  # of weights and factors in the steps over all terms; unseen rows choose
+TASK_ROWS = 2_048  # labelled rows at least for each of the tasks that learn all terms
+RATES = [(0.003, 0.005), (0.05, 0.02)]  # of weights and factors in the steps over all terms; the larger ones where the smaller ones gain little
 ROUNDS = 4  # of these steps over all rows at most
 EPOCHS = 25
 STEPS = 20  # of an epoch at least
@@ -183,7 +183,7 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, label: str = "
         return first
     weight, factor = np.zeros(len(every)), np.random.default_rng(SEED).normal(0, 0.01, (len(every), FACTORS))
     weight[told], factor[told] = first.weight, first.factor
-    lists = materialize(_lists(train, wide), "labelled-terms").coalesce(max(1, (total[0] + total[1]) // TASK_ROWS))
+    lists = dealt(materialize(_lists(train, wide), "labelled-terms"), total[0] + total[1], TASK_ROWS)
     best, _ = fitted(lists, Model.start(first.bias, weight, factor), RATES, ROUNDS, SEED)
     return first if best is None else Machine(wide, best.bias, best.table[:, 0], best.table[:, 1 : 1 + FACTORS])
 
