@@ -1,8 +1,9 @@
 """Exact cosine search over the passage store.
 
 Scores are never emitted pair by pair: a numpy block product inside a task is
-cut to the best rows per query at once. ``search`` lays queries and vectors on a
-grid of bounded cells; ``search_within`` is an equi join for one query per group.
+cut to the best rows per query at once. ``search`` groups vectors around pivots and
+leaves out the groups that cannot hold a result of a query; ``search_within`` is an equi
+join for one query per group.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark.sql.types import ArrayType, DoubleType
 from weighbridge.functions.ids import memory_cite_id
 from weighbridge.operators.grouped import top_rows
 from weighbridge.settings import EVIDENCE, LIMITS, VERIFIED
+from weighbridge.stages import materialize
 
 CELL_QUERIES = 2048
-CELL_VECTORS = 16_384  # with 384 dimensions 50 MB a cell
+CELL_VECTORS = 16_384  # with 384 dimensions 50 MB a slice of a cell
+PER_CELL, MOST_CELLS = 512, 1_024  # vectors for a pivot at least; pivots at most (8 MB with 1,024 dimensions)
 SCORES_AT_ONCE = 4_000_000  # 32 MB; a cell stays below 256 MB with its copies
 
 HIT = "question_id string, drawer_id string, similarity double"
@@ -62,10 +65,49 @@ def _best_in_cell(n: int):
     return best
 
 
+def _pivots(drawers: DataFrame, cells: int) -> np.ndarray:
+    """Unit vectors of drawers drawn by hash of the id: ``cells`` at most reach the driver."""
+    drawn = drawers.orderBy(F.xxhash64("drawer_id"), "drawer_id").limit(cells).select(unit_vector("embedding").alias("v")).collect()
+    return np.array([r.v for r in drawn])
+
+
+def _placed(drawers: DataFrame, shared, columns: list[str]) -> DataFrame:
+    """Drawers with unit vector, the nearest pivot's cell, and the cosine to that pivot."""
+
+    @F.pandas_udf("cell int, near double")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        if vectors.empty:
+            return pd.DataFrame({"cell": pd.Series(dtype="int32"), "near": pd.Series(dtype="float64")})
+        scores = np.stack(vectors.to_numpy()) @ shared.value.T
+        return pd.DataFrame({"cell": scores.argmax(axis=1), "near": scores.max(axis=1)})
+
+    rows = drawers.select("drawer_id", unit_vector("embedding").alias("embedding"), *columns)
+    return rows.withColumn("_c", nearest("embedding")).select("*", "_c.cell", "_c.near").drop("_c")
+
+
+def cell_bounds(asked: np.ndarray, pivots: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The most that a query's cosine with any vector of a cell can be: the angle to the pivot less
+    the widest angle inside the cell (``least``: smallest cosine of a member with its pivot)."""
+    angle = np.arccos(np.clip(asked @ pivots.T, -1, 1))
+    return np.cos(np.maximum(angle - np.arccos(np.clip(least, -1, 1))[None], 0.0)) + 1e-9  # rounding of either side
+
+
+def _met(queries: DataFrame, placed: DataFrame, sizes: DataFrame, compare) -> DataFrame:
+    """Results of queries in the cells they ask: ``queries(question_id, query_vector, block, cell, ...)``.
+    A cell's vectors are cut into slices and copied just to the blocks that ask for it."""
+    slices = F.greatest(F.ceil(F.col("size") / CELL_VECTORS).cast("int"), F.lit(1))
+    parts = sizes.select("cell", slices.alias("slices"))
+    q = queries.join(parts, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    wanted = queries.select(F.col("cell").alias("cell"), F.col("block").alias("block")).distinct()  # names of their own, as both sides meet again
+    d = placed.join(parts, "cell").withColumn("slice", F.pmod(F.xxhash64("drawer_id"), F.col("slices")).cast("int")).join(wanted, "cell").drop("slices", "near")
+    keys = ["cell", "block", "slice"]
+    return q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(compare, HIT)
+
+
 def search(
     queries: DataFrame, drawers: DataFrame, n: int = LIMITS.palace_top_k,
     max_distance: float | None = LIMITS.palace_max_distance, since: bool = False,
-    cap_after_top: bool = False,
+    cap_after_top: bool = False, cells: int | None = None,
 ) -> DataFrame:
     """Top ``n`` drawers per query by cosine similarity, with ``distance``.
 
@@ -75,33 +117,67 @@ def search(
     by floor inside the grid. ``cap_after_top`` applies the distance cap after
     the cut to ``n``; the surviving rows are the same either way, since the cap
     only removes the tail of an ordered list.
+
+    Vectors stand around ``cells`` pivots (by default one for ``PER_CELL`` vectors, at most
+    ``MOST_CELLS``). A query meets its nearest cell first; the n-th best similarity there, or the
+    distance cap, is what a vector of another cell has to reach. Cells whose bound
+    (``cell_bounds``) lies below are neither copied nor multiplied for it. Nothing is lost.
     """
-    n_vectors = drawers.count()
-    n_queries = queries.count()
-    slices = max(1, -(-n_vectors // CELL_VECTORS))
+    n_vectors, n_queries = drawers.count(), queries.count()
     blocks = max(1, -(-n_queries // CELL_QUERIES))
     floor = ["since"] if since else []
     # the names differ on the two sides, so both may come from one table
     q = queries.select("question_id", unit_vector("embedding").alias("query_vector"), *floor).withColumn(
         "block", F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int")
-    ).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    d = drawers.select("drawer_id", unit_vector("embedding").alias("embedding"), *(["authored_at"] if since else [])).withColumn(
-        "slice", F.pmod(F.xxhash64("drawer_id"), F.lit(slices)).cast("int")
-    ).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    cell = _best_in_cell(n)
+    )
+    best = _best_in_cell(n)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not since or left.empty or right.empty:
-            return cell(left, right)
+            return best(left, right)
         parts = []
         for day in left["since"].unique():
             mine = left["since"].isna() if pd.isna(day) else left["since"] == day
             fresh = np.ones(len(right), dtype=bool) if pd.isna(day) else (right["authored_at"] >= day).to_numpy(dtype=bool)
-            parts.append(cell(left.loc[mine.to_numpy(dtype=bool)], right.loc[fresh]))
+            parts.append(best(left.loc[mine.to_numpy(dtype=bool)], right.loc[fresh]))
         return pd.concat(parts)
 
-    found = q.groupBy("block", "slice").cogroup(d.groupBy("block", "slice")).applyInPandas(compare, HIT)
-    return _cut(found, n, max_distance)
+    cells = min(MOST_CELLS, max(1, n_vectors // PER_CELL)) if cells is None else cells
+    dated = ["authored_at"] if since else []
+    if cells == 1 or not n_vectors:  # nothing to leave out
+        placed = drawers.select("drawer_id", unit_vector("embedding").alias("embedding"), *dated, F.lit(0).alias("cell"), F.lit(1.0).alias("near"))
+        sizes = drawers.sparkSession.createDataFrame([(0, n_vectors)], "cell int, size bigint")
+        return _cut(_met(q.withColumn("cell", F.lit(0)), placed, sizes, compare), n, max_distance)
+    sc = drawers.sparkSession.sparkContext
+    pivots = _pivots(drawers, cells)
+    placed = materialize(_placed(drawers, sc.broadcast(pivots), dated), "placed-vectors")
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("size"), F.min("near").alias("least"))
+    summary = sizes.toPandas().sort_values("cell")  # a row per pivot
+    shared = sc.broadcast((pivots[summary["cell"].to_numpy()], summary["least"].to_numpy(), summary["cell"].to_numpy()))
+    sizes = materialize(sizes, "cell-sizes")
+
+    @F.pandas_udf("int")
+    def home(vectors: pd.Series) -> pd.Series:
+        near, _, names = shared.value
+        return pd.Series(names[(np.stack(vectors.to_numpy()) @ near.T).argmax(axis=1)] if len(vectors) else [], index=vectors.index, dtype="int32")
+
+    @F.pandas_udf("array<int>")
+    def others(vectors: pd.Series, reached: pd.Series, own: pd.Series) -> pd.Series:
+        near, least, names = shared.value
+        if vectors.empty:
+            return pd.Series([], dtype=object)
+        open_ = cell_bounds(np.stack(vectors.to_numpy()), near, least) >= reached.to_numpy()[:, None]
+        open_ &= names[None] != own.to_numpy()[:, None]
+        return pd.Series([names[x].tolist() for x in open_], index=vectors.index, dtype=object)
+
+    q = materialize(q.withColumn("cell", home("query_vector")), "placed-queries")
+    first = materialize(_met(q, placed, sizes, compare), "nearest-cell")
+    floor_of_cap = -2.0 if not max_distance else 1 - max_distance - 1e-9
+    nth = _cut(first, n, None).where(F.col("position") == n).select("question_id", F.col("similarity").alias("_nth"))
+    reached = F.greatest(F.coalesce("_nth", F.lit(-2.0)), F.lit(floor_of_cap))
+    asked = q.join(nth, "question_id", "left").withColumn("_asked", others("query_vector", reached, "cell"))
+    asked = materialize(asked.withColumn("cell", F.explode("_asked")).drop("_asked", "_nth"), "asked-cells")
+    return _cut(first.unionByName(_met(asked, placed, sizes, compare)), n, max_distance)
 
 
 def search_within(
