@@ -13,6 +13,7 @@ from weighbridge.functions.text import chunk_text, normalize_answer, word_tokens
 from weighbridge.functions.urls import domain_of
 from weighbridge.operators import snapshot as S
 from weighbridge.operators import store as D
+from weighbridge.operators.versions import EntryTable
 from weighbridge.plans import freeze as Z
 from weighbridge.stages import stage_dir
 from weighbridge.streaming.ingest import ingest_stream, stored_drawers
@@ -135,18 +136,19 @@ def replay_check(spark, path):
     return out.withColumn("replays", F.col("replays").cast("int"))
 
 
-# Gold recall: every source is a question, its documents are the evidence; the
-# benchmark items dealt to it are its golds.
+# Gold recall: every benchmark item is a question. Items and documents are dealt to the sources
+# and, within a source, to as many questions as it has items.
 SQL_RECALL = f"""
-gi as (select 'src' || item_id % 20 as source, {normal("text")} as gold, item_id from benchmark),
+k as (select greatest(1, ceil(count(*) / 20))::int as k from benchmark),
+gi as (select 'src' || item_id % 20 || '.' || item_id // 20 as source, {normal("text")} as gold, item_id from benchmark),
 qs as (select source, gold, item_id from gi union all select source, split_part(gold, ' ', 1) || ' ' || split_part(gold, ' ', 2), item_id from gi where item_id % 3 = 0),
-ev as (select source, doc_id, doc_id % 12 as rank, {normal("text")} as t, {normal("lang || ' ' || case when doc_id % 12 > 8 then text else '' end")} as snip from documents),
+ev as (select source || '.' || doc_id % k as source, doc_id, doc_id % 12 as rank, {normal("text")} as t, {normal("lang || ' ' || case when doc_id % 12 > 8 then text else '' end")} as snip from documents, k),
 al as (select source, string_agg(t, ' ' order by rank, doc_id) filter (t <> '') as chunks,
     string_agg(t, ' ' order by rank, doc_id) filter (rank <= 8 and t <> '') as top, string_agg(snip, ' ' order by rank, doc_id) filter (snip <> '') as snips, count(*) as n
   from ev where source in (select source from qs) group by source),
-rec as (select a.source, any_value(a.n) as n, (select length(gold) <= 4 from gi where gi.source = a.source order by item_id limit 1) as short,
-   bool_or(contains(chunks, gold) and gold <> '') as in_chunks, coalesce(bool_or(contains(top, gold) and gold <> ''), false) as in_top,
-   bool_or(contains(snips, gold) and gold <> '') as in_snips from qs join al a using (source) group by a.source)"""
+rec as (select q.source, coalesce(any_value(a.n), 0) as n, (select length(gold) <= 4 from gi where gi.source = q.source order by item_id limit 1) as short,
+   coalesce(bool_or(contains(chunks, gold) and gold <> ''), false) as in_chunks, coalesce(bool_or(contains(top, gold) and gold <> ''), false) as in_top,
+   coalesce(bool_or(contains(snips, gold) and gold <> ''), false) as in_snips from qs q left join al a on a.source = q.source group by q.source)"""
 
 
 def _recall(t: Tables):
@@ -154,10 +156,12 @@ def _recall(t: Tables):
     gold = normalize_answer(F.col("text"))
     pair = F.concat_ws(" ", F.split_part(gold, F.lit(" "), F.lit(1)), F.split_part(gold, F.lit(" "), F.lit(2)))
     own = F.when(item % 3 == 0, F.array("text", pair)).otherwise(F.array("text"))
-    dealt = t.benchmark.select(F.concat(F.lit("src"), (item % 20).cast("string")).alias("question_id"), item, "text", own.alias("own"))
-    questions = dealt.groupBy("question_id").agg(F.min_by("text", "item_id").alias("gold"), F.flatten(F.collect_list("own")).alias("golds"))
+    name = F.concat(F.lit("src"), (item % 20).cast("string"), F.lit("."), F.floor(item / 20).cast("string"))
+    questions = t.benchmark.select(name.alias("question_id"), F.col("text").alias("gold"), own.alias("golds"))
+    parts = max(1, -(-t.benchmark.count() // 20))
     doc = F.col("doc_id")
-    docs = t.documents.withColumnRenamed("source", "question_id").join(questions.select("question_id"), "question_id", "left_semi")
+    dealt = t.documents.withColumn("question_id", F.concat("source", F.lit("."), (doc % parts).cast("string")))
+    docs = dealt.join(questions.select("question_id"), "question_id", "left_semi")
     chunks = docs.select("question_id", (doc % 12).alias("rank"), doc.alias("chunk_index"), "text")
     results = docs.select("question_id", (doc % 12 * 1000000 + doc).alias("rank"), F.col("lang").alias("title"), F.when(doc % 12 > 8, F.col("text")).otherwise("").alias("snippet"))
     return questions, results, chunks
@@ -244,14 +248,17 @@ def filing_counts(spark, path):
   select o_orderkey, count(l_orderkey) as n from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey)""",
 )
 def redone_entries(spark, path):
-    """Questions with few results replaced by their redone version, where there is one."""
+    """Questions with few results replaced in the written table by their redone version, where there is one."""
     t = Tables(spark, path)
     lines = t.lineitem.groupBy(F.col("l_orderkey").alias("question_id")).agg(F.count(F.lit(1)).alias("n"))
     entries = t.orders.select(F.col("o_orderkey").alias("question_id")).join(lines, "question_id", "left").select(
         "question_id", F.coalesce("n", F.lit(0)).alias("n_results")
     )
     redone = entries.where(F.col("question_id") % 2 == 0).withColumn("n_results", F.lit(30).cast("bigint"))
-    return D.replace_below(entries, redone, 3)
+    written = EntryTable(f"{stage_dir(spark)}/entries-{uuid.uuid4().hex}", buckets=8)
+    written.write(entries)
+    written.redo_below(redone, 3)
+    return written.read(spark)
 
 
 @query(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from weighbridge.functions.ids import sha256_text
 from weighbridge.functions.text import is_short_answer, normalize_answer
@@ -11,6 +14,8 @@ from weighbridge.operators.grouped import running_sum
 from weighbridge.settings import LIMITS
 from weighbridge.stages import materialize
 
+GOLD_CHARS = 1 << 20  # characters of the golds of an automaton, about: some 50 MB of a worker
+
 
 def replay(chunks: DataFrame, drawers: DataFrame, strict: bool = True) -> DataFrame:
     """Manifest chunks with their stored text and ``outcome`` ok, stale or missing.
@@ -47,51 +52,92 @@ def replay_check(questions: DataFrame, results: DataFrame, chunks: DataFrame, dr
     )
 
 
+def _automaton(golds: pa.Table) -> ahocorasick.Automaton:
+    """All golds in one automaton; each with the questions that ask for it."""
+    asked: dict[str, set] = {}
+    for question, gold in zip(golds["question_id"].to_pylist(), golds["gold"].to_pylist()):
+        asked.setdefault(gold, set()).add(question)
+    found = ahocorasick.Automaton()
+    for gold, questions in asked.items():
+        found.add_word(gold, questions)
+    found.make_automaton()
+    return found
+
+
+def _states(found: ahocorasick.Automaton, question, text: str) -> bool:
+    """Whether a text holds any of its question's own golds."""
+    return any(question in questions for _, questions in found.iter(text))
+
+
+def _matched(rows: DataFrame, golds: DataFrame, judge, schema: StructType) -> DataFrame:
+    """``judge(automaton, batch)`` over all rows. Questions are dealt into blocks whose golds take
+    about ``GOLD_CHARS`` characters; a task has the automaton of one block, and rows meet just theirs."""
+    spark = rows.sparkSession
+    total = golds.agg(F.sum(F.length("gold"))).first()[0] or 0
+    blocks = 1 + total // GOLD_CHARS
+    out = None
+    for k in range(blocks):
+        mine = F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == k
+        shared = spark.sparkContext.broadcast(golds.where(mine).select("question_id", "gold").toArrow())
+
+        def run(batches, shared=shared):
+            found = _automaton(shared.value)
+            for batch in batches:
+                yield judge(found, batch)
+
+        part = rows.where(mine).mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _ends(found: ahocorasick.Automaton, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Length, verdict and the two ends of every piece; its text stays behind."""
+    size, inside, heads, tails = [], [], [], []
+    for question, g, text in zip(*(batch.column(c).to_pylist() for c in ("question_id", "_g", "_t"))):
+        spaced = f"{text} "
+        size.append(len(spaced))
+        inside.append(_states(found, question, text))
+        heads.append(spaced[: 2 * g])
+        tails.append(spaced[-2 * g :] if len(spaced) > 2 * g else None)
+    columns = [pa.array(size, pa.int32()), pa.array(inside), pa.array(heads, pa.string()), pa.array(tails, pa.string())]
+    return pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "_n", "_inside", "_head", "_tail"])
+
+
+def _across(found: ahocorasick.Automaton, batch: pa.RecordBatch) -> pa.RecordBatch:
+    said = [[_states(found, q, t) for q, t in zip(batch.column(0).to_pylist(), batch.column(c).to_pylist())] for c in ("_text", "_text_in_scope")]
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.bool_()) for x in said]], names=["question_id", "side", "_across", "_across_scope"])
+
+
 def gold_hits(pieces: DataFrame, golds: DataFrame, block: list[str], order: list[str], scope: Column) -> DataFrame:
-    """``question_id, hit, hit_in_scope``: whether any gold occurs in the question's
-    pieces joined in order. Same answer as joining all texts, without doing so.
+    """``question_id, side, hit, hit_in_scope``: whether any gold occurs in the question's
+    pieces of a side joined in order. Same answer as joining all texts, without doing so.
 
-    ``pieces(question_id, block..., order..., text)``, ``golds(question_id, golds)``
-    with normalised golds; ``scope`` marks a prefix of the order. A match lies
-    inside one piece or spans a boundary. Texts are read once; for the
+    ``pieces(question_id, side, block..., order..., text)``, ``golds(question_id, gold)``,
+    normalised, a row each; ``scope`` marks a prefix of the order. A match lies
+    inside one piece or spans a boundary. Texts are read once, by an automaton of all golds; for the
     boundaries only the ends of a piece travel, at most four times the longest
     gold, placed on the character axis of the question in cells of that length.
     """
-    wanted = golds.select(
-        "question_id", F.filter("golds", lambda g: g != "").alias("_golds"),
-        F.array_max(F.transform("golds", F.length)).alias("_g"),
-    ).where(F.col("_g") > 0)
+    golds = materialize(golds.where("gold <> ''").select("question_id", "gold").distinct(), "golds")
+    wanted = golds.groupBy("question_id").agg(F.max(F.length("gold")).alias("_g"))
     texts = pieces.join(wanted, "question_id").select(
-        "question_id", *block, *order, scope.alias("_scope"), "_golds", "_g", normalize_answer(F.col("text")).alias("_t")
+        "question_id", "side", *block, *order, scope.alias("_scope"), "_g", normalize_answer(F.col("text")).alias("_t")
     )
-    n, g, spaced = F.length("_t") + 1, F.col("_g"), F.concat("_t", F.lit(" "))
-    ends = materialize(
-        texts.select(
-            "question_id", *block, *order, "_scope", "_g", n.alias("_n"),
-            F.exists("_golds", lambda gold: F.contains("_t", gold)).alias("_inside"),
-            F.left(spaced, 2 * g).alias("_head"), F.when(n > 2 * g, F.right(spaced, 2 * g)).alias("_tail"),
-        ),
-        "gold_ends",
-    ).where(F.col("_n") > 1)  # blank pieces; dropped here, as the filter would normalise every text again
-    found = ends.groupBy("question_id").agg(
+    new = StructType([StructField("_n", IntegerType()), StructField("_inside", BooleanType()), StructField("_head", StringType()), StructField("_tail", StringType())])
+    ends = materialize(_matched(texts, golds, _ends, StructType(texts.schema.fields[:-1] + new.fields)), "gold_ends")
+    ends = ends.where(F.col("_n") > 1)  # blank pieces
+    keys = ["question_id", "side"]
+    found = ends.groupBy(*keys).agg(
         F.some("_inside").alias("_hit"), F.some(F.col("_inside") & F.col("_scope")).alias("_hit_in_scope")
     )
-    # a question settled inside single pieces needs no look at boundaries
-    unsettled = found.where(~F.col("_hit_in_scope")).select("question_id")
-    placed = running_sum(
-        ends.join(unsettled, "question_id", "left_semi"), ["question_id"], block, [F.asc(c) for c in order], "_n", "_end"
-    )
-
-    def states_gold(text: str) -> Column:
-        return F.some(F.exists("_golds", lambda gold: F.contains(text, gold)))
-
-    around = _boundary_texts(placed).join(wanted.select("question_id", "_golds"), "question_id")
-    across = around.groupBy("question_id").agg(
-        states_gold("_text").alias("_across"), states_gold("_text_in_scope").alias("_across_scope")
-    )
+    # what is settled inside single pieces needs no look at boundaries
+    unsettled = found.where(~F.col("_hit_in_scope")).select(*keys)
+    placed = running_sum(ends.join(unsettled, keys, "left_semi"), keys, block, [F.asc(c) for c in order], "_n", "_end")
+    flags = StructType([texts.schema["question_id"], texts.schema["side"], StructField("_across", BooleanType()), StructField("_across_scope", BooleanType())])
+    across = _matched(_boundary_texts(placed), golds, _across, flags).groupBy(*keys).agg(F.some("_across").alias("_across"), F.some("_across_scope").alias("_across_scope"))
     no = F.lit(False)
-    return found.join(across, "question_id", "left").select(
-        "question_id",
+    return found.join(across, keys, "left").select(
+        *keys,
         (F.col("_hit") | F.coalesce("_across", no)).alias("hit"),
         (F.col("_hit_in_scope") | F.coalesce("_across_scope", no)).alias("hit_in_scope"),
     )
@@ -109,7 +155,7 @@ def _boundary_texts(placed: DataFrame) -> DataFrame:
     near_start = F.sequence(F.floor(start / g), F.least(F.floor((start + g) / g), last))
     near_end = F.sequence(F.floor(F.greatest(start, F.col("_end") - g) / g), last)
     cells = F.explode(F.array_union(near_start, near_end)).alias("_cell")
-    parts = placed.select("question_id", "_scope", "_g", "_n", "_head", "_tail", start.alias("_start"), "_end", cells)
+    parts = placed.select("question_id", "side", "_scope", "_g", "_n", "_head", "_tail", start.alias("_start"), "_end", cells)
     low = F.greatest(F.col("_cell") * g, F.col("_start"))
     high = F.least((F.col("_cell") + 1) * g, F.col("_end"))
     size = (high - low).cast("int")
@@ -117,19 +163,19 @@ def _boundary_texts(placed: DataFrame) -> DataFrame:
     in_tail = F.substring("_tail", (low - F.col("_end") + 2 * g + 1).cast("int"), size)
     part = F.when(high - F.col("_start") <= 2 * g, in_head).otherwise(in_tail)
     pieces = F.array_sort(F.collect_list(F.struct(low.alias("at"), part.alias("part"), "_scope")))
-    filled = parts.groupBy("question_id", "_cell").agg(pieces.alias("_parts"))  # fewer parts than a gold has letters
+    filled = parts.groupBy("question_id", "side", "_cell").agg(pieces.alias("_parts"))  # fewer parts than a gold has letters
 
     def text(rows: Column) -> Column:
         return F.array_join(F.transform(rows, lambda r: r["part"]), "")
 
     cell = filled.select(
-        "question_id", "_cell", text(F.col("_parts")).alias("_text"), text(F.filter("_parts", lambda r: r["_scope"])).alias("_text_in_scope")
+        "question_id", "side", "_cell", text(F.col("_parts")).alias("_text"), text(F.filter("_parts", lambda r: r["_scope"])).alias("_text_in_scope")
     )
     beyond = cell.select(
-        "question_id", (F.col("_cell") - 1).alias("_cell"), F.col("_text").alias("_more"), F.col("_text_in_scope").alias("_more_in_scope")
+        "question_id", "side", (F.col("_cell") - 1).alias("_cell"), F.col("_text").alias("_more"), F.col("_text_in_scope").alias("_more_in_scope")
     )
-    return cell.join(beyond, ["question_id", "_cell"], "left").select(
-        "question_id", F.concat("_text", F.coalesce("_more", F.lit(""))).alias("_text"),
+    return cell.join(beyond, ["question_id", "side", "_cell"], "left").select(
+        "question_id", "side", F.concat("_text", F.coalesce("_more", F.lit(""))).alias("_text"),
         F.concat("_text_in_scope", F.coalesce("_more_in_scope", F.lit(""))).alias("_text_in_scope"),
     )
 
@@ -141,20 +187,16 @@ def recall(questions: DataFrame, results: DataFrame, chunks: DataFrame, top: int
     snippet)``, ``chunks(question_id, rank, chunk_index, text)``.
     """
     listed = F.when(F.size("golds") > 0, F.col("golds")).otherwise(F.array("gold"))
-    single = questions.select("question_id", F.posexplode(listed).alias("_i", "gold")).select(
-        "question_id", normalize_answer(F.col("gold")).alias("gold")
-    )
-    golds = single.groupBy("question_id").agg(F.collect_list("gold").alias("golds"))  # a question's own few golds
+    golds = questions.select("question_id", F.explode(listed).alias("gold")).select("question_id", normalize_answer(F.col("gold")).alias("gold"))
     snippets = results.select(
-        "question_id", "rank",
+        "question_id", F.lit("snippet").alias("side"), "rank", F.lit(0).cast("bigint").alias("_part"), F.lit(0).cast("bigint").alias("chunk_index"),
         F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit(""))).alias("text"),
-        F.lit(0).alias("_at"),
-    )
-    parts = chunks.select("question_id", "rank", F.floor(F.col("chunk_index") / 64).alias("_part"), "chunk_index", "text")
-    in_results = gold_hits(snippets, golds, ["rank"], ["_at"], F.lit(False)).select("question_id", F.col("hit").alias("_snippet"))
-    in_pages = gold_hits(parts, golds, ["rank", "_part"], ["chunk_index"], F.col("rank") <= top).select(
-        "question_id", F.col("hit").alias("in_chunks"), F.col("hit_in_scope").alias("in_top_pages")
     )
+    parts = chunks.select("question_id", F.lit("chunk").alias("side"), "rank", F.floor(F.col("chunk_index") / 64).alias("_part"), F.col("chunk_index").cast("bigint"), "text")
+    in_scope = (F.col("side") == "chunk") & (F.col("rank") <= top)
+    hits = materialize(gold_hits(parts.unionByName(snippets), golds, ["rank", "_part"], ["chunk_index"], in_scope), "gold_hits")
+    in_results = hits.where("side = 'snippet'").select("question_id", F.col("hit").alias("_snippet"))
+    in_pages = hits.where("side = 'chunk'").select("question_id", F.col("hit").alias("in_chunks"), F.col("hit_in_scope").alias("in_top_pages"))
     counts = [
         results.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_results")),
         chunks.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_chunks")),

@@ -23,11 +23,12 @@ def mark_new(arrivals: DataFrame, store: DataFrame, order: list[Column]) -> Data
     Empty text is an error. The first arrival of an id wins.
     """
     new = insert_if_absent(arrivals, store, order).select("drawer_id", F.lit(True).alias("created"))
-    every = first_rows(_checked(arrivals), ["drawer_id"], order)
+    every = first_rows(filed_text(arrivals), ["drawer_id"], order)
     return every.join(new, "drawer_id", "left").withColumn("created", F.coalesce("created", F.lit(False)))
 
 
-def _checked(arrivals: DataFrame) -> DataFrame:
+def filed_text(arrivals: DataFrame) -> DataFrame:
+    """Arrivals with stripped text; an empty one is an error."""
     text = strip(F.coalesce("text", F.lit("")))
     return arrivals.withColumn(
         "text", F.when(text == "", F.raise_error(F.lit("refusing to file an empty drawer"))).otherwise(text)
@@ -37,7 +38,7 @@ def _checked(arrivals: DataFrame) -> DataFrame:
 def insert_if_absent(arrivals: DataFrame, store: DataFrame, order: list[Column]) -> DataFrame:
     """Rows to append: arrivals whose id the store does not hold yet. Only ids of the
     store are read, and they are neither sorted nor made distinct."""
-    unique = first_rows(_checked(arrivals), ["drawer_id"], order)
+    unique = first_rows(filed_text(arrivals), ["drawer_id"], order)
     return unique.join(store.select("drawer_id"), "drawer_id", "left_anti")
 
 
@@ -93,6 +94,16 @@ def quarantine_drawers(gated: DataFrame) -> DataFrame:
 
 def flag_drawers(store: DataFrame, gated: DataFrame, flagged_at: Column) -> DataFrame:
     """The store with recalled drawers that tripped the injection gate marked in place."""
+    old = F.map_filter("meta", lambda k, v: ~k.isin("flagged_injection", "flagged_at"))
+    return (
+        store.join(injection_marks(gated, flagged_at), "drawer_id", "left")
+        .withColumn("meta", F.when(F.col("mark").isNotNull(), F.map_concat(old, "mark")).otherwise(F.col("meta")))
+        .drop("mark")
+    )
+
+
+def injection_marks(gated: DataFrame, flagged_at: Column) -> DataFrame:
+    """``drawer_id, mark``: recalled drawers that tripped the injection gate, with the metadata that says so."""
     hits = (
         gated.where((F.col("reason") == "injection") & (F.col("kind") == "drawer"))
         .groupBy("drawer_id")
@@ -101,12 +112,7 @@ def flag_drawers(store: DataFrame, gated: DataFrame, flagged_at: Column) -> Data
     mark = F.create_map(
         F.lit("flagged_injection"), F.col("_prob").cast("string"), F.lit("flagged_at"), flagged_at.cast("string")
     )
-    old = F.map_filter("meta", lambda k, v: ~k.isin("flagged_injection", "flagged_at"))
-    return (
-        store.join(hits, "drawer_id", "left")
-        .withColumn("meta", F.when(F.col("_prob").isNotNull(), F.map_concat(old, mark)).otherwise(F.col("meta")))
-        .drop("_prob")
-    )
+    return hits.select("drawer_id", mark.alias("mark"))
 
 
 def admit_claims(kept: DataFrame, limits: Limits = LIMITS) -> DataFrame:
