@@ -8,10 +8,16 @@ returns ``cache_key, model, answers, input_tokens, output_tokens, error``, with
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weighbridge.functions.answers import fallback_answer, parse_label, parse_letter, well_formed
@@ -20,6 +26,8 @@ from weighbridge.stages import materialize
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 SCORED = "cache_key string, model string, answers string, input_tokens bigint, output_tokens bigint, error string"
+LOGGED = pa.schema([(n, pa.int64() if n.endswith("tokens") else pa.string()) for n in ("cache_key", "model", "answers", "input_tokens", "output_tokens", "error")])
+LOGGED_ROWS = 64  # requests of a sub-batch
 REPLIED = "cache_key string, model string, reply string, error string"
 
 
@@ -76,16 +84,81 @@ def score_table(requests: DataFrame, cache: DataFrame, scorer: Scorer, fallback:
     return answer_from(requests, cache, new_entries(requests, cache, scorer, fallback, parallelism))
 
 
+def with_log(scorer: Scorer, log: str, rows: int = LOGGED_ROWS) -> Scorer:
+    """The scorer, asked for ``rows`` requests at a time, whose replies are logged before they go on.
+
+    A task writes each sub-batch to ``log/part=<partition>/<attempt>-<number>.parquet``, under another
+    name until it is whole. An attempt first takes what earlier ones of its partition have logged,
+    so a task lost half-way repeats at most one sub-batch. Failed calls are not logged.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = pyarrow.fs.FileSystem.from_uri(log)
+        task = TaskContext.get()
+        folder = f"{base}/part={task.partitionId()}"
+        files.create_dir(folder, recursive=True)
+        whole = [f.path for f in files.get_file_info(pyarrow.fs.FileSelector(folder)) if f.path.endswith(".parquet")]
+        known = pd.concat([pq.read_table(p, filesystem=files, partitioning=None).to_pandas() for p in whole]) if whole else None
+        n = 0
+        for batch in batches:
+            for a in range(0, len(batch), rows):
+                asked = batch.iloc[a : a + rows]
+                if known is not None:
+                    said = known["cache_key"].isin(asked["cache_key"])
+                    if said.any():
+                        yield known[said]
+                        asked = asked[~asked["cache_key"].isin(known.loc[said, "cache_key"])]
+                if asked.empty:
+                    continue
+                replies = pd.concat(list(scorer(iter([asked]))))
+                fine = replies[replies["error"].isna()]
+                if len(fine):
+                    name = f"{folder}/{task.taskAttemptId()}-{n}"
+                    pq.write_table(pa.Table.from_pandas(fine.assign(error=None), LOGGED, preserve_index=False), f"{name}.part", filesystem=files)
+                    files.move(f"{name}.part", f"{name}.parquet")
+                    n += 1
+                yield replies
+
+    return run
+
+
+def _logged_before(spark: SparkSession, log: str) -> DataFrame:
+    """Replies that earlier runs have logged; a reply may be in several files."""
+    try:
+        rows = spark.read.schema(SCORED).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(log)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], SCORED)
+    return rows.dropDuplicates(["cache_key"])
+
+
 def score_and_store(requests: DataFrame, cache_path: str, scorer: Scorer, fallback: str | None = None,
-                    parallelism: int | None = None) -> DataFrame:
+                    parallelism: int | None = None, log: str | None = None) -> DataFrame:
     """As ``score_table``, with fresh answers appended to the cache table first, so a
-    lost executor never causes a second call for a stored answer."""
+    lost executor never causes a second call for a stored answer.
+
+    With ``log``, a folder every executor can write to, replies are also kept as they come: a lost
+    task, or a run that failed, costs at most a sub-batch of calls a second time. What earlier
+    runs have logged is filed first; the folder may be emptied once a run has ended.
+    """
     spark = requests.sparkSession
     schema = "cache_key string, model string, answers string, input_tokens bigint, output_tokens bigint, fallback boolean"
     before = spark.read.schema(schema).parquet(cache_path)
     hit_keys = before.select("cache_key", F.lit(True).alias("cached")).distinct()
     marked = materialize(requests.select("cache_key").distinct().join(hit_keys, "cache_key", "left"), "hits")
-    new_entries(requests, before, scorer, fallback, parallelism).write.mode("append").parquet(cache_path)
+    if log is not None:
+        unfiled = _logged_before(spark, log).where(well_formed(F.col("answers"))).join(before.select("cache_key"), "cache_key", "left_anti")
+        unfiled.drop("error").withColumn("fallback", F.lit(False)).write.mode("append").parquet(cache_path)
+        spark.catalog.refreshByPath(cache_path)
+        before = spark.read.schema(schema).parquet(cache_path)
+        scorer = with_log(scorer, f"{log}/run-{uuid.uuid4().hex}")
+        # written, so that an attempt meets the requests its partition had before
+        requests_left = requests.select("cache_key", "model", "state").join(before.select("cache_key"), "cache_key", "left_anti").dropDuplicates(["cache_key"])
+        asked = materialize(requests_left, "requests")
+    else:
+        asked = requests
+    new_entries(asked, before, scorer, fallback, parallelism).write.mode("append").parquet(cache_path)
     spark.catalog.refreshByPath(cache_path)
     after = spark.read.schema(schema).parquet(cache_path).dropDuplicates(["cache_key"])
     return requests.drop("model").join(after, "cache_key", "left").join(
@@ -121,7 +194,7 @@ def claim_jobs(records: DataFrame) -> DataFrame:
     """Claims to grade: those of answered records that carry a support verdict."""
     live = records.where(~F.coalesce("abstained", F.lit(False)))
     rows = live.select("question_id", "query", "evidence_texts", F.posexplode("claims").alias("pos", "claim"))
-    return rows.where(F.col("claim.choice").isNotNull())
+    return rows.where(F.col("claim.support.choice").isNotNull())
 
 
 def grade_claims(jobs: DataFrame, cache: DataFrame, grader: Scorer, parallelism: int | None = None) -> DataFrame:
