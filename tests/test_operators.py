@@ -6,6 +6,7 @@ import itertools
 import json
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,7 @@ from weighbridge.operators import snapshot as Z
 from weighbridge.operators import spread as H
 from weighbridge.operators import store as D
 from weighbridge.operators import vector as X
+from weighbridge.operators.versions import EntryTable, VersionedStore
 from weighbridge.operators.grouped import dense_index, running_sum, top_rows
 from weighbridge.plans.informativeness import inside_buckets
 
@@ -229,7 +231,7 @@ def test_buckets_report_only_large_enough_classes(spark):
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_gold_hits_equal_a_search_in_the_joined_text(spark, seed):
+def test_gold_hits_equal_a_search_in_the_joined_text(spark, seed, monkeypatch):
     rng = random.Random(seed)
     words = ["aa", "b", "cé", "ddd", "e"]
     pieces, golds = [], []
@@ -238,8 +240,9 @@ def test_gold_hits_equal_a_search_in_the_joined_text(spark, seed):
         texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 1, 2, 3, 30]))) for _ in range(n)]
         pieces += [(q, rank, 0, t) for rank, t in enumerate(texts)]
         golds.append((q, [" ".join(rng.choice(words) for _ in range(rng.randint(3, 8))) for _ in range(2)]))
-    p = spark.createDataFrame(pieces, "question_id int, rank int, at int, text string")
-    g = spark.createDataFrame(golds, "question_id int, golds array<string>").withColumn("golds", F.transform("golds", lambda x: F.regexp_replace(x, "é", "e")))
+    p = spark.createDataFrame(pieces, "question_id int, rank int, at int, text string").withColumn("side", F.lit("chunk"))
+    g = spark.createDataFrame([(q, x) for q, own in golds for x in [*own, ""]], "question_id int, gold string").withColumn("gold", F.regexp_replace("gold", "é", "e"))
+    monkeypatch.setattr(Z, "GOLD_CHARS", 200 if seed % 2 else 1 << 20)  # many automata, or one
     got = {r.question_id: (r.hit, r.hit_in_scope) for r in Z.gold_hits(p, g, ["rank"], ["at"], F.col("rank") < 4).collect()}
     for q, own in golds:
         own = [x.replace("é", "e") for x in own]
@@ -323,6 +326,123 @@ def test_cached_scoring_sends_each_new_request_once(spark, tmp_path):
 
 
 def test_claim_jobs_need_a_verdict_and_an_answer(spark):
-    rows = [("q1", "Q", False, [("t", "supported")]), ("q2", "Q", True, [("t", "supported")]), ("q3", "Q", False, [("t", None)])]
-    df = spark.createDataFrame(rows, "question_id string, query string, abstained boolean, claims array<struct<text:string,choice:string>>").withColumn("evidence_texts", F.create_map(F.lit("a"), F.lit("b")))
+    rows = [("q1", "Q", False, [("t", ("supported",))]), ("q2", "Q", True, [("t", ("supported",))]), ("q3", "Q", False, [("t", (None,))])]
+    df = spark.createDataFrame(rows, "question_id string, query string, abstained boolean, claims array<struct<text:string,support:struct<choice:string>>>").withColumn("evidence_texts", F.create_map(F.lit("a"), F.lit("b")))
     assert [r.question_id for r in V.claim_jobs(df).collect()] == ["q1"]
+
+
+def test_clustered_vectors_skip_cells_and_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 1, (12, 16))
+    x = (centres[rng.integers(0, 12, 600)] + rng.normal(0, 0.15, (600, 16))).astype("float32")
+    x[50] = x[51]
+    drawers = spark.createDataFrame([(f"d{i:03d}", v.tolist(), f"2026-01-{i % 28 + 1:02d}") for i, v in enumerate(x)], "drawer_id string, embedding array<float>, authored_at string")
+    asked = spark.createDataFrame([(f"q{i}", (x[i * 7] + 0.01).tolist(), None if i % 3 == 0 else "2026-01-15") for i in range(60)], "question_id string, embedding array<float>, since string")
+    counted, keep = {}, X.materialize
+
+    def counting(df, name):
+        out = keep(df, name)
+        counted[name] = out.count()
+        return out
+
+    monkeypatch.setattr(X, "materialize", counting)
+    monkeypatch.setattr(X, "CELL_VECTORS", 20)  # many slices
+    unit = x.astype("float64") / np.linalg.norm(x.astype("float64"), axis=1, keepdims=True)
+    for since, cap in ((False, None), (True, 0.3)):
+        got = {}
+        for r in X.search(asked if since else asked.drop("since"), drawers, 5, cap, since=since, cells=12).collect():
+            got.setdefault(r.question_id, []).append((r.position, r.drawer_id))
+        for i in range(60):
+            v = (x[i * 7] + 0.01).astype("float64")
+            scores = np.round(unit @ (v / np.linalg.norm(v)), 12)
+            rows = [k for k in range(600) if not since or i % 3 == 0 or f"2026-01-{k % 28 + 1:02d}" >= "2026-01-15"]
+            best = sorted(rows, key=lambda k: (-scores[k], k))[:5]
+            want = [(p + 1, f"d{k:03d}") for p, k in enumerate(best) if cap is None or 1 - scores[k] <= cap + 1e-12]
+            assert sorted(got.get(f"q{i}", [])) == want
+        assert counted["asked-cells"] < 60 * 11 / 2  # more than half of the cells beside the nearest are left out
+    assert X.search(asked.drop("since"), drawers.limit(0), 5).count() == 0
+    assert X.search(asked.drop("since").limit(0), drawers, 5, cells=4).count() == 0
+
+
+def test_a_failed_run_keeps_the_replies_it_has_paid_for(spark, tmp_path):
+    calls, broken = tmp_path / "calls", tmp_path / "broken"
+    broken.write_text("yes")
+
+    def rule(batch):
+        with open(calls, "a") as f:
+            f.write("".join(f"{k}\n" for k in batch["cache_key"]))
+        if broken.exists() and (batch["cache_key"] == "k150").any():
+            raise RuntimeError("lost")
+        return batch.assign(answers='{"a":{"type":"noul","noul":0.5}}', input_tokens=1, output_tokens=1, error=None)[["cache_key", "model", "answers", "input_tokens", "output_tokens", "error"]]
+
+    rows = spark.createDataFrame([(f"k{i:03d}", "m", "s") for i in range(200)], "cache_key string, model string, state string").coalesce(1)
+    cache, log = str(tmp_path / "cache"), str(tmp_path / "log")
+    spark.createDataFrame([], "cache_key string, model string, answers string, input_tokens bigint, output_tokens bigint, fallback boolean").write.parquet(cache)
+    run = lambda: V.score_and_store(rows, cache, V.column_scorer(rule), parallelism=1, log=log)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    first = calls.read_text().split()
+    broken.unlink()
+    assert run().where("answers is not null").count() == 200
+    again = calls.read_text().split()[len(first) :]
+    assert len(first) > V.LOGGED_ROWS and len(first) + len(again) <= 200 + V.LOGGED_ROWS
+    assert run().where("cached").count() == 200 and len(calls.read_text().split()) == len(first) + len(again)
+
+
+# --- the store in versions ----------------------------------------------------
+
+DRAWER = "drawer_id string, wing string, room string, text string, source_file string, chunk_index int, authored_at string, filed_at string, meta map<string,string>"
+
+
+def drawers_of(spark, *rows):
+    return spark.createDataFrame([(i, "evidence", "r", t, "u", 0, at, "now", {"a": i}) for i, t, at in rows], DRAWER)
+
+
+def test_versions_of_a_store(spark, tmp_path):
+    store = VersionedStore(str(tmp_path / "store"), buckets=4, bits=1 << 10)
+    order = [F.asc_nulls_last("authored_at"), F.asc("text")]
+    assert store.latest(spark) == 0 and store.read(spark).count() == 0
+    assert store.commit(drawers_of(spark, ("a", "late", "2"), ("a", "early", "1"), ("b", "one", "1")), order, stamp="x") == 1
+    marks = spark.createDataFrame([("a", {"flag": "1", "a": "new"})], "drawer_id string, mark map<string,string>")
+    assert store.commit(drawers_of(spark, ("a", "again", "0"), ("c", " new ", "1")), order, marks, stamp="y") == 2
+    assert store.commit(drawers_of(spark, ("z", "never", "0")), order, stamp="y") == 2  # filed once
+    now = {r.drawer_id: (r.text, r.meta, r.snapshot) for r in store.read(spark).collect()}
+    assert now == {"a": ("early", {"a": "new", "flag": "1"}, 1), "b": ("one", {"a": "b"}, 1), "c": ("new", {"a": "c"}, 2)}
+    assert {r.drawer_id: r.meta for r in store.read(spark, 1).collect()} == {"a": {"a": "a"}, "b": {"a": "b"}}
+    # what an attempt without commit has left is not read, and replaced
+    drawers_of(spark, ("q", "half", "1")).withColumn("bucket", F.lit(0)).write.partitionBy("wing", "bucket").parquet(f"{store.path}/drawers/snapshot=3")
+    assert store.read(spark).count() == 3
+    assert store.commit(drawers_of(spark, ("d", "four", "1")), order) == 3 and store.read(spark).count() == 4
+    with pytest.raises(Exception, match="refusing to file an empty drawer"):
+        store.commit(drawers_of(spark, ("e", "  ", "1")), order)
+
+
+def test_filters_prune_the_store(spark, tmp_path):
+    store = VersionedStore(str(tmp_path / "store"), buckets=8, bits=1 << 12)
+    order = [F.asc("text")]
+    store.commit(drawers_of(spark, *[(f"id{i}", "t", "1") for i in range(300)]), order)
+
+    def scanned(ids):
+        fresh = store.fresh(drawers_of(spark, *[(i, "t", "1") for i in ids]), order)
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        return {r.drawer_id for r in fresh.collect()}, re.findall(r"snapshot#\d+ <= \d+\), (\(bucket#\d+ = \d+\)|bucket#\d+ IN \([\d,]+\))", plan)
+
+    new, read = scanned([f"new{i}" for i in range(3)])
+    assert new == {"new0", "new1", "new2"} and not read  # ids beyond any doubt: no look at the store
+    new, read = scanned(["id5", "new7"])
+    assert new == {"new7"} and len(read) == 1 and " = " in read[0]  # one bucket
+    every, _ = scanned([f"id{i}" for i in range(300)] + [f"more{i}" for i in range(500)])
+    assert every == {f"more{i}" for i in range(500)}  # crowded filters doubt more, and lose nothing
+
+
+def test_redone_entries_replace_their_buckets_only(spark, tmp_path):
+    table = EntryTable(str(tmp_path / "entries"), buckets=4)
+    table.write(spark.createDataFrame([(f"q{i}", i % 5, "old") for i in range(40)], "question_id string, n_results int, note string"))
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "entries").glob("bucket=*/*.parquet")}
+    redone = spark.createDataFrame([("q1", 30, "new"), ("q4", 30, "new"), ("q99", 30, "new")], "question_id string, n_results int, note string")
+    replaced = table.redo_below(redone, 3)
+    got = {r.question_id: (r.n_results, r.note) for r in table.read(spark).collect()}
+    assert got == {f"q{i}": (i % 5, "old") for i in range(40)} | {"q1": (30, "new")} and len(replaced) == 1
+    kept = {p.name for p in (tmp_path / "entries").glob("bucket=*/*.parquet")}
+    assert len(set(before) & kept) == len(before) - len([n for n in before if n not in kept]) and set(before) & kept
+    assert table.redo_below(redone, 3) == [] and table.read(spark).count() == 40

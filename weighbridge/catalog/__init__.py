@@ -13,6 +13,7 @@ def load() -> None:
         answer_queries,
         audit_queries,
         inference_queries,
+        judged_queries,
         policy_queries,
         ranking_queries,
         scoring_queries,

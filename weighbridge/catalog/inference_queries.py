@@ -12,11 +12,9 @@ from weighbridge.catalog.snapshot_queries import SQL_CRAWL, SQL_LINKS
 from weighbridge.functions import answers as A
 from weighbridge.functions import ids as I
 from weighbridge.operators import inference as V
-from weighbridge.operators.grouped import top_rows
 from weighbridge.operators.ranking import dedup_results
 from weighbridge.plans import arms as R
 from weighbridge.plans import freeze as Z
-from weighbridge.settings import GATE_QUESTIONS
 from weighbridge.sources.readers import question_bank
 
 
@@ -196,7 +194,7 @@ def graded_claims(spark, path):
 # --- answering arms over the crawled pages ----------------------------------
 
 
-def _inputs(t: Tables):
+def crawl_inputs(t: Tables):
     """Pages as results and chunks, 25 to a question, through the freeze plan."""
     pages, page = t.pages, F.col("page_id")
     question = F.concat(F.lit("q"), F.floor(page / 25).cast("string"))
@@ -215,36 +213,14 @@ def _inputs(t: Tables):
     state = read.select("question_id", "rank", F.col("ok").alias("fetched")).join(counts, ["question_id", "rank"], "left")
     questions = results.select("question_id").distinct().select(
         "question_id", F.concat(F.lit("What about "), "question_id", F.lit("?")).alias("query"), F.lit("2026-09-19").alias("today"),
-        F.lit(False).alias("has_verified_hits"), F.lit(True).alias("force_search"), F.lit(True).alias("force_web"),
+        F.lit(False).alias("has_verified_hits"), F.lit(False).alias("force_search"), F.lit(False).alias("force_web"),
     )
     return questions, results, state, chunks
 
 
-def rule_judge(requests, stage):
-    """A judge as a rule over the request, with no model behind it."""
-    text = F.to_json("state")
-    h = F.conv(F.left(F.md5(text), F.lit(4)), 16, 10).cast("int")
-    if stage == "s1":
-        asked = F.array(*[
-            F.struct(F.lit(q).alias("qid"), ((h * k) % 101 / F.lit(d)).alias("value"))
-            for q, k, d in zip(GATE_QUESTIONS, (1, 3, 7, 11, 13), (60.0, 80.0, 130.0, 140.0, 135.0), strict=True)
-        ])
-    elif stage == "s2":
-        asked = F.array(F.struct(F.lit("evidence_sufficient").alias("qid"), (h % 101 / 60.0).alias("value")), F.struct(F.lit("evidence_conflicts").alias("qid"), (h % 7 / 7.0).alias("value")))
-    elif stage == "s4_answer":
-        asked = F.array(F.struct(F.lit("answer_addresses_query").alias("qid"), (h % 101 / 70.0).alias("value")))
-    elif stage == "s0":
-        asked = F.array(F.struct(F.lit("needs_search").alias("qid"), F.lit(0.9).alias("value")))
-    else:
-        asked = F.array(F.struct(F.lit("support").alias("qid"), F.lit(None).cast("double").alias("value")))
-    rows = requests.select("question_id", "id", F.explode(asked).alias("a"), h.alias("_h")).select("question_id", "id", "a.qid", "a.value", "_h")
-    choice = F.when(F.col("qid") == "support", F.when(F.col("_h") % 4 == 0, "unsupported").otherwise("supported"))
-    return rows.select("question_id", "id", "qid", "value", choice.alias("choice"), F.when(F.col("qid") == "support", (F.col("_h") % 30 + 75) / 100).alias("confidence"))
-
-
 def quoting_generator(prompts, purpose):
     """Answers by quoting the ids it was shown, so the citation rules have work."""
-    ids = F.regexp_extract_all("prompt", F.lit(r"(?m)^\[(r[0-9]+[cs][0-9]*)\] "), F.lit(1))
+    ids = F.regexp_extract_all("prompt", F.lit(r"(?m)^\[([rmp][0-9]+(?:[cs][0-9]*)?)\] "), F.lit(1))
     said = F.transform(ids, lambda i: F.concat(F.lit("Page "), i, F.lit(" states it in 2024 ["), i, F.lit("].")))
     reply = F.concat(F.array_join(said, " "), F.lit(" Perhaps [r99c9]. It was seen in Paris."))
     if purpose == "refine":
@@ -257,7 +233,7 @@ def quoting_generator(prompts, purpose):
 @query("plain_answers", "select 'q' || k as question_id, 'I think: What about q' || k || '?' as answer from (select distinct page_id // 25 as k from pages)")
 def plain_answers(spark, path):
     """The generator alone."""
-    questions, *_ = _inputs(Tables(spark, path))
+    questions, *_ = crawl_inputs(Tables(spark, path))
     return R.plain_arm(questions, quoting_generator).select("question_id", "answer")
 
 
@@ -283,36 +259,8 @@ from (select distinct question_id from results) q left join said s using (questi
 )
 def baseline_answers(spark, path):
     """First pages stuffed to the budget, answered and post-processed."""
-    questions, results, _, chunks = _inputs(Tables(spark, path))
+    questions, results, _, chunks = crawl_inputs(Tables(spark, path))
     out = R.baseline_arm(questions, results, chunks, quoting_generator)
     return out.select(
         "question_id", F.col("abstained").cast("int").alias("abstained"), "answer", "fabricated_citations", F.size("claims").alias("n_claims"), "n_evidence_pages", "n_evidence_chunks", "evidence_tokens"
     )
-
-
-def _run_judged(spark, path, arm):
-    questions, results, pages, chunks = _inputs(Tables(spark, path))
-    stages = R.Stages.open(questions)
-    results, pages, chunks = stages.keep(results, "results"), stages.keep(pages, "pages"), stages.keep(chunks, "chunks")
-
-    def recall(queries):
-        """Second look: the question's later chunks, nearest rank first."""
-        ranked = chunks.join(queries.select("question_id"), "question_id", "left_semi").where(F.col("rank") > 5)
-        hits = top_rows(ranked, ["question_id"], [F.asc("rank"), F.asc("chunk_index")], 10)
-        return hits.select("question_id", "drawer_id", (1 - F.col("rank") / 100).alias("similarity"), "position", "text", "url")
-
-    return R.judged_arm(questions, results, pages, chunks, rule_judge, quoting_generator, recall, arm=arm)
-
-
-@query("judged_answers")
-def judged_answers(spark, path):
-    """The full judged plan with rule-based stand-ins for the models."""
-    records = _run_judged(spark, path, "judged")["records"]
-    return records.select("question_id", "arm", "abstained", "abstain_reason", "answer", "fabricated_citations", F.size("claims").alias("n_claims"), F.size("stripped").alias("n_stripped"))
-
-
-@query("self_judged_answers")
-def self_judged_answers(spark, path):
-    """The same plan under another judge's name."""
-    records = _run_judged(spark, path, "self")["records"]
-    return records.groupBy("arm", "abstain_reason").agg(F.count(F.lit(1)).alias("n"))

@@ -16,11 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weighbridge.functions.citations import postprocess
-from weighbridge.functions.ids import refine_cite_id
 from weighbridge.functions.policy import answer_outcome, claim_verdict, intake, rebuilt_answer, sufficiency
 from weighbridge.functions.text import clean_output, prepare_text, refined_query
 from weighbridge.functions.urls import domain_of, source_type
 from weighbridge.operators.grouped import strict_join, union_all
+from weighbridge.operators.inference import usage_of
 from weighbridge.operators.passages import (
     answer_state,
     cited_passages,
@@ -36,10 +36,13 @@ from weighbridge.operators.passages import (
 )
 from weighbridge.operators.ranking import baseline_evidence, conflict_block, pick_pages, rank_and_select
 from weighbridge.operators.store import admit_claims, quarantine_drawers
+from weighbridge.operators.vector import merge_recalled
+from weighbridge.schemas import SUPPORT
 from weighbridge.settings import CONFLICTS_NOTE, LIMITS, Limits
 from weighbridge.stages import stage_dir
 
-# requests(question_id, id, state) and a stage name -> (question_id, id, qid, value, choice, confidence)
+# requests(question_id, id, state) and a stage name -> (question_id, id, qid, value, choice, confidence), and,
+# where the judge counts them, cached, input_tokens, output_tokens of the request on each of its rows
 Judge = Callable[[DataFrame, str], DataFrame]
 # prompts(question_id, prompt) and a purpose -> (question_id, reply)
 Generator = Callable[[DataFrame, str], DataFrame]
@@ -65,6 +68,26 @@ class Stages:
         return df.sparkSession.read.parquet(path)
 
 
+@dataclass
+class KeptJudge:
+    """A judge whose judgments are written before anything reads them, with what its requests used."""
+
+    judge: Judge
+    stages: Stages
+    asked: list[tuple[str, DataFrame]]
+
+    def __call__(self, requests: DataFrame, stage: str) -> DataFrame:
+        judged = self.stages.keep(self.judge(requests, stage), f"judgments_{len(self.asked)}_{stage}")
+        self.asked.append((stage, judged))
+        return judged
+
+    def usage(self) -> DataFrame | None:
+        """One row per request, from judges that count."""
+        counted = [(s, j) for s, j in self.asked if "input_tokens" in j.columns]
+        rows = [usage_of(j.dropDuplicates(["question_id", "id"]), F.lit(s.split("_")[0])) for s, j in counted]
+        return union_all(rows) if rows else None
+
+
 def plain_arm(questions: DataFrame, generator: Generator) -> DataFrame:
     """The generator alone: the question is the prompt, nothing is cited, nothing declined."""
     replies = generator(questions.select("question_id", F.col("query").alias("prompt")), "plain")
@@ -173,6 +196,7 @@ def _sufficient(queries: DataFrame, selected: DataFrame, judge: Judge, round_ind
     verdict = sufficiency(
         F.col("evidence_sufficient_value"), F.col("evidence_conflicts_value"), F.lit(round_index), limits
     )
+    wide = strict_join(states.select("question_id"), wide, ["question_id"], "evidence without sufficiency answers")
     return queries.select("question_id").join(wide, "question_id", "left").withColumn("s2", verdict).select("question_id", "s2.*")
 
 
@@ -186,7 +210,9 @@ def judged_arm(
     ``memory`` answers the recall lane: questions whose intake wants the store get its
     hits as passages, which are judged like any other. What the run leaves for the
     store is returned, not written: ``memory_writes`` (admitted claims), ``quarantine``
-    (injected chunks) and ``gated_memory``, from which ``flag_drawers`` marks drawers.
+    (injected chunks) and ``gated_memory``, from which ``flag_drawers`` marks drawers
+    (``plans.memory`` writes them as the store's next version). Records have the shape of
+    result files, so threshold replay reads them; ``usage`` has a row per judge request.
 
     ``questions(question_id, query, today, has_verified_hits, force_search,
     force_web)``, ``results(question_id, rank, url, title, snippet, engines)``,
@@ -195,6 +221,7 @@ def judged_arm(
     judge and ``arm`` name to compare judges.
     """
     stages = Stages.open(questions)
+    judge = KeptJudge(judge, stages, [])
     s0 = stages.keep(_intake(questions, judge, limits), "s0")
     queries = s0.where(F.col("s0.retrieve")).select("question_id", "query")
     web = s0.where(F.col("s0.retrieve") & F.col("s0.source").isin("web", "both")).select("question_id")
@@ -231,7 +258,7 @@ def judged_arm(
         "question_id", F.concat(F.lit("QUESTION: "), F.col("query")).alias("prompt")
     )
     refined = stages.keep(
-        again.join(generator(asked, "refine"), "question_id").select(
+        strict_join(again, generator(asked, "refine"), ["question_id"], "question without another query").select(
             "question_id", refined_query(F.col("reply"), F.col("query")).alias("query")
         ),
         "refined",
@@ -239,7 +266,7 @@ def judged_arm(
     rows = usable
     if recall is not None:
         hits = stages.keep(recall(refined), "hits")
-        rows = stages.keep(_fold_hits(rows, judged, hits, results, chunks, queries, judge, limits), "after_refine")
+        rows = stages.keep(_fold_hits(rows, judged, hits, results, chunks, queries, judge, stages, limits), "after_refine")
     evidence, conflicts = split(rows.join(again.select("question_id"), "question_id", "left_semi"))
     selected1 = stages.keep(_selected(evidence, limits), "selected1")
     round1 = stages.keep(_sufficient(again, selected1, judge, 1, limits), "s2_round1")
@@ -258,6 +285,9 @@ def judged_arm(
     records, kept = _verified(base, replies, judge, stages, limits)
     plain = plain_arm(unsearched, generator)
     everything = union_all([records, plain]).withColumn("arm", F.lit(arm))
+    for name in ("claims", "stripped", "citations"):
+        everything = everything.withColumn(name, F.coalesce(name, F.array().cast(everything.schema[name].dataType)))
+    everything = strict_join(everything, questions.select("question_id", "query"), ["question_id"], "record without question")
     # passages of a question are bounded by the policy, so are the entries of its map
     drawers = rows.where(F.col("drawer_id").isNotNull()).select("question_id", "id", "drawer_id").distinct()
     maps = drawers.groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("id", "drawer_id"))).alias("cite_to_drawer"))
@@ -266,29 +296,29 @@ def judged_arm(
         "*", F.lit(arm).alias("arm"), F.lit(judge_model).alias("judge_model")), limits)
     return {
         "memory_writes": writes, "quarantine": quarantine_drawers(gated_chunks), "gated_memory": gated_memory,
-        "records": everything, "kept_claims": kept, "gated_snippets": gated_snippets, "picked": picked,
+        "usage": judge.usage(), "records": everything, "kept_claims": kept, "gated_snippets": gated_snippets, "picked": picked,
         "gated_chunks": gated_chunks, "selected": selected, "s2": round0.withColumn("round", F.lit(0)).unionByName(round1.withColumn("round", F.lit(1))),
     }
 
 
 def _fold_hits(usable: DataFrame, judged: DataFrame, hits: DataFrame, results: DataFrame, chunks: DataFrame,
-               queries: DataFrame, judge: Judge, limits: Limits) -> DataFrame:
+               queries: DataFrame, judge: Judge, stages: Stages, limits: Limits) -> DataFrame:
     """Usable passages after the refinement hits: similarities added, new passages judged."""
-    known = chunks.select("question_id", "drawer_id", F.col("cite_id").alias("id"))
-    placed = hits.join(known, ["question_id", "drawer_id"], "left")
-    seen = judged.select("question_id", "id")
-    gained = placed.join(seen, ["question_id", "id"], "left_semi").groupBy("question_id", "id").agg(F.max("similarity").alias("_sim"))
+    placed = stages.keep(merge_recalled(judged.select("question_id", "id"), hits, chunks), "placed_hits")
+    gained = placed.where(F.col("action") == "keep_verdict").groupBy("question_id", "id").agg(F.max("similarity").alias("_sim"))
     updated = usable.join(gained, ["question_id", "id"], "left").withColumn(
         "similarity", F.coalesce("_sim", "similarity")
     ).withColumn("lane", F.when(F.col("_sim").isNotNull(), "both").otherwise(F.col("lane"))).drop("_sim")
 
-    fresh = placed.join(seen, ["question_id", "id"], "left_anti")
+    unread = placed.where(F.col("action") == "judge_chunk").select("question_id", "drawer_id", "similarity")
     from_chunks = chunk_passages(
-        chunks.join(fresh.where(F.col("id").isNotNull()).select("question_id", "drawer_id"), ["question_id", "drawer_id"], "left_semi"), results
-    ).join(fresh.select("question_id", "drawer_id", "similarity"), ["question_id", "drawer_id"]).withColumn("lane", F.lit("palace"))
+        chunks.join(unread.select("question_id", "drawer_id"), ["question_id", "drawer_id"], "left_semi"), results
+    ).join(unread, ["question_id", "drawer_id"]).withColumn("lane", F.lit("palace"))
+    strange = placed.where(F.col("action") == "judge_drawer").select("question_id", "drawer_id", "id", "similarity")
+    strange = strange.join(hits.select("question_id", "drawer_id", "text", "url"), ["question_id", "drawer_id"])
     domain = F.when(F.col("url").isNotNull(), domain_of(F.col("url"))).otherwise("palace")
-    from_store = fresh.where(F.col("id").isNull()).select(
-        "question_id", refine_cite_id(F.col("position")).alias("id"), prepare_text(F.col("text")).alias("text"),
+    from_store = strange.select(
+        "question_id", "id", prepare_text(F.col("text")).alias("text"),
         domain.alias("title"), domain.alias("domain"), source_type(domain).alias("source_type"),
         F.lit("drawer").alias("kind"), F.lit("palace").alias("lane"), "drawer_id", "similarity",
         F.lit(None).cast("int").alias("engine_rank"), F.lit(0).alias("n_engines"), "url",
@@ -320,6 +350,16 @@ def _prompts(s0: DataFrame, verdicts: DataFrame, selected: DataFrame, block: Dat
     )
 
 
+def _support(verdict: Column) -> Column:
+    probabilities = F.lit(None).cast("map<string,double>")
+    return F.struct(verdict["choice"].alias("choice"), verdict["confidence"].alias("confidence"), probabilities.alias("probabilities"))
+
+
+def _claim(verdict: Column) -> Column:
+    """A claim as result records hold it, with the judge's support."""
+    return F.struct(verdict["text"].alias("text"), verdict["citations"].alias("citations"), _support(verdict).alias("support"))
+
+
 def _verified(base: DataFrame, replies: DataFrame, judge: Judge, stages: Stages, limits: Limits) -> tuple[DataFrame, DataFrame]:
     """Generated answers after citation rules and per-claim verification."""
     asked = base.where(F.col("action") != "abstain")
@@ -364,20 +404,21 @@ def _verified(base: DataFrame, replies: DataFrame, judge: Judge, stages: Stages,
         F.when(declined, "generator_insufficient_evidence").otherwise(F.col("o.abstain_reason")).alias("abstain_reason"),
         F.when(declined, "").otherwise(F.col("o.answer")).alias("answer"),
         F.col("reply").alias("answer_raw"),
-        F.when(declined, F.filter("kept", lambda v: F.lit(False))).otherwise(F.col("kept")).alias("claims"),
+        F.transform(F.when(declined, F.filter("kept", lambda v: F.lit(False))).otherwise(F.col("kept")), _claim).alias("claims"),
         F.sort_array(F.array_distinct(F.flatten(F.transform("kept", lambda v: v["citations"])))).alias("citations"),
         F.concat(
-            F.transform("p.stripped", lambda s: F.struct(s["sentence"].alias("sentence"), s["reason"].alias("reason"))),
+            F.transform("p.stripped", lambda s: F.struct(s["sentence"].alias("sentence"), s["reason"].alias("reason"), F.lit(None).cast(SUPPORT).alias("support"))),
             F.transform(
                 F.filter("removed", lambda v: v["verdict"] == "strip"),
-                lambda v: F.struct(v["text"].alias("sentence"), v["reason"].alias("reason")),
+                lambda v: F.struct(v["text"].alias("sentence"), v["reason"].alias("reason"), _support(v).alias("support")),
             ),
         ).alias("stripped"),
         F.col("p.fabricated_citations").alias("fabricated_citations"),
         "evidence_ids",
+        "evidence_texts",
     )
     short = base.where(F.col("action") == "abstain").select(
         "question_id", F.lit(True).alias("abstained"), F.lit("insufficient_evidence").alias("abstain_reason"),
-        F.lit("").alias("answer"), F.lit("").alias("answer_raw"), F.lit(0).alias("fabricated_citations"), "evidence_ids",
+        F.lit("").alias("answer"), F.lit("").alias("answer_raw"), F.lit(0).alias("fabricated_citations"), "evidence_ids", "evidence_texts",
     )
     return union_all([stages.keep(done, "records"), short]), checked.where(F.col("verdict") == "keep")
