@@ -39,7 +39,7 @@ select grp, question_id, id, rank() over (partition by grp order by evidence des
 def rank_lists_hot_groups(spark, path):
     """Seven groups that each hold a seventh of all rows: ranked from key counts."""
     rows = candidates(Tables(spark, path)).select(F.col("line").alias("grp"), "question_id", "id", "evidence", "similarity")
-    ranked = competition_ranks(rows, ["grp"], R.rank_lists()[1:], hot_rows=100)
+    ranked = competition_ranks(rows, ["grp"], R.rank_lists()[1:])
     return ranked.select("grp", "question_id", "id", "evidence_rank", "memory_rank")
 
 

@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 
 from weighbridge.stages import materialize
 
-HOT_ROWS = 1_000_000  # rows of a group above which it is ranked by counts of its keys
-
-
 def top_rows(df: DataFrame, group: list[str], order: list[Column], k: int, out: str = "position") -> DataFrame:
     """First ``k`` rows of every group with their 1-based position."""
     window = W.partitionBy(*group).orderBy(*order)
@@ -77,39 +74,37 @@ class RankList:
         return F.col(self.keys[0][0]).isNotNull()
 
 
-def _ranks_from_counts(df: DataFrame, group: list[str], ranks: RankList) -> DataFrame:
-    """Rank per distinct key: 1 + rows with better keys."""
-    keys = [k for k, _ in ranks.keys]
-    counts = df.where(ranks.present()).groupBy(*group, *keys).agg(F.count(F.lit(1)).alias("_n"))
-    better = sum_before(counts, group, ranks.order(), "_n", "_better")
-    return better.select(*group, *keys, (1 + F.col("_better")).cast("int").alias(ranks.out))
+def _places(ranks: RankList) -> list[Column]:
+    """The list's keys as numbers that ascend, best first; what is NULL comes last."""
+    last = F.lit(float("inf"))
+    keys = [F.coalesce((-F.col(k) if down else F.col(k)).cast("double"), last) for k, down in ranks.keys]
+    return [*keys, *[F.lit(0.0)] * (2 - len(keys))]
 
 
-def competition_ranks(
-    df: DataFrame, group: list[str], lists: list[RankList], hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Add 1, 2, 2, 4 ranks for every list; NULL where a row is not in the list.
+def competition_ranks(df: DataFrame, group: list[str], lists: list[RankList]) -> DataFrame:
+    """Add 1, 2, 2, 4 ranks for every list of one or two numeric keys; NULL where a row is not in the list.
 
-    Groups of up to ``hot_rows`` rows are ranked by windows, larger ones from counts
-    of their distinct keys. Both branches are in the plan at every size; which groups
-    are large stays a table of at most one row per ``hot_rows`` rows.
+    A rank is one more than the rows of better keys, so only distinct keys with
+    their counts are put in order, those of all lists by one range shuffle into even
+    stretches (``sum_before``). However many rows a group or a key has, they meet a table
+    that has their key once.
     """
-    df = materialize(df, "candidates")
-    large = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*group)
-    large = materialize(large, "large-groups")
-    ordinary, hot = df.join(large, group, "left_anti"), df.join(large, group, "left_semi")
-    for ranks in lists:  # one shuffle by group serves all lists
-        over = W.partitionBy(*group).orderBy(*ranks.order())
-        ordinary = ordinary.withColumn(ranks.out, F.when(ranks.present(), F.rank().over(over)))
-    hot = materialize(hot, "large-group-rows")
-    for ranks in lists:
-        table = _ranks_from_counts(hot, group, ranks)
-        named = table.select(*[F.col(c).alias(f"_r_{c}") for c in [*group, *(k for k, _ in ranks.keys)]], ranks.out)
-        same = F.lit(True)
-        for c in [*group, *(k for k, _ in ranks.keys)]:  # a key beyond the first may be NULL
-            same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-        hot = hot.join(named, same, "left").select(*hot.columns, ranks.out)
-    return ordinary.unionByName(hot.select(*ordinary.columns))
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("_list"), *[p.alias(f"_p{j}") for j, p in enumerate(_places(r))], r.present().alias("_in")) for i, r in enumerate(lists)
+    ])
+    listed = df.select(*group, F.explode(entries).alias("_e")).select(*group, "_e.*").where("_in")
+    keys = [*group, "_list", "_p0", "_p1"]
+    counts = listed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    better = sum_before(counts, [*group, "_list"], [F.asc("_p0"), F.asc("_p1")], "_n", "_better")
+    ranked = df
+    for i, ranks in enumerate(lists):
+        mine = better.where(F.col("_list") == i).select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], F.col("_p0"), F.col("_p1"), (1 + F.col("_better")).cast("int").alias("_rank"))
+        first, second = _places(ranks)
+        same = ranks.present() & (first == F.col("_p0")) & (second == F.col("_p1"))
+        for k, g in enumerate(group):
+            same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+        ranked = ranked.join(mine, same, "left").withColumn(ranks.out, F.col("_rank")).drop("_p0", "_p1", "_rank", *[f"_g{k}" for k in range(len(group))])
+    return ranked
 
 
 def running_sum(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from weighbridge.functions.text import count_tokens
 from weighbridge.functions.urls import canonical_url
 from weighbridge.operators.grouped import (
-    HOT_ROWS,
     RankList,
     competition_ranks,
     first_rows,
@@ -33,14 +32,14 @@ def rank_lists() -> list[RankList]:
     ]
 
 
-def fuse(candidates: DataFrame, k: int = LIMITS.rrf_k, hot_rows: int = HOT_ROWS) -> DataFrame:
+def fuse(candidates: DataFrame, k: int = LIMITS.rrf_k) -> DataFrame:
     """Fused score of every candidate over the three rank lists.
 
     Needs ``question_id, id, engine_rank, n_engines, similarity, evidence``. A
     list a candidate is absent from adds nothing; one absent from all is not
     ranked at all and drops out.
     """
-    ranked = competition_ranks(candidates, ["question_id"], rank_lists(), hot_rows)
+    ranked = competition_ranks(candidates, ["question_id"], rank_lists())
     names = [r.out for r in rank_lists()]
     share = [F.coalesce(F.lit(1.0) / (F.lit(k) + F.col(n)), F.lit(0.0)) for n in names]
     return (
