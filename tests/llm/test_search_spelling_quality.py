@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weighbridge.llm import lexical_search, machine, quality, spelling, toxicity
+from weighbridge.llm import language_id, lexical_search, machine, quality, spelling, toxicity
 from weighbridge.llm import words as wd
 from weighbridge.llm.common import fold
 
@@ -293,3 +293,40 @@ def test_structure_counts_the_whole_text(monkeypatch):
         again = quality.features(t, (3.0, None))
         assert (again[0] == at).all() and (again[1] == value).all()
     assert not np.array_equal(before[3][0], quality.features(("x " * 5000).encode(), (3.0, None))[0])
+
+
+# --- languages -----------------------------------------------------------------
+
+
+def plain_mixture(likely, share, rounds):
+    """Expectation-maximisation word by word."""
+    for _ in range(rounds):
+        new = [0.0] * len(share)
+        for word in likely:
+            mass = [s * math.exp(x - max(word)) for s, x in zip(share, word)]
+            for k, m in enumerate(mass):
+                new[k] += m / sum(mass) / len(likely)
+        done = max(abs(a - b) for a, b in zip(new, share)) < 1e-4
+        share = new
+        if done:
+            break
+    value = sum(math.log(sum(s * math.exp(x) for s, x in zip(share, word))) for word in likely)
+    return share, value
+
+
+def test_languages_as_by_a_plain_mixture(monkeypatch):
+    rng = np.random.default_rng(4)
+    model = language_id.Model(["aa", "bb", "cc"], rng.normal(-8, 1.5, (1 << language_id.BITS, 3)).astype(np.float32), np.zeros(3))
+    for n in (1, 3, 40):
+        text = " ".join("".join(rng.choice(list("abcdeéß"), rng.integers(1, 9))) for _ in range(n)) + ". 12 " * 3
+        likely = language_id._word_likelihoods(text, model=model) * language_id.TEMPER
+        share, value = language_id._mixture(likely, np.full(3, 1 / 3), language_id.ROUNDS)
+        want, want_value = plain_mixture(likely.tolist(), [1 / 3] * 3, language_id.ROUNDS)
+        assert np.allclose(share, want, atol=1e-9) and math.isclose(value, want_value, rel_tol=1e-9)
+        whole = language_id.infer(text, model)
+        for stretch in (1, 5, 17):
+            monkeypatch.setattr(language_id, "STRETCH", stretch)
+            cut = language_id.infer(text, model)
+            assert (cut[0] == whole[0]).all() and np.allclose(cut[1], whole[1])
+            assert "".join(part for part, _ in language_id._stretches(text)) == text
+        monkeypatch.setattr(language_id, "STRETCH", 1 << 18)
