@@ -57,9 +57,10 @@ def mix(
     Every document of a source expects target / source size copies. Expected
     copies are summed up along the source, one random offset per source is added,
     and a document is taken once per integer its stretch crosses, so it gets the
-    expected number rounded down or up. Documents stand in order of size, the largest first
-    (then by hash of the id and of the text): neighbours are alike, so whatever the offset, the
-    words taken miss the target by less than the largest document has.
+    expected number rounded down or up. Half of the documents (by hash) stand in rising, then the other
+    half in falling order of size (then by hash of the id and of the text). Neighbours are alike and
+    both ends are small, so that whatever the offset, what is taken too much of one is taken too little of the
+    next, and the words taken come near the target.
 
     Columns needed: doc_id, text, source; others pass through, and a column with
     the name of a new one is replaced. Null text has size 0 and is taken as
@@ -74,7 +75,9 @@ def mix(
     rows = docs.drop("size", "_digest").withColumn("size", words("text")).withColumn("_digest", digest).select(*needed, "size", "_digest")
     targets = source_targets(docs.select("source", words("text").alias("size")), weights, budget, most)
     spread = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    placed = ordered_positions(rows, ["source"], [F.desc("size"), spread, F.col("_digest")], "_place", "placed")
+    falling = spread >= F.lit("8")  # half of the documents, by hash
+    order = [falling, F.when(falling, -F.col("size")).otherwise(F.col("size")), spread, F.col("_digest")]
+    placed = ordered_positions(rows, ["source"], order, "_place", "placed")
     name = F.concat(F.coalesce(F.col("source"), F.lit("")), F.when(F.col("source").isNull(), "-").otherwise("+"))
     drawn = F.md5(F.concat(F.lit(f"{seed}|"), name).cast("binary"))
     each = targets.select(

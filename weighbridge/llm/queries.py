@@ -125,7 +125,8 @@ with sized as (
 targets as (
   select source, source_size, least(stop, coalesce((select level from chosen), 1e300) * w)::double as target from stops
 ), placed as (
-  select *, row_number() over (partition by source order by size desc, md5(coalesce(doc_id::varchar, '')), digest) as place from sized
+  select *, row_number() over (partition by source order by m >= '8', case when m >= '8' then -size else size end, m, digest) as place
+  from (select *, md5(coalesce(doc_id::varchar, '')) as m from sized)
 ), drawn as (
   select *, case when source_size > 0 then target / source_size else 0 end as each,
          ('0x' || substr(md5('20|' || coalesce(source, '') || case when source is null then '-' else '+' end), 1, 8))::bigint / 4294967296::double as o
