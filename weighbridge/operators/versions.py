@@ -1,14 +1,15 @@
 """The passage store in versions, and entry tables whose buckets are replaced.
 
-A store is a folder of append-only versions. Version n is ``drawers/snapshot=n``, laid
-out by wing and id bucket, ``marks/snapshot=n`` (what later versions say about a
-drawer's metadata), ``filters/snapshot=n`` (which ids the store may hold) and, written
-last, ``commits/snapshot=n``: what has no commit is not read, and is replaced by the next
-attempt. Reading as of a version prunes to the versions up to it.
+A store is a folder of append-only versions. Each attempt at version n writes folders of its
+own, ``drawers/snapshot=n/attempt=a``, laid out by wing and id bucket, ``marks/...`` (what the
+version says about drawers' metadata), ``filters/...`` (which ids the store may hold) and, last,
+``commits/snapshot=n``, which names the attempt: what no commit names is not read. Reading as
+of a version prunes to the attempts that made it.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,9 @@ from weighbridge.operators.grouped import first_rows
 from weighbridge.operators.store import filed_text, replace_below
 from weighbridge.stages import materialize
 
-STORED = f"{schemas.DRAWERS}, snapshot int, bucket int"
+STORED = f"{schemas.DRAWERS}, snapshot int, attempt string, bucket int"
+COMMITS = "attempt string, stamp string, n_drawers bigint, n_marks bigint, snapshot int"
+MARKS = "drawer_id string, mark map<string,string>, snapshot int, attempt string"
 PROBES = 4  # bits of an id in its bucket's filter
 
 
@@ -45,8 +48,14 @@ class VersionedStore:
             return spark.createDataFrame([], schema)
 
     def commits(self, spark: SparkSession) -> DataFrame:
-        """``snapshot, stamp, n_drawers, n_marks`` of every version."""
-        return self._read(spark, "commits", "stamp string, n_drawers bigint, n_marks bigint, snapshot int")
+        """``snapshot, attempt, stamp, n_drawers, n_marks`` of every version. Should two writers have
+        committed one version at the same moment, the attempt that sorts first is it."""
+        found = self._read(spark, "commits", COMMITS)
+        return first_rows(found, ["snapshot"], [F.asc("attempt")])
+
+    def _attempts(self, spark: SparkSession, at: int) -> list[str]:
+        """The attempts that made the versions up to one: a name per version."""
+        return [r.attempt for r in self.commits(spark).where(F.col("snapshot") <= at).select("attempt").collect()]
 
     def latest(self, spark: SparkSession) -> int:
         """Number of the last version, 0 for a store without any."""
@@ -57,13 +66,14 @@ class VersionedStore:
 
         A drawer's metadata is that of its filing, then the latest mark up to the version."""
         at = self.latest(spark) if at is None else at
-        drawers = self._read(spark, "drawers", STORED).where(F.col("snapshot") <= at)
-        marks = self._read(spark, "marks", "drawer_id string, mark map<string,string>, snapshot int").where(F.col("snapshot") <= at)
+        made = F.col("attempt").isin(self._attempts(spark, at))
+        drawers = self._read(spark, "drawers", STORED).where(made)
+        marks = self._read(spark, "marks", MARKS).where(made)
         last = marks.groupBy("drawer_id").agg(F.max(F.struct("snapshot", F.map_entries("mark").alias("mark")))["mark"].alias("_mark"))
         new = F.map_from_entries("_mark")
         old = F.map_filter(F.coalesce("meta", F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys(new), k))
         marked = drawers.join(last, "drawer_id", "left")
-        return marked.withColumn("meta", F.when(F.col("_mark").isNotNull(), F.map_concat(old, new)).otherwise(F.col("meta"))).drop("_mark", "bucket")
+        return marked.withColumn("meta", F.when(F.col("_mark").isNotNull(), F.map_concat(old, new)).otherwise(F.col("meta"))).drop("_mark", "bucket", "attempt")
 
     def _bucket(self, key: str = "drawer_id") -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
@@ -73,7 +83,9 @@ class VersionedStore:
 
     def _filters(self, spark: SparkSession, at: int) -> DataFrame:
         """``bucket, word, mask``: the words of 64 bits that hold a set one."""
-        return self._read(spark, "filters", "bucket int, word int, mask bigint, snapshot int").where(F.col("snapshot") == at).drop("snapshot")
+        made = self.commits(spark).where(F.col("snapshot") == at).select("attempt").collect()
+        every = self._read(spark, "filters", "bucket int, word int, mask bigint, snapshot int, attempt string")
+        return every.where(F.col("attempt").isin([r.attempt for r in made])).drop("snapshot", "attempt")
 
     def fresh(self, arrivals: DataFrame, order: list[Column], at: int | None = None) -> DataFrame:
         """Rows to file: the first arrival of every id the store does not hold as of a version.
@@ -103,7 +115,7 @@ class VersionedStore:
         doubted = [r.bucket for r in tested.where("_maybe").select("bucket").distinct().collect()]  # at most ``buckets``
         new = tested.where("not _maybe")
         if doubted:
-            stored = self._read(spark, "drawers", STORED).where((F.col("snapshot") <= at) & F.col("bucket").isin(doubted))
+            stored = self._read(spark, "drawers", STORED).where(F.col("attempt").isin(self._attempts(spark, at)) & F.col("bucket").isin(doubted))
             new = new.unionByName(tested.where("_maybe").join(stored.select("drawer_id"), "drawer_id", "left_anti"))
         return new.drop("_maybe")
 
@@ -111,31 +123,33 @@ class VersionedStore:
         """Files arrivals the store lacks, and ``marks(drawer_id, mark)``, as the next version; its number.
 
         A non-empty ``stamp`` is filed once: the version that has it is returned instead. Of two
-        writers of one version the second one's commit fails and nothing of it is read.
+        writers of one version one fails, and nothing of it is read.
         """
         spark = arrivals.sparkSession
         done = self.commits(spark).where((F.col("stamp") == stamp) & (F.col("stamp") != "")).agg(F.min("snapshot")).first()[0]
         if done is not None:
             return done
         before = self.latest(spark)
-        version = before + 1
+        version, attempt = before + 1, uuid.uuid4().hex
+        folder = f"snapshot={version}/attempt={attempt}"
         known = [f.name for f in spark.createDataFrame([], schemas.DRAWERS).schema.fields]
         rows = self.fresh(arrivals, order, before)
         lacking = {c: F.lit(None).cast(f.dataType) for f in spark.createDataFrame([], schemas.DRAWERS).schema.fields if (c := f.name) not in rows.columns}
         rows = rows.withColumns(lacking) if lacking else rows
-        drawers = f"{self.path}/drawers/snapshot={version}"
-        rows.select(*known, "bucket").write.mode("overwrite").partitionBy("wing", "bucket").parquet(drawers)
-        written = self._read(spark, "drawers", STORED).where(F.col("snapshot") == version)
+        rows.select(*known, "bucket").write.partitionBy("wing", "bucket").parquet(f"{self.path}/drawers/{folder}")
+        written = self._read(spark, "drawers", STORED).where(F.col("attempt") == attempt)
         place = F.explode(self._places())
         bits = written.select("bucket", place.alias("_p")).select("bucket", F.shiftright("_p", 6).alias("word"), F.expr("shiftleft(1L, _p & 63)").alias("mask"))
         every = bits.unionByName(self._filters(spark, before)).groupBy("bucket", "word").agg(F.bit_or("mask").alias("mask"))
-        every.write.mode("overwrite").parquet(f"{self.path}/filters/snapshot={version}")
+        every.write.parquet(f"{self.path}/filters/{folder}")
         n_marks = 0
         if marks is not None:
-            marks.select("drawer_id", "mark").write.mode("overwrite").parquet(f"{self.path}/marks/snapshot={version}")
-            n_marks = spark.read.schema("drawer_id string, mark map<string,string>").parquet(f"{self.path}/marks/snapshot={version}").count()
-        head = spark.createDataFrame([(stamp, written.count(), n_marks)], "stamp string, n_drawers bigint, n_marks bigint")
+            marks.select("drawer_id", "mark").write.parquet(f"{self.path}/marks/{folder}")
+            n_marks = self._read(spark, "marks", MARKS).where(F.col("attempt") == attempt).count()
+        head = spark.createDataFrame([(attempt, stamp, written.count(), n_marks)], "attempt string, stamp string, n_drawers bigint, n_marks bigint")
         head.coalesce(1).write.mode("error").parquet(f"{self.path}/commits/snapshot={version}")
+        if attempt not in self._attempts(spark, version):
+            raise RuntimeError(f"another writer has filed version {version}")
         return version
 
 
