@@ -11,3 +11,12 @@ def test_a_stream_reads_a_table_of_part_files(spark, tmp_path):
     spark.read.parquet(f"{DATA}/pages.parquet").limit(30).repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
     n = spark.read.parquet(str(tmp_path / "pages.parquet")).selectExpr("count(distinct page_id div 2)").first()[0]
     assert n > 0 and Q.streamed_drawers(spark, str(tmp_path)).count() == n
+
+
+def test_every_gold_meets_all_documents_of_its_source(spark, tmp_path):
+    items = [(i, f"golden phrase number {i}") for i in range(60)]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(d, f"told: {items[25][1]} here" if d == 3 else f"nothing {d}", "en", "src5") for d in range(6)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.question_id: r for r in Q.gold_recall(spark, str(tmp_path)).collect()}
+    assert len(rows) == 20 and (rows["src5"].n_chunks, rows["src5"].in_chunks) == (6, 1)
