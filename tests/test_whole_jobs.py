@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from weighbridge.catalog import snapshot_queries as Q
 from weighbridge.catalog import source_queries as C
+from weighbridge.plans import arms as R
+from weighbridge.settings import GATE_QUESTIONS, LIMITS
 
 DATA = "/root/testdata/sf0.001"
 
@@ -30,3 +32,22 @@ def test_questions_beyond_four_digits_are_shown_like_the_sql(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
     got = C.questions_from_csv(spark, str(tmp_path)).first()
     assert (got.n, got.n_queries, got.first_id, got.last_id) == (10_050, 10_050, "simpleqa-0000", "simpleqa-9999")
+
+
+def test_copies_of_a_passage_are_judged_one_by_one(spark):
+    columns = "question_id string, id string, title string, domain string, source_type string, text string"
+    passages = spark.createDataFrame([("q", "r01c0", "", "d", "web", x) for x in ("short", "a longer text")], columns)
+    asked = []
+
+    def judge(requests, stage):
+        asked.append(requests.count())
+        value = F.when(F.length(F.col("state")["passage"]["text"]) > 8, 0.9).otherwise(0.1)
+        return requests.select("question_id", "id", F.explode(F.array(*[F.lit(q) for q in GATE_QUESTIONS])).alias("qid"), value.alias("value"))
+
+    out = R._judged(passages, spark.createDataFrame([("q", "what")], "question_id string, query string"), judge, LIMITS).collect()
+    assert asked == [2] and {(r.id, r.text, r.is_relevant) for r in out} == {("r01c0", "short", 0.1), ("r01c0", "a longer text", 0.9)}
+
+
+def test_texts_of_one_id_stand_under_it(spark):
+    items = F.expr("array(named_struct('id', 'a', 'text', 'x'), named_struct('id', 'b', 'text', 'y'), named_struct('id', 'a', 'text', 'z'))")
+    assert spark.range(1).select(R._texts_by_id(items).alias("m")).first().m == {"a": "x\nz", "b": "y"}
