@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weighbridge.catalog import snapshot_queries as Q
 from weighbridge.catalog import source_queries as C
+from weighbridge.operators import vector as X
 from weighbridge.plans import arms as R
 from weighbridge.settings import GATE_QUESTIONS, LIMITS
 
@@ -51,3 +52,18 @@ def test_copies_of_a_passage_are_judged_one_by_one(spark):
 def test_texts_of_one_id_stand_under_it(spark):
     items = F.expr("array(named_struct('id', 'a', 'text', 'x'), named_struct('id', 'b', 'text', 'y'), named_struct('id', 'a', 'text', 'z'))")
     assert spark.range(1).select(R._texts_by_id(items).alias("m")).first().m == {"a": "x\nz", "b": "y"}
+
+
+def test_a_query_is_copied_once_a_unit_of_cells(spark, monkeypatch):
+    import numpy as np
+
+    points = np.random.default_rng(1).normal(size=(300, 8))
+    drawers = spark.createDataFrame([(f"d{i:03d}", [float(x) for x in p]) for i, p in enumerate(points)], "drawer_id string, embedding array<double>")
+    met = []
+    real = X._met_elsewhere
+    monkeypatch.setattr(X, "_met_elsewhere", lambda asked, *rest: met.append(asked.groupBy("question_id").count().agg(F.max("count")).first()[0]) or real(asked, *rest))
+    out = X.search(drawers.withColumnRenamed("drawer_id", "question_id"), drawers, 5, None, cells=20).collect()
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 12)
+    want = {(f"d{q:03d}", k + 1, f"d{v:03d}") for q in range(300) for k, v in enumerate(np.lexsort((np.arange(300), -scores[q]))[:5])}
+    assert met == [1] and {(r.question_id, r.position, r.drawer_id) for r in out} == want
