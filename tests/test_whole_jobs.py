@@ -67,3 +67,18 @@ def test_a_query_is_copied_once_a_unit_of_cells(spark, monkeypatch):
     scores = np.round(unit @ unit.T, 12)
     want = {(f"d{q:03d}", k + 1, f"d{v:03d}") for q in range(300) for k, v in enumerate(np.lexsort((np.arange(300), -scores[q]))[:5])}
     assert met == [1] and {(r.question_id, r.position, r.drawer_id) for r in out} == want
+
+
+def test_gold_search_holds_few_texts_at_once(spark):
+    """A worker turns a slice of a batch into Python strings, not the whole batch."""
+    import pyarrow as pa
+
+    from weighbridge.operators import snapshot as S
+
+    def sizes(found, batch):
+        return pa.RecordBatch.from_arrays([pa.array([batch.num_rows] * batch.num_rows, pa.int64())], names=["n"])
+
+    rows = spark.range(1000).coalesce(1).select(F.lit("q").alias("question_id"), "id")
+    golds = spark.createDataFrame([("q", "gold")], "question_id string, gold string")
+    seen = [r.n for r in S._matched(rows, golds, sizes, "n bigint").collect()]
+    assert len(seen) == 1000 and max(seen) <= S.TEXTS_AT_ONCE
