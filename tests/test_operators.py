@@ -83,6 +83,36 @@ def test_fusion_matches_pairwise_ranks(spark):
         assert [r.id for r in sorted((r for r in chosen if r.question_id == q), key=lambda r: r.position)] == prefix
 
 
+def test_ranks_of_small_and_large_groups(spark, monkeypatch):
+    """Windows and counts give the same ranks; small groups write no stretches of keys."""
+    from weighbridge.operators import grouped as G
+
+    lists = [G.RankList("both", (("a", False), ("b", True))), G.RankList("one", (("c", True),))]
+    rng, inf = random.Random(5), float("inf")
+    rows = [(g, i, rng.choice([None, 1, 2, 3]), rng.choice([None, 1, 2]), rng.choice([None, 0.0, -0.0, 0.5, inf, -inf]))
+            for g, n in (("x", 60), ("y", 5), (None, 40), ("z", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, i int, a int, b int, c double")
+
+    def ranked():
+        return sorted(map(tuple, G.competition_ranks(df, ["g"], lists).select("g", "i", "both", "one").collect()), key=repr)
+
+    def better(r, s):
+        return (s[2], -s[3] if s[3] is not None else inf) < (r[2], -r[3] if r[3] is not None else inf)
+
+    want = []
+    for r in rows:
+        mine = [s for s in rows if s[0] == r[0]]
+        both = None if r[2] is None else 1 + sum(s[2] is not None and better(r, s) for s in mine)
+        want.append((r[0], r[1], both, None if r[4] is None else 1 + sum(s[4] is not None and s[4] > r[4] for s in mine)))
+    want.sort(key=repr)
+    for many in (1, 20):
+        monkeypatch.setattr(G, "MANY", many)
+        assert ranked() == want
+    monkeypatch.setattr(G, "MANY", 100)
+    monkeypatch.setattr(G, "sum_before", None)
+    assert ranked() == want
+
+
 def test_baseline_evidence_stops_at_the_first_overflow(spark):
     results = spark.createDataFrame([("q", 1, "one two"), ("q", 2, "a b c"), ("q", 3, "late"), ("r", 1, "")], "question_id string, rank int, snippet string")
     chunks = spark.createDataFrame(
