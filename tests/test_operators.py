@@ -222,6 +222,35 @@ def test_bootstrap_auroc_against_weighted_pairs(spark, on_grid):
             assert got[judge, replicate] == pytest.approx(won / pairs)
 
 
+def test_pairs_by_clusters_equal_pairs_by_rows():
+    """Few clusters: a row costs their number, not a sum per replicate, with the same result."""
+    rng = np.random.default_rng(4)
+    n, k = 300, 7
+    p, q = rng.integers(0, 4, n).astype(float), rng.integers(0, 4, n).astype(float)
+    which, w = rng.integers(0, k, n), rng.poisson(1, (k, 20)).astype(float)
+    at = np.sort(rng.integers(0, 90, n))
+    runs = [*np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), n]
+    beats = (at[:, None] > at[None]) + (at[:, None] == at[None]) / 2
+    want = [(p * w[which, r]) @ beats @ (q * w[which, r]) for r in range(20)]
+    assert B._wins_inside(p, q, which, w, runs) == pytest.approx(want)
+    wide = np.vstack([w, np.zeros((B.FEW_CLUSTERS, 20))])  # more clusters than are few
+    assert B._wins_inside(p, q, which, wide, runs) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("clusters", [5, 90])
+def test_bootstrap_auroc_over_many_ties_and_stretches(spark, clusters):
+    rng = random.Random(9)
+    rows = [("j", f"c{rng.randrange(clusters)}", rng.randrange(400) / 1000, rng.random() < 0.4) for _ in range(3000)]
+    hist = A.label_histogram(spark.createDataFrame(rows, "judge string, cluster string, score double, label boolean"), ["judge", "cluster"])
+    got = {r.replicate: r.auroc for r in B.bootstrap_auroc(hist, ["judge"], resamples=3).collect()}
+    for replicate in range(3):
+        w = {c: B.poisson_weights([c], 3)[0, replicate] for c in {r[1] for r in rows}}
+        x, y = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        k = np.array([w[r[1]] for r in rows])
+        beats = (x[y][:, None] > x[~y][None]) + (x[y][:, None] == x[~y][None]) / 2
+        assert got[replicate] == pytest.approx(k[y] @ beats @ k[~y] / (k[y].sum() * k[~y].sum()))
+
+
 def test_claim_support_resamples_questions_without_claims(spark):
     records = spark.createDataFrame([("a", q) for q in range(4)], "arm string, question_id int")
     claims = spark.createDataFrame([("a", 0, "supported"), ("a", 0, "supported"), ("a", 1, "unsupported"), ("a", 3, "supported"), ("a", 3, "unreadable")], "arm string, question_id int, label string")

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -27,6 +28,7 @@ from weighbridge.stages import materialize
 POISSON_STEPS = np.array([24109, 48218, 60273, 64291, 65296, 65497, 65530, 65535])
 PER_DIGEST = 8  # replicates that one digest serves
 ROWS_AT_ONCE = 512
+FEW_CLUSTERS = 64  # of a batch, below which pairs are counted by clusters
 KEYS_AT_ONCE = 2_000  # sums a task holds before it hands them on
 
 
@@ -62,6 +64,37 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(k, ROWS_AT_ONCE)
 
 
+def _even_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole batches of few clusters, others in slices, so that rows times weights stay small."""
+    for batch in batches:
+        few = pc.count_distinct(batch.column("_cluster")).as_py() <= FEW_CLUSTERS
+        yield from (batch,) if few and batch.num_rows else _slices([batch])
+
+
+def _totals(p: np.ndarray, n: np.ndarray, which: np.ndarray, w: np.ndarray, rows: slice) -> np.ndarray:
+    """Positives and negatives of some rows in every replicate."""
+    return np.stack([np.bincount(which[rows], x[rows], len(w)) @ w for x in (p, n)])
+
+
+def _wins_inside(p: np.ndarray, n: np.ndarray, which: np.ndarray, w: np.ndarray, runs: list) -> np.ndarray:
+    """Winning pairs in every replicate among rows that stand in the order of their scores; ``runs`` are the
+    starts of equal scores and the end. ``which`` is a row's cluster, ``w`` the clusters' weights.
+
+    With few clusters pairs are counted once by the clusters of both sides, and the weights
+    multiply that small table; a row then costs as much as there are clusters, not replicates.
+    """
+    if len(runs) < 2:
+        return np.zeros(w.shape[1])
+    rows, starts, k = slice(runs[0], runs[-1]), np.array(runs[:-1]) - runs[0], len(w)
+    if k > FEW_CLUSTERS:
+        won, lost = (np.add.reduceat(x[rows, None] * w[which[rows]], starts, axis=0) for x in (p, n))
+        return (won * (np.cumsum(lost, axis=0) - lost / 2)).sum(0)
+    cell = np.repeat(np.arange(len(starts)), np.diff(runs)) * k + which[rows]
+    won, lost = (np.bincount(cell, x[rows], len(starts) * k).reshape(-1, k) for x in (p, n))
+    pairs = won.T @ (np.cumsum(lost, axis=0) - lost / 2)
+    return ((pairs @ w) * w).sum(0)
+
+
 def _spread_out(df: DataFrame, keys: list[str]) -> DataFrame:
     """Enough partitions before rows multiply; a fixed number, so that adaptive
     execution does not merge the still small partitions."""
@@ -196,12 +229,13 @@ def bootstrap_auroc(
                 arrays = [*named, where, numbers, pa.array(total), pa.array(pos + tie[0]), pa.array(below + tie[1])]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "part", "replicate", "wins", "pos", "neg"])
 
-        for batch in _slices(batches):
+        for batch in _even_slices(batches):
             types = [batch.schema.field(k).type for k in keys]
             of = list(zip(*[batch.column(k).to_pylist() for k in keys])) if keys else [()] * batch.num_rows
             at = batch.column(score).to_numpy(zero_copy_only=False)
-            w = weights(batch.column("_cluster").to_pylist())
-            p, n = (batch.column(c).to_numpy(zero_copy_only=False)[:, None] * w for c in ("pos", "neg"))
+            p, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "neg"))
+            cluster = batch.column("_cluster").dictionary_encode()
+            which, w = cluster.indices.to_numpy(), weights(cluster.dictionary.to_pylist())
             start = 0
             while start < len(of):
                 end = start
@@ -212,17 +246,18 @@ def bootstrap_auroc(
                     key, last = of[start], None
                     wins, below, pos = np.zeros(resamples), np.zeros(resamples), np.zeros(resamples)
                     tie = np.zeros((2, resamples))
-                runs = start + np.flatnonzero(np.r_[True, at[start + 1 : end] != at[start : end - 1]])
-                sums = [np.add.reduceat(x[:end], runs, axis=0) for x in (p, n)]
+                runs = [*(start + np.flatnonzero(np.r_[True, at[start + 1 : end] != at[start : end - 1]])), end]
                 if last is not None and at[start] == last:
-                    sums[0][0] += tie[0]
-                    sums[1][0] += tie[1]
-                else:  # the scores held back are complete
+                    tie = tie + _totals(p, n, which, w, slice(start, runs[1]))
+                    runs = runs[1:]
+                if len(runs) > 1:  # the scores held back are complete
                     wins, below, pos = wins + tie[0] * (below + tie[1] / 2), below + tie[1], pos + tie[0]
-                lower = below + np.cumsum(sums[1], axis=0) - sums[1]
-                wins = wins + (sums[0][:-1] * (lower[:-1] + sums[1][:-1] / 2)).sum(0)
-                below, pos = lower[-1], pos + sums[0][:-1].sum(0)
-                tie, last, start = np.stack([sums[0][-1], sums[1][-1]]), at[end - 1], end
+                    done = slice(runs[0], runs[-2])
+                    p_done, n_done = _totals(p, n, which, w, done)
+                    wins = wins + p_done * below + _wins_inside(p, n, which, w, runs[:-1])
+                    below, pos = below + n_done, pos + p_done
+                    tie = _totals(p, n, which, w, slice(runs[-2], end))
+                last, start = at[end - 1], end
         yield from close()
 
     named = [f"`{k}` {kinds[k]}" for k in keys]
