@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
+from weighbridge.catalog import judged_queries as J
 from weighbridge.catalog import snapshot_queries as Q
 from weighbridge.catalog import source_queries as C
 from weighbridge.operators import vector as X
@@ -54,6 +56,28 @@ def test_texts_of_one_id_stand_under_it(spark):
     assert spark.range(1).select(R._texts_by_id(items).alias("m")).first().m == {"a": "x\nz", "b": "y"}
 
 
+def test_of_a_url_crawled_twice_the_store_files_one_text_in_every_run(spark, monkeypatch):
+    """However the copies of a chunk lie, the text that sorts first is the drawer's."""
+    columns = "question_id string, rank int, url string, chunk_index int, drawer_id string, text string"
+    rows = [("q", 1, "http://a.org/x", 0, "d", t) for t in ("words of b", "words of a", "words of c")]
+    filed = []
+
+    class Filed(Exception):
+        pass
+
+    def commit(store, arrivals, *rest, **named):
+        filed.append([r.text for r in arrivals.collect()])
+        raise Filed
+
+    monkeypatch.setattr(J.VersionedStore, "commit", commit)
+    for shift in range(3):
+        chunks = spark.createDataFrame(rows[shift:] + rows[:shift], columns).coalesce(1)
+        monkeypatch.setattr(J, "_run_inputs", lambda *given: {"chunks": chunks, "questions": chunks})
+        with pytest.raises(Filed):
+            J._two_passes(spark, DATA)
+    assert filed == [["words of a"]] * 3
+
+
 def test_a_query_is_copied_once_a_unit_of_cells(spark, monkeypatch):
     import numpy as np
 

@@ -305,7 +305,7 @@ def _two_passes(spark, path: str):
     inputs = _run_inputs(spark, path)
     store = VersionedStore(f"{stage_dir(spark)}/memory-{uuid.uuid4().hex}")
     chunks = inputs["chunks"].withColumn("fetched_at", F.lit(f"{TODAY}T18:00:00Z"))
-    chunks = first_rows(chunks, ["drawer_id"], [F.asc("question_id"), F.asc("rank")])
+    chunks = first_rows(chunks, ["drawer_id"], [F.asc("question_id"), F.asc("rank"), F.asc("text")])
     first = store.commit(evidence_drawers(chunks), [F.asc("drawer_id")], stamp="freeze")
     arm = {k: v for k, v in inputs.items() if k != "questions"} | {"judge": rule_judge("a"), "judge_model": "rules"}
     embed, asked = _vector(F.col("drawer_id")), _vector(F.col("query"))
