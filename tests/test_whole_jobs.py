@@ -78,6 +78,16 @@ def test_of_a_url_crawled_twice_the_store_files_one_text_in_every_run(spark, mon
     assert filed == [["words of a"]] * 3
 
 
+def test_the_versions_of_a_store_need_one_pass(spark, monkeypatch):
+    passes = []
+    chunks = spark.createDataFrame([("q", 1, "http://a.org/x", 0, "d", "words")], "question_id string, rank int, url string, chunk_index int, drawer_id string, text string")
+    monkeypatch.setattr(J, "_run_inputs", lambda *given: {"chunks": chunks, "questions": chunks})
+    monkeypatch.setattr(J.M, "memory_pass", lambda *given, at, **named: passes.append(at))
+    monkeypatch.setattr(J.M, "file_run", lambda *given, **named: 2)
+    out = J.store_versions(spark, DATA).collect()
+    assert passes == [1] and [(r.wing, r.snapshot) for r in out] == [("evidence", 1)]
+
+
 def test_a_query_is_copied_once_a_unit_of_cells(spark, monkeypatch):
     import numpy as np
 

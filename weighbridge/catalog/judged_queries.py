@@ -300,8 +300,8 @@ def _vector(text: Column) -> Column:
     return F.array(*[F.conv(F.substring(digest, i, 1), 16, 10).cast("double") for i in range(1, 9)])
 
 
-def _two_passes(spark, path: str):
-    """Pass one reads the frozen chunks' version, leaves the next one, which pass two reads."""
+def _first_pass(spark, path: str):
+    """The store with the frozen chunks' version and the next one, which pass one has left; pass one, and how to run pass two."""
     inputs = _run_inputs(spark, path)
     store = VersionedStore(f"{stage_dir(spark)}/memory-{uuid.uuid4().hex}")
     chunks = inputs["chunks"].withColumn("fetched_at", F.lit(f"{TODAY}T18:00:00Z"))
@@ -309,10 +309,19 @@ def _two_passes(spark, path: str):
     first = store.commit(evidence_drawers(chunks), [F.asc("drawer_id")], stamp="freeze")
     arm = {k: v for k, v in inputs.items() if k != "questions"} | {"judge": rule_judge("a"), "judge_model": "rules"}
     embed, asked = _vector(F.col("drawer_id")), _vector(F.col("query"))
-    one = M.memory_pass(inputs["questions"], store, embed, asked, at=first, **arm)
+
+    def run(at: int) -> dict[str, DataFrame]:
+        return M.memory_pass(inputs["questions"], store, embed, asked, at=at, **arm)
+
+    one = run(first)
     second = M.file_run(store, one, TODAY, stamp="pass-one")
-    two = M.memory_pass(inputs["questions"], store, embed, asked, at=second, **arm)
-    return store, one, two
+    return store, one, lambda: run(second)
+
+
+def _two_passes(spark, path: str):
+    """Pass one reads the frozen chunks' version, leaves the next one, which pass two reads."""
+    store, one, again = _first_pass(spark, path)
+    return store, one, again()
 
 
 @query(
@@ -340,6 +349,6 @@ select drawer_id, d.wing, snapshot, md5(d.text) as digest, f.p as flagged_inject
 )
 def store_versions(spark, path):
     """The store after a judged pass: which version filed a drawer, and which recalled ones are flagged."""
-    store, *_ = _two_passes(spark, path)
+    store, *_ = _first_pass(spark, path)
     flag = F.col("meta")["flagged_injection"].cast("double")
     return store.read(spark).select("drawer_id", "wing", "snapshot", F.md5("text").alias("digest"), flag.alias("flagged_injection"))
