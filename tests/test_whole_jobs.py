@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,16 @@ def test_of_a_url_crawled_twice_the_store_files_one_text_in_every_run(spark, mon
     assert filed == [["words of a"]] * 3
 
 
+def test_of_a_url_crawled_twice_one_text_is_filed_however_the_pages_lie(spark, tmp_path):
+    pages = [(i, "http://a.org/x", f"<p>words of {w}</p>") for i, w in ((1, "b"), (2, "a"), (5, "c"))]
+    filed = []
+    for shift in range(3):
+        table = spark.createDataFrame(pages[shift:] + pages[:shift], "page_id bigint, url string, html string")
+        table.coalesce(1).write.parquet(str(tmp_path / f"{shift}" / "pages.parquet"))
+        filed.append([(r.question_id, r.digest) for r in Q.filed_drawers(spark, str(tmp_path / f"{shift}")).collect()])
+    assert filed == [[("q0", hashlib.md5(b"words of a").hexdigest())]] * 3
+
+
 def test_the_versions_of_a_store_need_one_pass(spark, monkeypatch):
     passes = []
     chunks = spark.createDataFrame([("q", 1, "http://a.org/x", 0, "d", "words")], "question_id string, rank int, url string, chunk_index int, drawer_id string, text string")
