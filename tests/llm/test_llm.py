@@ -6,10 +6,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
+from unittest.mock import MagicMock
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -420,6 +423,59 @@ def plain_log_p(model, counts, text):
     return total / math.log(10)
 
 
+def test_lm_words_of_a_large_batch_take_little_memory_of_a_worker(spark):
+    """Counting, and gathering rare words, hold what is distinct of a batch, not all its tokens at once."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 600) % 20_000) for _ in range(5_000)]  # 3 million tokens
+    blocks_of = [k % 40 for k in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(blocks_of, pa.int64())], names=["text", "block"])
+    tokens = lm.Tokens([t.encode() for t in texts])
+    all_words, n = np.unique(tokens.hash, return_counts=True)
+    shared = MagicMock()
+    shared.value.rank = lm.Ranks(all_words[np.argsort(-n, kind="stable")][:1_000])
+    rare = shared.value.rank(tokens.hash) < 0
+    pairs = {*zip(np.repeat(blocks_of, tokens.size)[rare].tolist(), tokens.hash[rare].tolist())}
+    del tokens, rare
+    peaks, rows = [], []
+    for helper, args in ((lm._counted, ()), (lm._rare, (shared,))):
+        docs = MagicMock()
+        helper(docs, *args)
+        run = docs.select.return_value.mapInArrow.call_args[0][0]
+        tracemalloc.start()
+        out = list(run(iter([batch])))
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+        rows.append(out)
+    counted = Counter()
+    for x in rows[0]:
+        counted.update(dict(zip(x["word"].to_pylist(), x["n"].to_pylist())))
+    assert counted == dict(zip(all_words.tolist(), n.tolist()))
+    got = [p for x in rows[1] for p in zip(x["block"].to_pylist(), x["word"].to_pylist())]
+    assert len(got) == len(pairs) and {*got} == pairs
+    assert max(peaks) < 100, peaks  # MB; all tokens at once take 170
+
+
+def test_lm_learns_from_and_scores_a_blank_text_alone(spark):
+    """A task whose last stretch is one text without words has one token, its end, and no second one before it."""
+    for text in (None, "", " \n"):
+        docs = frame(spark, [text])
+        model, counts = lm.learn(docs, F.lit(True), rounds=1)
+        row = lm.score_texts(docs, model, counts, ["doc_id"]).first()
+        assert (row.n_tokens, row.n_known, row.train_tokens) == (1, 1, 1) and row.score < 0
+    many = frame(spark, ["a b c"] * 500 + [None]).coalesce(1)
+    model, counts = lm.learn(many, F.lit(True))
+    assert lm.score_texts(many, model, counts, ["doc_id"]).where("score is not null").count() == 501
+
+
+def test_lm_rare_words_are_dealt_by_word_once(spark):
+    """The distinct words of the blocks are already where the join to their counts needs them."""
+    docs = frame(spark, ["a b c", "a b d e", None])
+    model, counts = lm.learn(docs, F.lit(True))
+    plan = lm.score_texts(docs, model, counts.hint("merge"), ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\(([a-z]+)#\d+L?(?:, ([a-z]+)#\d+L?)?", plan)
+    assert sorted(dealt) == [("block", "part")] * 2 + [("word", "")] * 2, dealt
+
+
 def test_lm_scores_equal_a_plain_softmax_each_time(spark):
     rng = random.Random(9)
     texts = [words(rng, rng.randint(0, 60), 3000) + " The the a" for _ in range(150)] + ODD_TEXTS
